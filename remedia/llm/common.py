@@ -66,3 +66,11 @@ def rows_kept(docs: DataFrame, keep: DataFrame, digest: Column, best: list[Colum
     first = F.row_number().over(Window.partitionBy("_rk_doc_id", "_rk_doc_digest").orderBy(*(best or [F.lit(0)])))
     repeated = marked.join(more, same(more), "left_semi").withColumn("_rk_first", first).filter("_rk_first = 1")
     return single.unionByName(repeated.drop("_rk_doc_id", "_rk_doc_digest", "_rk_first"))
+
+
+def small_table(spark: SparkSession, rows: list[dict], fields: str) -> DataFrame:
+    """A table of plan-time rows (bounded by the caller) as one JSON literal, read by Spark's own parser."""
+    import json
+
+    one = spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{fields}>>")).alias("r"))
+    return one.select("r.*")
