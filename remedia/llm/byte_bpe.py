@@ -21,13 +21,14 @@ from functools import cache
 from itertools import chain
 
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .arrow_text import slices
+
 #: Chunks that a worker remembers, and the longest one it does.
 REMEMBERED, REMEMBERED_CHARS = 200_000, 48
 SLICE_BYTES = 8 << 20
@@ -166,18 +167,6 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(path, pattern)
 
 
-def slices(batch: pa.RecordBatch, column: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch with about ``most`` bytes of text each."""
-    at, size = 0, 0
-    for i, n in enumerate(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()):
-        size += n
-        if size >= most:
-            yield batch.slice(at, i + 1 - at)
-            at, size = i + 1, 0
-    if at < batch.num_rows:
-        yield batch.slice(at)
-
-
 def _rows(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
@@ -193,7 +182,7 @@ def encode(docs: DataFrame, path: str, pattern: str, with_offsets: bool = False)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, kind = codec(path, pattern), pa.list_(pa.int32())
         for batch in batches:
-            for part in slices(batch, 1):
+            for part in slices(batch, 1, SLICE_BYTES):
                 ids = list(own.encode(part.column(1).to_pylist()))
                 columns = [pa.array(ids, kind)]
                 if with_offsets:
@@ -224,7 +213,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, sha = codec(path, pattern), hashlib.sha256
         for batch in batches:
-            for part in slices(batch, 1):
+            for part in slices(batch, 1, SLICE_BYTES):
                 counts, marks, back = [], [], []
                 for ids in own.encode(part.column(1).to_pylist()):
                     counts.append(len(ids))

@@ -53,19 +53,24 @@ def squeezed(text: Column) -> Column:
     return out
 
 
-def rows_kept(docs: DataFrame, keep: DataFrame, digest: Column, best: list[Column] | None = None) -> DataFrame:
-    """Rows of ``docs`` named by ``keep`` (``_rk_id``, ``_rk_digest``): all columns of ``docs``, nulls match nulls.
+def rows_kept(docs: DataFrame, decided: DataFrame, digest: Column, best: list[Column] | None = None) -> DataFrame:
+    """Rows of ``docs`` that ``decided`` keeps, with all columns of ``docs``; nulls match nulls.
 
-    ``digest`` is computed on ``docs``. ``keep`` must hold each (id, digest) pair once; a pair that stands for
-    rows repeated in ``docs`` (``_rk_rows`` > 1) yields one row, the first by ``best``.
+    ``decided`` has each (``_rk_id``, ``_rk_digest``) of ``docs`` once, with ``_rk_any`` (some row of it stays) and ``_rk_rows``
+    (its rows in ``docs``); ``digest`` is computed on ``docs``. Few rows are dropped as a rule, so they are what is joined.
+    A kept pair that stands for several rows yields one, the first by ``best``.
     """
+    decided = written(decided.filter("NOT _rk_any OR _rk_rows > 1"), "rows-decided")
+    names = docs.columns
     marked = docs.withColumns({"_rk_doc_id": F.col("doc_id"), "_rk_doc_digest": digest})
     same = lambda k: k["_rk_id"].eqNullSafe(marked["_rk_doc_id"]) & (k["_rk_digest"] == marked["_rk_doc_digest"])
-    once, more = keep.filter("_rk_rows = 1"), keep.filter("_rk_rows > 1")
-    single = marked.join(once, same(once), "left_semi").drop("_rk_doc_id", "_rk_doc_digest")
-    first = F.row_number().over(Window.partitionBy("_rk_doc_id", "_rk_doc_digest").orderBy(*(best or [F.lit(0)])))
-    repeated = marked.join(more, same(more), "left_semi").withColumn("_rk_first", first).filter("_rk_first = 1")
-    return single.unionByName(repeated.drop("_rk_doc_id", "_rk_doc_digest", "_rk_first"))
+    out = marked.join(decided, same(decided), "left_anti").drop("_rk_doc_id", "_rk_doc_digest")
+    more = decided.filter("_rk_any")
+    if not more.isEmpty():
+        first = F.row_number().over(Window.partitionBy("_rk_doc_id", "_rk_doc_digest").orderBy(*(best or [F.lit(0)])))
+        again = marked.join(more, same(more), "left_semi").withColumn("_rk_first", first).filter("_rk_first = 1")
+        out = out.unionByName(again.select(*(F.col(f"`{c}`") for c in names)))
+    return out
 
 
 def small_table(spark: SparkSession, rows: list[dict], fields: str) -> DataFrame:

@@ -77,6 +77,5 @@ def decide(docs: DataFrame) -> DataFrame:
 def deduplicate(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each group of equal texts, all columns kept."""
     kept = decide(docs).select("doc_id", "digest", "kept")
-    keep = kept.groupBy(F.col("doc_id").alias("_rk_id"), F.col("digest").alias("_rk_digest")).agg(F.max("kept").alias("any"), F.count("*").alias("_rk_rows"))
-    keep = keep.filter("any").select("_rk_id", "_rk_digest", "_rk_rows")
-    return rows_kept(docs, keep, digest(F.col("text")), [F.length("text").desc_nulls_last(), F.col("text")])
+    pairs = kept.groupBy(F.col("doc_id").alias("_rk_id"), F.col("digest").alias("_rk_digest")).agg(F.max("kept").alias("_rk_any"), F.count("*").alias("_rk_rows"))
+    return rows_kept(docs, pairs, digest(F.col("text")), [F.length("text").desc_nulls_last(), F.col("text")])

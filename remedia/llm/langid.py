@@ -12,7 +12,6 @@ probability in each language.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,6 +23,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from .arrow_text import by_length, code_points, encoded, slices
+
 #: The fitting sample: documents of each language, and their most frequent words of each language.
 TRAIN_ROWS, TRAIN_WORDS = 400, 40_000
 EM_ROUNDS = 4
@@ -33,6 +34,8 @@ LONGEST = 30
 PIECE_CHARS = 10
 START = "▁"
 UNDECIDED = "und"
+#: Texts below this posterior are rejected by the filter.
+LEAST_SCORE = 0.5
 #: Text bytes that are scored at once.
 SLICE_BYTES = 12 << 20
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -51,10 +54,6 @@ def _hash_step(h: np.ndarray, code: np.ndarray) -> np.ndarray:
     return (h ^ (code + np.uint64(1))) * _MULTIPLIER
 
 
-def _codes(words: list[str]) -> np.ndarray:
-    return np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
-
-
 class Lattice:
     """Piece numbers at every place of every word of one length."""
 
@@ -62,7 +61,7 @@ class Lattice:
         hashes = []
         for p in pieces:
             h = np.zeros(1, np.uint64)
-            for c in _codes([p]):
+            for c in code_points([p]).astype(np.uint64):
                 h = _hash_step(h, np.array([c]))
             hashes.append(h[0])
         order = np.argsort(np.array(hashes, dtype=np.uint64))
@@ -92,7 +91,7 @@ class Lattice:
         for s in range(length):
             h = np.zeros(n, np.uint64)
             for e in range(s + 1, min(length, s + PIECE_CHARS) + 1):
-                h = _hash_step(h, codes[:, e - 1])
+                h = _hash_step(h, codes[:, e - 1].astype(np.uint64))
                 out[s, e] = self.find(h)
         return out
 
@@ -127,16 +126,6 @@ def _expected(spans: dict, length: int, probs: np.ndarray, weights: np.ndarray)
     return counts
 
 
-def _by_length(words: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Length, indices and code rows of the words of that length; each with the start sign."""
-    lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-    codes, starts = _codes(words), np.concatenate([[0], np.cumsum(lengths)])
-    for length in np.unique(lengths):
-        if length:
-            at = np.flatnonzero(lengths == length)
-            yield int(length), at, codes[starts[at][:, None] + np.arange(length)]
-
-
 @dataclass
 class Model:
     languages: list[str]
@@ -152,7 +141,7 @@ class Model:
                 cut.append(w[k : k + LONGEST])
                 owner.append(i)
         logs = np.zeros((len(cut), len(self.languages)))
-        for length, at, codes in _by_length(cut):
+        for length, at, codes in by_length(cut):
             step = max(64, 1_500_000 // ((length + 1) * len(self.languages)))
             for k in range(0, len(at), step):
                 logs[at[k : k + step]] = np.log(forward(self.lattice.spans(codes[k : k + step]), length, self.probs)[length])
@@ -169,29 +158,15 @@ def split_words(texts: pa.Array) -> pa.ListArray:
     return pc.split_pattern(clean, " ")
 
 
-def _slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch with about SLICE_BYTES of text each."""
-    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
-    at = 0
-    while at < len(size):
-        upto = int(np.searchsorted(size, (size[at - 1] if at else 0) + SLICE_BYTES, side="right"))
-        upto = max(at + 1, upto)
-        yield batch.slice(at, upto - at)
-        at = upto
-
-
 def score_texts(model: Model, texts: pa.Array) -> tuple[list[str], np.ndarray]:
     """Predicted language and its posterior (equal priors) for each text."""
     texts = pc.fill_null(texts.cast(pa.string()), "")
     words = split_words(texts)
-    encoded = words.values.dictionary_encode() if len(words.values) else None
+    distinct, which, owner = encoded(words)
     n, languages = len(texts), model.languages
     total = np.zeros((n, len(languages)))
-    if encoded is not None and languages:
-        logs = model.score_words(encoded.dictionary.to_pylist())
-        offsets = words.offsets.to_numpy()
-        owner = np.repeat(np.arange(n), np.diff(offsets))
-        which = encoded.indices.to_numpy()[offsets[0] : offsets[-1]]
+    if distinct and languages:
+        logs = model.score_words(distinct)
         for k in range(len(languages)):
             total[:, k] = np.bincount(owner, weights=logs[which, k], minlength=n)
     lettered = pc.match_substring_regex(texts, r"\p{L}").to_numpy(zero_copy_only=False)
@@ -213,7 +188,7 @@ def training_words(docs: DataFrame, rows: int = TRAIN_ROWS, words: int = TRAIN_W
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _slices(batch, 1):
+            for part in slices(batch, 1, SLICE_BYTES):
                 found = split_words(pc.fill_null(part.column(1).cast(pa.string()), ""))
                 lang = pc.take(part.column(0), pc.list_parent_indices(found))
                 table = pa.table({"lang": lang, "word": found.flatten()}).group_by(["lang", "word"]).aggregate([([], "count_all")])
@@ -240,7 +215,7 @@ def fit(docs: DataFrame, vocabulary_path: str, rounds: int = EM_ROUNDS) -> Model
     for k, language in enumerate(languages):
         words = [(START + w)[:LONGEST] for w, _ in sorted(by[language])]
         weights = np.array([n for _, n in sorted(by[language])], dtype=float)
-        groups = [(length, weights[at], lattice.spans(codes)) for length, at, codes in _by_length(words)]
+        groups = [(length, weights[at], lattice.spans(codes)) for length, at, codes in by_length(words)]
         counts = np.zeros(len(pieces) + 1)
         for _, w, spans in groups:
             for found in spans.values():
@@ -256,24 +231,37 @@ def fit(docs: DataFrame, vocabulary_path: str, rounds: int = EM_ROUNDS) -> Model
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, text_hash, lang_pred, score for each row of ``docs`` (columns doc_id, text), whole texts.
+    """doc_id, lang_pred, score for each row of ``docs`` (columns doc_id, text), whole texts.
 
     A null text, or one without a letter, is ``und`` with score 0; of languages with equal probability the first in
-    alphabetical order is named. Rows are scored by themselves; an empty table gives an empty result.
+    alphabetical order is named. Rows are scored by themselves, so null ids and repeated rows make no difference;
+    an empty table gives an empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # vocabulary size x languages
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _slices(batch, 2):
-                lang, score = score_texts(shared.value, part.column(2))
-                yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(lang, pa.string()), pa.array(score)], names=["doc_id", "text_hash", "lang_pred", "score"])
+            for part in slices(batch, 1, SLICE_BYTES):
+                lang, score = score_texts(shared.value, part.column(1))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lang, pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
 
-    rows = docs.select("doc_id", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("text_hash"), F.col("text").cast("string").alias("text"))
-    schema = T.StructType([*rows.schema.fields[:2], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    schema = T.StructType([rows.schema["doc_id"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     return rows.mapInArrow(run, schema)
 
 
-def fold(doc_id: int) -> int:
-    """The remainder that decides what is held out, as SQL computes it."""
-    return zlib.crc32(str(doc_id).encode()) % 4
+def keep_identified(docs: DataFrame, model: Model, least: float = LEAST_SCORE) -> DataFrame:
+    """Rows of ``docs`` in a known language with a score of ``least`` or more: all columns, no shuffle.
+
+    Rejected are null texts, texts without a letter, and texts that no language explains clearly better than the others.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, at, SLICE_BYTES):
+                lang, score = score_texts(shared.value, part.column(at))
+                yield part.filter(pa.array((np.array(lang, dtype=object) != UNDECIDED) & (score >= least)))
+
+    return docs.mapInArrow(run, docs.schema)

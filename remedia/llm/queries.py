@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, exact_dedup, langid, mixing, quality_bands, sharding, simhash
+from . import byte_bpe, chat_format, exact_dedup, langid, mixing, quality_bands, sharding, simhash, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +19,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 #: Vocabulary files; every executor has the same library.
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+COUNT_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
@@ -41,6 +42,22 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).drop("text_hash")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    rows = toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
+    return rows.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document, counted before and after an insertion, a replacement and a deletion at places drawn from its id."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    place = lambda salt: F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.length(text) + 1)
+    edit = lambda seq, deleted, inserted: F.struct(F.lit(seq).alias("seq"), place(seq).alias("start"), F.lit(deleted).cast("long").alias("deleted"), F.lit(inserted).alias("inserted"))
+    edits = F.array(edit(0, 0, " [redacted] "), edit(1, 24, "e-mail"), edit(2, 160, ""))
+    rows = _table(spark, sf_dir, "documents").select("doc_id", text.alias("text"), edits.alias("edits"))
+    return token_counts.count_rows(rows, COUNT_RANKS, PATTERN)
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = exact_dedup.decide(_table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
@@ -78,4 +95,4 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_quality_bands, op2_simhash, op3_langid, op4_mixing, op7_exact_dedup, op8_sharding, op9_byte_bpe, op10_chat_format)}
+    return {f.__name__: f for f in (op1_quality_bands, op2_simhash, op3_langid, op4_mixing, op5_toxicity, op6_token_counts, op7_exact_dedup, op8_sharding, op9_byte_bpe, op10_chat_format)}

@@ -182,8 +182,8 @@ def components(docs: DataFrame) -> DataFrame:
 def deduplicate(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each component, that of the least doc_id; all columns kept."""
     kept = components(docs).groupBy(F.col("doc_id").alias("_rk_id"), F.col("text_hash").alias("_rk_digest"))
-    keep = kept.agg(F.max(F.col("uid") == F.col("keeper.uid")).alias("any"), F.count("*").alias("_rk_rows")).filter("any").drop("any")
-    return rows_kept(docs, keep, F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
+    pairs = kept.agg(F.max(F.col("uid") == F.col("keeper.uid")).alias("_rk_any"), F.count("*").alias("_rk_rows"))
+    return rows_kept(docs, pairs, F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
 
 
 def hex_fingerprint(fp):
