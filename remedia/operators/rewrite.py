@@ -1,0 +1,576 @@
+"""Compile-gated rewriting of source that doesn't parse: operators, registries, and the cascade as one Arrow UDF.
+
+Every operator maps a source and its first error to a new source, or None. An operator's result counts only if the
+gate accepts it, so operators may guess; the gate is the worker's own compiler.
+"""
+
+from __future__ import annotations
+
+import re
+from collections import deque
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import types as T
+
+from .localise import indent_of, minimal_window, reattach, scan
+
+Operator = Callable[[str, SyntaxError | None], str | None]
+
+_OPEN, _CLOSE = {"(": ")", "[": "]", "{": "}"}, {")": "(", "]": "[", "}": "{"}
+_CLAUSE = re.compile(r"(elif\b.*|else\s*|except\b.*|finally\s*):")
+_HANDLER = re.compile(r"(except\b.*|finally\s*):")
+_STATEMENT = re.compile(r"(?:if|for|while|with|try|def|class|return|raise|import|from|async|del|assert|global|nonlocal|pass|break|continue|yield|lambda|print)\b")
+
+
+def syntax_error(source: str) -> SyntaxError | None:
+    """The first error, or None if the source compiles."""
+    try:
+        compile(source, "<source>", "exec", dont_inherit=True)
+    except SyntaxError as e:
+        return e
+    except (ValueError, RecursionError, MemoryError, OverflowError) as e:
+        return SyntaxError(str(e))
+    return None
+
+
+def _line(lines: list[str], error: SyntaxError | None) -> int:
+    return min(max((error.lineno if error else None) or 1, 1), max(len(lines), 1)) - 1
+
+
+def _says(error: SyntaxError | None, *parts: str) -> bool:
+    return error is not None and any(p in (error.msg or "").lower() for p in parts)
+
+
+def _join(lines: list[str], source: str) -> str:
+    text = "\n".join(lines)
+    return text + "\n" if source.endswith("\n") and not text.endswith("\n") else text
+
+
+def _open_brackets(text: str) -> list[str]:
+    """Brackets left open, outside strings and comments; closers that match nothing are skipped."""
+    stack, i, quote = [], 0, ""
+    while i < len(text):
+        c = text[i]
+        if quote:
+            if c == "\\":
+                i += 1
+            elif text.startswith(quote, i):
+                i, quote = i + len(quote) - 1, ""
+            elif c == "\n" and len(quote) == 1:
+                quote = ""
+        elif c == "#":
+            i = text.find("\n", i)
+            if i < 0:
+                break
+        elif c in "'\"":
+            quote = c * 3 if text.startswith(c * 3, i) else c
+            i += len(quote) - 1
+        elif c in _OPEN:
+            stack.append(c)
+        elif c in _CLOSE and stack and stack[-1] == _CLOSE[c]:
+            stack.pop()
+        i += 1
+    return stack
+
+
+def _block_end(lines: list[str], header: int) -> int:
+    """Index after the suite of a header line."""
+    margin, k = len(indent_of(lines[header])), header + 1
+    while k < len(lines) and (not lines[k].strip() or len(indent_of(lines[k])) > margin):
+        k += 1
+    while k > header + 1 and not lines[k - 1].strip():
+        k -= 1
+    return k
+
+
+def _shift(line: str, by: int) -> str:
+    if not line.strip():
+        return line
+    return " " * max(0, len(indent_of(line)) + by) + line.lstrip(" \t")
+
+
+# Error-driven operators.
+
+
+def balance_delimiters(source: str, error: SyntaxError | None) -> str | None:
+    """Close what the error's line leaves open, its quote first; an open triple quote is closed at the end."""
+    if not _says(error, "never closed", "unterminated", "unexpected eof"):
+        return None
+    lines = source.split("\n")
+    if "triple" in (error.msg or ""):
+        quote, k = "", 0
+        for s in lines:
+            quote, k = scan(s, quote, k)
+        return source.rstrip("\n") + "\n" + quote + "\n" if quote else None
+    at = _line(lines, error)
+    text = lines[at].rstrip()
+    quote = next((q for q in "'\"" if text.count(q) % 2), "") if "string" in (error.msg or "") else ""
+    closers = "".join(_OPEN[c] for c in reversed(_open_brackets(text + quote)))
+    lines[at] = text + quote + closers
+    return _join(lines, source) if quote + closers else None
+
+
+def dedent_stray_block(source: str, error: SyntaxError | None) -> str | None:
+    """Move an unexpectedly indented run back to the line before it, unless that opens a block."""
+    if not _says(error, "unexpected indent"):
+        return None
+    lines = source.split("\n")
+    at = _line(lines, error)
+    before = next((s for s in reversed(lines[:at]) if s.strip()), None)
+    if before is not None and before.rstrip().endswith(":"):
+        return None
+    margin, goal = len(indent_of(lines[at])), len(indent_of(before or ""))
+    end = at
+    while end < len(lines) and (not lines[end].strip() or len(indent_of(lines[end])) >= margin):
+        end += 1
+    return _join(lines[:at] + [_shift(s, goal - margin) for s in lines[at:end]] + lines[end:], source)
+
+
+def fix_line_continuation(source: str, error: SyntaxError | None) -> str | None:
+    """Drop a stray backslash and what follows it on the line."""
+    if not _says(error, "line continuation"):
+        return None
+    lines = source.split("\n")
+    at = _line(lines, error)
+    if "\\" not in lines[at]:
+        return None
+    lines[at] = lines[at][: lines[at].index("\\")].rstrip()
+    return _join(lines, source)
+
+
+def fix_numeric_literal(source: str, error: SyntaxError | None) -> str | None:
+    """A registered placeholder that never fires."""
+    return None
+
+
+def literal_lhs_rename(source: str, error: SyntaxError | None) -> str | None:
+    """Numbers that are assigned to become names."""
+    out = re.sub(r"(?m)^([ \t]*)(\d+)([ \t]*=(?!=))", r"\1_lit_\2\3", source)
+    return out if out != source else None
+
+
+def _orphan_tries(lines: list[str]) -> Iterator[tuple[int, int]]:
+    for k, s in enumerate(lines):
+        if s.strip().rstrip() == "try:":
+            end = _block_end(lines, k)
+            following = lines[end] if end < len(lines) else ""
+            if not (_HANDLER.match(following.strip()) and indent_of(following) == indent_of(s)):
+                yield k, end
+
+
+def _handled(lines: list[str], k: int, end: int) -> list[str]:
+    margin = indent_of(lines[k])
+    body = [] if end > k + 1 else [margin + "    pass"]
+    return lines[:end] + body + [margin + "except Exception:", margin + "    pass"] + lines[end:]
+
+
+def complete_orphan_try(source: str, error: SyntaxError | None) -> str | None:
+    """Give the first ``try`` without a handler one that passes."""
+    lines = source.split("\n")
+    found = next(_orphan_tries(lines), None)
+    return _join(_handled(lines, *found), source) if found else None
+
+
+# Whole-file operators.
+
+
+def bad_lhs_rename(source: str, error: SyntaxError | None) -> str | None:
+    """Assignment targets that cannot be one become names made from their letters."""
+    if not _says(error, "cannot assign", "invalid syntax", "invalid decimal", "invalid target"):
+        return None
+    lines = source.split("\n")
+    at = _line(lines, error)
+    found = re.match(r"([ \t]*)([^=#]+?)([ \t]*=(?!=).*)$", lines[at])
+    if not found or _STATEMENT.match(found[2]) or syntax_error(f"{found[2]} = 0") is None:
+        return None
+    lines[at] = f"{found[1]}_lit_{re.sub(r'\W+', '_', found[2]).strip('_')}{found[3]}"
+    return _join(lines, source)
+
+
+def insert_missing_open_paren(source: str, error: SyntaxError | None) -> str | None:
+    """Put the parentheses that a line closes too many in front of its expression."""
+    if not _says(error, "unmatched ')'"):
+        return None
+    lines = source.split("\n")
+    at = _line(lines, error)
+    for k in sorted(range(max(0, at - 4), min(len(lines), at + 5)), key=lambda k: abs(k - at)):
+        text = lines[k]
+        low = depth = 0
+        for c in text:
+            depth += (c == "(") - (c == ")")
+            low = min(low, depth)
+        if low < 0:
+            place = re.match(r"[ \t]*(?:[\w.\[\]'\"]+[ \t]*=(?!=)[ \t]*|return[ \t]+)?", text).end()
+            lines[k] = text[:place] + "(" * -low + text[place:]
+            return _join(lines, source)
+    return None
+
+
+def retype_mismatched_closer(source: str, error: SyntaxError | None) -> str | None:
+    """Change one closing bracket to the kind that was opened."""
+    found = re.search(r"closing parenthesis '(.)' does not match opening parenthesis '(.)'", (error.msg if error else "") or "")
+    if not found or not error.offset:
+        return None
+    lines = source.split("\n")
+    at, column = _line(lines, error), error.offset - 1
+    if lines[at][column : column + 1] != found[1]:
+        return None
+    lines[at] = lines[at][:column] + _OPEN[found[2]] + lines[at][column + 1 :]
+    return _join(lines, source)
+
+
+def complete_truncated_statement(source: str, error: SyntaxError | None) -> str | None:
+    """Close the brackets of a statement that the next statement interrupts, or that the file ends in."""
+    lines = source.split("\n")
+    for k, s in enumerate(lines):
+        left = _open_brackets(s)
+        if not left or (s.count("'") + s.count('"')) % 2:
+            continue
+        end = k + 1
+        while end < len(lines) and left and not (lines[end].strip() and len(indent_of(lines[end])) <= len(indent_of(s)) and lines[end].strip()[0] not in ")]}"):
+            left = _open_brackets("\n".join(lines[k : end + 1]))
+            end += 1
+        if left:
+            last = max(i for i in range(k, end) if lines[i].strip())
+            colon = ":" if re.match(r"\s*(?:if|for|while|with|def|class|elif|async)\b", s) else ""
+            out = [*lines]
+            out[last] = out[last].rstrip().rstrip(",").rstrip() + "".join(_OPEN[c] for c in reversed(left)) + colon
+            return _join(out, source)
+    return None
+
+
+def _clause_peers(clause: str) -> tuple[str, ...]:
+    word = clause.split(":")[0].split()[0]
+    return {"elif": ("if", "elif"), "else": ("if", "elif", "for", "while", "try", "except", "async"), "except": ("try", "except"), "finally": ("try", "except", "else")}[word]
+
+
+def _dangling(lines: list[str]) -> Iterator[int]:
+    """Lines with a clause that no block of its indentation ends right before."""
+    for k, s in enumerate(lines):
+        if not _CLAUSE.match(s.strip()):
+            continue
+        margin = len(indent_of(s))
+        peer = next((i for i in range(k - 1, -1, -1) if lines[i].strip() and len(indent_of(lines[i])) <= margin), None)
+        if peer is None or len(indent_of(lines[peer])) < margin or not (lines[peer].strip().split("(")[0].split(":")[0].split() or [""])[0] in _clause_peers(s.strip()):
+            yield k
+
+
+def _realign(source: str, wanted: tuple[str, ...], peers: tuple[str, ...] | None) -> str | None:
+    """Shift a dangling clause and its suite to the nearest line above that it can belong to."""
+    lines = source.split("\n")
+    for k in _dangling(lines):
+        word = lines[k].strip().split(":")[0].split()[0]
+        if word not in wanted:
+            continue
+        margin = len(indent_of(lines[k]))
+        for i in range(k - 1, -1, -1):
+            first = (lines[i].strip().split(":")[0].split() or [""])[0]
+            if re.match(r"\s*(?:def|class)\b", lines[i]) and len(indent_of(lines[i])) < margin:
+                break
+            if first in (peers or _clause_peers(lines[k].strip())) and lines[i].rstrip().endswith(":") and len(indent_of(lines[i])) != margin:
+                end = _block_end(lines, k)
+                by = len(indent_of(lines[i])) - margin
+                return _join(lines[:k] + [_shift(s, by) for s in lines[k:end]] + lines[end:], source)
+    return None
+
+
+def align_handlers(source: str, error: SyntaxError | None) -> str | None:
+    """Shift a handler's suite to its ``try``."""
+    return _realign(source, ("except", "finally"), ("try",))
+
+
+def align_clause_to_opener(source: str, error: SyntaxError | None) -> str | None:
+    """Shift a clause without an opener to one that fits."""
+    return _realign(source, ("elif", "else", "except", "finally"), None)
+
+
+def fold_postinserted_handler_body(source: str, error: SyntaxError | None) -> str | None:
+    """Indent what stands between a handler and the decompiler's inserted ``else`` that should hold it."""
+    lines = source.split("\n")
+    for k, s in enumerate(lines):
+        if re.match(r"\s*except\b.*:\s*#\s*post-?inserted", s):
+            margin = len(indent_of(s))
+            stop = next((i for i in range(k + 1, len(lines)) if re.match(r"\s*else:\s*#\s*inserted", lines[i]) and len(indent_of(lines[i])) == margin), None)
+            body = lines[k + 1 : stop] if stop else []
+            if any(x.strip() and len(indent_of(x)) <= margin for x in body):
+                return _join(lines[: k + 1] + [_shift(x, 4) if len(indent_of(x)) <= margin else x for x in body] + lines[stop:], source)
+    return None
+
+
+def clause_to_if_true(source: str, error: SyntaxError | None) -> str | None:
+    """A dangling else, except or finally becomes an ``if True``."""
+    lines = source.split("\n")
+    at = next((k for k in _dangling(lines) if not lines[k].strip().startswith("elif")), None)
+    if at is None:
+        return None
+    lines[at] = re.sub(r"^(\s*).*?:", r"\1if True:", lines[at], count=1)
+    return _join(lines, source)
+
+
+def normalize_indentation(source: str, error: SyntaxError | None) -> str | None:
+    """Rebuild indentation from a stack of levels, with the file's most common step."""
+    if not _says(error, "indent"):
+        return None
+    lines = source.expandtabs(4).split("\n")
+    margins = [len(indent_of(s)) for s in lines if s.strip()]
+    steps = [b - a for a, b in zip(margins, margins[1:]) if b > a]
+    step = max(set(steps), key=steps.count) if steps else 4
+    stack, out, opened = [0], [], False
+    quote, depth = "", 0
+    for s in lines:
+        margin = len(indent_of(s))
+        if s.strip() and not quote and depth <= 0:
+            if opened and margin > stack[-1]:
+                stack.append(margin)
+            elif not opened:
+                while len(stack) > 1 and margin < stack[-1] and margin <= (stack[-1] + stack[-2]) / 2:
+                    stack.pop()
+            out.append(" " * (step * (len(stack) - 1)) + s.strip())
+            opened = s.split("#")[0].rstrip().endswith(":")
+        else:
+            out.append(s)
+        quote, depth = scan(s, quote, max(depth, 0))
+    return _join(out, source)
+
+
+def complete_all_orphan_try(source: str, error: SyntaxError | None) -> str | None:
+    lines, changed = source.split("\n"), False
+    while (found := next(_orphan_tries(lines), None)) is not None:
+        lines, changed = _handled(lines, *found), True
+    return _join(lines, source) if changed else None
+
+
+def synthesize_try_for_orphan_handler(source: str, error: SyntaxError | None) -> str | None:
+    """Put the statement before a handler without ``try`` into one."""
+    lines = source.split("\n")
+    for k in _dangling(lines):
+        if not _HANDLER.match(lines[k].strip()):
+            continue
+        margin = len(indent_of(lines[k]))
+        start = next((i for i in range(k - 1, -1, -1) if lines[i].strip() and len(indent_of(lines[i])) <= margin), None)
+        if start is not None and len(indent_of(lines[start])) == margin:
+            return _join(lines[:start] + [" " * margin + "try:"] + [_shift(s, 4) for s in lines[start:k]] + lines[k:], source)
+    return None
+
+
+def drop_surplus_closer(source: str, error: SyntaxError | None) -> str | None:
+    """Remove one closing bracket that matches nothing."""
+    found = re.search(r"unmatched '(.)'", (error.msg if error else "") or "")
+    lines = source.split("\n")
+    at, column = _line(lines, error), (error.offset or 0) - 1 if error else -1
+    if not found or lines[at][column : column + 1] != found[1]:
+        return None
+    lines[at] = lines[at][:column] + lines[at][column + 1 :]
+    return _join(lines, source)
+
+
+def truncate_partial_element(source: str, error: SyntaxError | None) -> str | None:
+    """Cut the error's line at its last comma inside brackets, and close them."""
+    lines = source.split("\n")
+    at = _line(lines, error)
+    cut = lines[at].rfind(",")
+    while cut > 0:
+        left = _open_brackets(lines[at][:cut])
+        if left:
+            lines[at] = lines[at][:cut] + "".join(_OPEN[c] for c in reversed(left))
+            return _join(lines, source)
+        cut = lines[at].rfind(",", 0, cut)
+    return None
+
+
+# Structural operators.
+
+
+def strip_surplus_leading_delimiters(source: str, error: SyntaxError | None) -> str | None:
+    """Two or more brackets in front of a statement's keyword go."""
+    out = re.sub(r"(?m)^([ \t]*)[(\[{]{2,}(?=(?:if|for|while|with|try|def|class|return|raise|import|from)\b)", r"\1", source)
+    return out if out != source else None
+
+
+def normalize_leaked_generic_params(source: str, error: SyntaxError | None) -> str | None:
+    """The compiler's own names for generic parameters become identifiers."""
+    if "<generic parameters of" not in source:
+        return None
+    fix = lambda s: re.sub(r"<generic parameters of (\w+)>", r"_generic_\1", s).replace(".defaults", "_defaults") if "<generic parameters of" in s else s
+    return _join([fix(s) for s in source.split("\n")], source)
+
+
+def rejoin_split_comprehension(source: str, error: SyntaxError | None) -> str | None:
+    """A ``for`` clause with too many closers goes back to the open line above it."""
+    lines = source.split("\n")
+    for k in range(1, len(lines)):
+        if re.match(r"\s*for\b.*\bin\b.*[)\]}]\s*$", lines[k]) and _open_brackets(lines[k - 1]) and not _open_brackets(lines[k - 1] + " " + lines[k].strip()):
+            return _join(lines[: k - 1] + [lines[k - 1].rstrip() + " " + lines[k].strip()] + lines[k + 1 :], source)
+    return None
+
+
+def reduce_doubled_for(source: str, error: SyntaxError | None) -> str | None:
+    """A loop header written twice on a line becomes the loop and its body."""
+    found = re.search(r"(?m)^([ \t]*)for (\w[\w, ]*) in (.+?):?[ \t]*for \2 in \3:[ \t]*(.*)$", source)
+    if not found:
+        return None
+    body = found[4] or "pass"
+    return source[: found.start()] + f"{found[1]}for {found[2]} in {found[3]}:\n{found[1]}    {body}" + source[found.end() :]
+
+
+def renest_flattened_for(source: str, error: SyntaxError | None) -> str | None:
+    """``EXPR for V in IT:`` becomes a loop with the expression as its body."""
+    found = re.search(r"(?m)^([ \t]*)([^\s#(\[{][^#\n(\[{]*?) for (\w[\w, ]*) in ([^\n:]+):[ \t]*$", source)
+    if not found or _STATEMENT.match(found[2]):
+        return None
+    return source[: found.start()] + f"{found[1]}for {found[3]} in {found[4]}:\n{found[1]}    {found[2]}" + source[found.end() :]
+
+
+def give_headerless_block_a_body(source: str, error: SyntaxError | None) -> str | None:
+    """A header that a clause or dedent follows gets a body that passes."""
+    if not _says(error, "expected an indented block"):
+        return None
+    lines = source.split("\n")
+    at = _line(lines, error)
+    header = next((k for k in range(at if lines[at].rstrip().endswith(":") and at == len(lines) - 1 else at - 1, -1, -1) if lines[k].strip()), None)
+    if header is None or not lines[header].split("#")[0].rstrip().endswith(":"):
+        return None
+    return _join(lines[: header + 1] + [indent_of(lines[header]) + "    pass"] + lines[header + 1 :], source)
+
+
+# Registries, in the order in which operators are tried.
+PREPASS: tuple[Operator, ...] = (balance_delimiters, dedent_stray_block, fix_line_continuation, fix_numeric_literal, literal_lhs_rename, complete_orphan_try)
+PURE: tuple[Operator, ...] = (
+    bad_lhs_rename, insert_missing_open_paren, retype_mismatched_closer, complete_truncated_statement, align_handlers, align_clause_to_opener,
+    fold_postinserted_handler_body, clause_to_if_true, normalize_indentation,
+)
+SYNTHETIC: tuple[Operator, ...] = (complete_all_orphan_try, synthesize_try_for_orphan_handler, drop_surplus_closer, truncate_partial_element)
+STRUCTURAL: tuple[Operator, ...] = (
+    strip_surplus_leading_delimiters, normalize_leaked_generic_params, rejoin_split_comprehension, reduce_doubled_for, renest_flattened_for, give_headerless_block_a_body,
+)
+#: Operators that change control flow rather than spelling.
+CONTROL_FLOW_REWRITES = frozenset({"clause_to_if_true", "reduce_doubled_for", "renest_flattened_for"})
+PREPASS_ROUNDS, STACK_ROUNDS = 24, 12
+
+
+def prepass(source: str, operators: tuple[Operator, ...] = PREPASS, rounds: int = PREPASS_ROUNDS) -> tuple[str, list[str]]:
+    """Apply operators one at a time; a step stays if the source compiles then or its first error moves down."""
+    done: list[str] = []
+    error = syntax_error(source)
+    for _ in range(rounds):
+        if error is None:
+            break
+        for op in operators:
+            new = op(source, error)
+            if new is None or new == source:
+                continue
+            after = syntax_error(new)
+            if after is None or (after.lineno or 0) > (error.lineno or 0):
+                source, error = new, after
+                done.append(op.__name__)
+                break
+        else:
+            break
+    return source, done
+
+
+def stack(source: str, operators: tuple[Operator, ...], rounds: int = STACK_ROUNDS) -> tuple[str, list[str]]:
+    """Apply every operator in turn to a fixpoint, without a gate in between; stops when the source compiles."""
+    done: list[str] = []
+    for _ in range(rounds):
+        before = source
+        for op in operators:
+            error = syntax_error(source)
+            if error is None:
+                return source, done
+            new = op(source, error)
+            if new is not None and new != source:
+                source = new
+                done.append(op.__name__)
+        if source == before:
+            break
+    return source, done
+
+
+def exhaustive(source: str, operators: tuple[Operator, ...] = PREPASS + PURE + SYNTHETIC, depth: int = 4, states: int = 250) -> tuple[str, list[str]] | None:
+    """Breadth-first search over operator sequences for the first text that compiles."""
+    seen, queue = {source}, deque([(source, [])])
+    while queue and len(seen) <= states:
+        text, done = queue.popleft()
+        error = syntax_error(text)
+        if error is None:
+            return text, done
+        if len(done) < depth:
+            for op in operators:
+                new = op(text, error)
+                if new is not None and new not in seen:
+                    seen.add(new)
+                    queue.append((new, [*done, op.__name__]))
+    return None
+
+
+def delete_until_compilable(source: str, most: float = 0.95) -> tuple[str, int] | None:
+    """Delete the erroneous span, wider the more often an error stays; None if more than ``most`` of the lines would go."""
+    lines, total, tries = source.split("\n"), max(1, len(source.split("\n"))), 0
+    gone, last = 0, -1
+    while (error := syntax_error("\n".join(lines))) is not None:
+        at = _line(lines, error)
+        tries = tries + 1 if at == last else 0
+        last = at
+        window = minimal_window("\n".join(lines), at + 1, min(tries, 3))
+        gone += window.end - window.start + 1
+        del lines[window.start - 1 : window.end]
+        if gone > most * total or not lines:
+            return None
+    return "\n".join(lines), gone
+
+
+def neutralise(source: str) -> str:
+    """Top-level chunks that don't compile become string literals; the result always compiles."""
+    from .localise import top_level_objects
+
+    parts = [t for _, t in top_level_objects(source)] or [source]
+    safe = [p if syntax_error(p) is None else repr(p) + "\n" for p in parts]
+    text = "".join(safe)
+    return text if syntax_error(text) is None else repr(source) + "\n"
+
+
+def repair_source(source: str, deletion: bool = True, forced: bool = True) -> dict:
+    """The cascade: pre-pass, pure, synthetic and structural stacks, deletion, and neutralising; the first text that compiles."""
+    result = lambda text, stage, done, gone=0: {"repaired": text, "stage": stage, "operations": done, "lines_deleted": gone}
+    if syntax_error(source) is None:
+        return result(source, "clean", [])
+    text, done = prepass(source)
+    if syntax_error(text) is None:
+        return result(text, "prepass", done)
+    for stage, operators in (("pure", PURE), ("synthetic", PURE + SYNTHETIC), ("structural", PURE + SYNTHETIC + STRUCTURAL)):
+        new, more = stack(text, operators)
+        if syntax_error(new) is None:
+            return result(new, stage, done + more)
+    if (found := exhaustive(text)) is not None:
+        return result(found[0], "exhaustive", done + found[1])
+    if deletion and (cut := delete_until_compilable(text)) is not None:
+        return result(cut[0], "deleted", done, cut[1])
+    if forced:
+        return result(neutralise(text), "neutralised", done)
+    return result(None, "failed", done)
+
+
+_RESULT = T.StructType([T.StructField("repaired", T.StringType()), T.StructField("stage", T.StringType()), T.StructField("operations", T.ArrayType(T.StringType())), T.StructField("lines_deleted", T.LongType())])
+
+
+def repair(rows: DataFrame, column: str, deletion: bool = True, forced: bool = True) -> DataFrame:
+    """``rows`` with repaired, stage, operations and lines_deleted; a null source stays null with stage NULL."""
+    from pyspark.sql.functions import pandas_udf
+
+    def run(sources: pd.Series) -> pd.DataFrame:
+        empty = {"repaired": None, "stage": None, "operations": None, "lines_deleted": None}
+        out = pd.DataFrame([empty if s is None else repair_source(s, deletion, forced) for s in sources], columns=list(empty))
+        return out.astype({"lines_deleted": "Int64"})
+
+    run.__annotations__ = {"sources": pd.Series, "return": pd.DataFrame}
+    fixed = pandas_udf(run, _RESULT)(rows[column])
+    names = [c for c in rows.columns if c not in _RESULT.fieldNames()]
+    return rows.withColumn("_fixed", fixed).select(*names, "_fixed.*")
+
+
+def apply_window(source: str, line: int, replacement: str, expansion: int = 0) -> str:
+    """Put a model's replacement for the minimal window around a line back into the source."""
+    return reattach(source, minimal_window(source, line, expansion), replacement)
