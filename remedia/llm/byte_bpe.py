@@ -124,9 +124,7 @@ class Codec:
     def _chunk(self, chunk: str) -> tuple[int, ...]:
         return tuple(chain.from_iterable(map(self._piece, self.pattern.findall(chunk))))
 
-    def encode(self, texts: list[str]) -> Iterator[list[int]]:
-        """Ids of each text, no special tokens. Every distinct chunk of ``texts`` is looked up once."""
-        cut = list(map(safe_chunks, texts))
+    def _found(self, cut: list[tuple[str, list[str]]]) -> dict[str, tuple[int, ...]]:
         found: dict[str, tuple[int, ...]] = dict.fromkeys(chain.from_iterable(rest for _, rest in cut))
         recent = self.chunks
         for c in found:
@@ -135,6 +133,18 @@ class Codec:
                 ids = self._chunk(" " + c)
                 recent.put(c, ids)
             found[c] = ids
+        return found
+
+    def count(self, texts: list[str]) -> list[int]:
+        """Number of ids of each text, without making its list of ids."""
+        cut = list(map(safe_chunks, texts))
+        size = {c: len(ids) for c, ids in self._found(cut).items()}
+        return [(len(self._chunk(first)) if first else 0) + sum(map(size.__getitem__, rest)) for first, rest in cut]
+
+    def encode(self, texts: list[str]) -> Iterator[list[int]]:
+        """Ids of each text, no special tokens. Every distinct chunk of ``texts`` is looked up once."""
+        cut = list(map(safe_chunks, texts))
+        found = self._found(cut)
         for first, rest in cut:
             ids = list(self._chunk(first))
             ids.extend(chain.from_iterable(map(found.__getitem__, rest)))

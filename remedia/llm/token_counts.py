@@ -3,8 +3,8 @@
 A document is kept as a segment tree. Its leaves are runs of pre-tokens: the text is cut where a single space stands
 between two characters that aren't white space, where the pre-token pattern always has a boundary, and cuts are
 gathered into leaves of about ``LEAF`` code points. Each leaf holds its length and token count; each inner node the sums
-below it. An edit walks down to the leaves it touches, takes the whole leaf on either side as boundary context, encodes
-the new text of only those leaves, and updates the sums on the way up. Counting again after an edit costs as much as
+below it. An edit walks down to the leaves it touches, takes neighbouring leaves as boundary context where
+the cut beside them is no longer sure, encodes the new text of only those leaves, and updates the sums on the way up. Counting again after an edit costs as much as
 the edit is long, not as the document is.
 """
 
@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from .arrow_text import slices
 from .byte_bpe import Codec, codec
 
-LEAF = 512
+LEAF = 256
 SLICE_BYTES = 8 << 20
 _CUT = regex.compile(r"(?<=\S) (?=\S)")
 
@@ -88,9 +88,8 @@ class Tree:
         end = min(start + max(deleted, 0), self.length)
         (first, a), (last, b) = self.find(start), self.find(end)
         text = self.parts[first][:a] + inserted + self.parts[last][b:]
-        before, after = max(first - 1, 0), min(last + 1, len(self.parts) - 1)
-        text = (self.parts[before] if before < first else "") + text + (self.parts[after] if after > last else "")
-        # A cut beside the context is safe still: the space there keeps a character that isn't white space on each side.
+        before, after = first, last
+        # Boundary context: a cut stays safe while the space there has a character that isn't white space on each side.
         while after < len(self.parts) - 1 and (not text or text[-1].isspace()):
             after += 1
             text += self.parts[after]
@@ -115,7 +114,7 @@ class Tree:
 
 
 def count(own: Codec, parts: list[str]) -> list[int]:
-    return list(map(len, own.encode(parts)))
+    return own.count(parts)
 
 
 def build(own: Codec, texts: list[str]) -> list[Tree]:
