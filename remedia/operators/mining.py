@@ -54,3 +54,22 @@ def strategies(records: DataFrame, names: list[str], count: int) -> DataFrame:
 def first_overall(rows: DataFrame, test: Column, most: int, *order: str) -> DataFrame:
     """The first ``most`` rows that pass a test, over the whole table in a declared order."""
     return rows.filter(test).orderBy(*order).limit(most)
+
+
+def build_patterns(cases: DataFrame) -> DataFrame:
+    """Pattern rows from accepted telemetry cases.
+
+    ``cases`` has row_idx, case_id, accepted, repair_operation, target_kind, alignment_tag, before_fragment, after_fragment,
+    instruction_diff, gt_window, derived_window, gt and derived (structs of names, consts, varnames, argcount,
+    posonlyargcount, kwonlyargcount, flags) and combined_distance_delta. Fragments are parsed once each, in Arrow batches.
+    """
+    from ..functions import deltas, fragments, labels
+
+    rows = cases.filter(F.coalesce(F.col("accepted"), F.lit(False)))
+    rows = rows.withColumn("_before", fragments.features("before_fragment")).withColumn("_after", fragments.features("after_fragment"))
+    rows = rows.withColumns({k: F.coalesce(c, F.lit(False)) for k, c in labels.instruction_flags(F.col("instruction_diff"), F.col("gt_window"), F.col("derived_window")).items()})
+    side = lambda s: {k: F.col(f"{s}.{k}") for k in ("names", "consts", "varnames", "argcount", "posonlyargcount", "kwonlyargcount", "flags")}
+    rows = rows.withColumns({k: F.coalesce(c, F.lit(0)) if k.endswith("_count") else c for k, c in metadata_delta(side("gt"), side("derived")).items()})
+    rows = rows.withColumns(deltas.source_delta(F.col("_before"), F.col("_after")))
+    rows = rows.withColumn("alignment_category", labels.indexed_alignment(F.col("repair_operation"), F.col("alignment_tag")))
+    return rows.withColumn("action_type", labels.action(F.col)).drop("_before", "_after", "gt", "derived")
