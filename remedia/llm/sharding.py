@@ -26,6 +26,8 @@ MIN_RANGES, MAX_RANGES, RANGE_BYTES = 1024, 4096, 256 << 20
 DRAWS_PER_RANGE = 16
 #: A range, or a group of equal texts, is overfull beyond so many times the mean range.
 OVERFULL = 2
+#: Part of a shard that a group of equal texts may exceed a shard's room by rather than be subdivided.
+SLACK = 0.02
 _FAN = 64
 
 
@@ -54,9 +56,10 @@ def _range_of(splitters: list[int]):
 def _place(heavy: list, pieces: dict[int, list], room: list[float]) -> dict[int, int]:
     """Shard of each piece of each heavy group; takes what it places from ``room``."""
     at: dict[int, int] = {}
+    slack = SLACK * sum(room) / len(room)
     for g in sorted(heavy, key=lambda g: (-g.bytes, g.h)):
         best = max(range(len(room)), key=lambda s: room[s])
-        whole = g.bytes <= room[best]
+        whole = g.bytes <= room[best] + slack
         for p in sorted(pieces[g.h], key=lambda p: (-p.bytes, p.unit)):
             s = best if whole else max(range(len(room)), key=lambda s: room[s])
             at[p.unit] = s
@@ -67,8 +70,8 @@ def _place(heavy: list, pieces: dict[int, list], room: list[float]) -> dict[int,
 def assign(docs: DataFrame, shards: int = 8) -> DataFrame:
     """One row per row of ``docs`` (columns doc_id, text): doc_id, size, text_crc32, shard, slot.
 
-    Size is UTF-8 bytes plus 1 (null text: 1). Shards differ in bytes by a few thousandths of a shard unless single
-    texts are larger than that; equal texts share a shard unless they don't fit one. Slots number each
+    Size is UTF-8 bytes plus 1 (null text: 1). Shards differ from their mean by SLACK at most unless single texts
+    are larger than that; equal texts share a shard unless they don't fit one. Slots number each
     shard's rows from 0 without gaps in key order. Null ids are rows like any other; an empty table gives an empty result.
     """
     spark = docs.sparkSession
