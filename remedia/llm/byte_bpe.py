@@ -76,7 +76,7 @@ class _Recent:
 class Codec:
     """Encoder and decoder of one rank file; made once a worker and kept."""
 
-    def __init__(self, path: str, pattern: str) -> None:
+    def __init__(self, path: str, pattern: str, remembered: int = REMEMBERED) -> None:
         import ahocorasick
         from tokenizers import models
 
@@ -104,7 +104,7 @@ class Codec:
         self.decimal = list(map(str, range(size)))
         self.number = list(range(size))  # one object for each id, so that remembered pieces share them
         self.whole = {shown[t]: (self.number[r],) for t, r in ranks.items()}
-        self.chunks, self.pieces = _Recent(REMEMBERED), _Recent(REMEMBERED)
+        self.chunks, self.pieces = _Recent(remembered), _Recent(remembered)
 
     def _piece(self, piece: str) -> tuple[int, ...]:
         """Ids of one match of the pattern."""
@@ -173,8 +173,8 @@ class Codec:
 
 
 @cache
-def codec(path: str, pattern: str) -> Codec:
-    return Codec(path, pattern)
+def codec(path: str, pattern: str, remembered: int = REMEMBERED) -> Codec:
+    return Codec(path, pattern, remembered)
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -216,12 +216,12 @@ def decode(tokens: DataFrame, path: str, pattern: str) -> DataFrame:
     return rows.mapInArrow(run, T.StructType([rows.schema["doc_id"], T.StructField("decoded", T.BinaryType())]))
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+def round_trip(docs: DataFrame, path: str, pattern: str, remembered: int = REMEMBERED) -> DataFrame:
     """Encode and decode in one pass: doc_id, n_tokens, ids_sha256 (of decimal ids joined by commas), decoded_sha256."""
     rows = _rows(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, sha = codec(path, pattern), hashlib.sha256
+        own, sha = codec(path, pattern, remembered), hashlib.sha256
         for batch in batches:
             for part in slices(batch, 1, SLICE_BYTES):
                 counts, marks, back = [], [], []

@@ -12,6 +12,10 @@ from pyspark.sql.window import Window
 
 #: Characters that separate words: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACE_CHARS = " \t\n\x0b\x0c\r"
+#: A written table of at most so many narrow rows may be broadcast; a larger one is joined by shuffling.
+BROADCAST_ROWS = 250_000
+#: Text that one Arrow batch may hold.
+BATCH_BYTES = 8 << 20
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -36,6 +40,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let Arrow batches hold BATCH_BYTES at most, unless the session asks for less: long texts then need little memory."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(str(spark.conf.get(name)).removesuffix("b")) <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
+def broadcast_if_small(table: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """A written table, marked for broadcast if its row count (from Parquet footers) is within the bound."""
+    return F.broadcast(table) if table.count() <= most else table
+
+
 def drop_written(df: DataFrame) -> None:
     """Delete the files behind a table made by :func:`written` that nothing will read again."""
     spark = df.sparkSession
@@ -64,7 +80,8 @@ def rows_kept(docs: DataFrame, decided: DataFrame, digest: Column, best: list[Co
     names = docs.columns
     marked = docs.withColumns({"_rk_doc_id": F.col("doc_id"), "_rk_doc_digest": digest})
     same = lambda k: k["_rk_id"].eqNullSafe(marked["_rk_doc_id"]) & (k["_rk_digest"] == marked["_rk_doc_digest"])
-    out = marked.join(decided, same(decided), "left_anti").drop("_rk_doc_id", "_rk_doc_digest")
+    dropped = broadcast_if_small(decided)
+    out = marked.join(dropped, same(dropped), "left_anti").drop("_rk_doc_id", "_rk_doc_digest")
     more = decided.filter("_rk_any")
     if not more.isEmpty():
         first = F.row_number().over(Window.partitionBy("_rk_doc_id", "_rk_doc_digest").orderBy(*(best or [F.lit(0)])))

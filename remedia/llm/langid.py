@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .arrow_text import by_length, code_points, encoded, slices
+from .common import broadcast_if_small, small_batches, written
 
 #: The fitting sample: documents of each language, and their most frequent words of each language.
 TRAIN_ROWS, TRAIN_WORDS = 400, 40_000
@@ -37,7 +38,7 @@ UNDECIDED = "und"
 #: Texts below this posterior are rejected by the filter.
 LEAST_SCORE = 0.5
 #: Text bytes that are scored at once.
-SLICE_BYTES = 12 << 20
+SLICE_BYTES = 4 << 20
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -197,6 +198,7 @@ def training_words(docs: DataFrame, rows: int = TRAIN_ROWS, words: int = TRAIN_W
     usable = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = usable.select("doc_id", "lang").withColumn("_nth", F.row_number().over(order)).filter(F.col("_nth") <= rows).select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"))
+    chosen = broadcast_if_small(written(chosen, "langid-sample"))  # at most ``rows`` a language
     texts = usable.join(chosen, (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang"))).select(F.col("lang").cast("string").alias("lang"), "text")
     counts = texts.mapInArrow(count, "lang string, word string, n long").filter("word <> ''").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     often = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
@@ -237,6 +239,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     alphabetical order is named. Rows are scored by themselves, so null ids and repeated rows make no difference;
     an empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # vocabulary size x languages
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,6 +258,7 @@ def keep_identified(docs: DataFrame, model: Model, least: float = LEAST_SCORE) -
 
     Rejected are null texts, texts without a letter, and texts that no language explains clearly better than the others.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 

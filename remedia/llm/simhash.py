@@ -23,7 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import rows_kept, written
+from .arrow_text import slices
+from .common import rows_kept, small_batches, written
 from .components import connected_components
 
 BITS = 64
@@ -32,6 +33,8 @@ RADIUS = 3
 SEED = 42
 #: Largest bucket that one task searches; beyond it the exact way around single values is taken.
 BUCKET = 4096
+#: Text bytes that a worker holds as Python objects at once.
+SLICE_BYTES = 4 << 20
 
 
 def fingerprint(text: bytes, words: int = SHINGLE_WORDS) -> int:
@@ -55,10 +58,12 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(3).cast(pa.binary()).to_pylist()
-            made = np.array([fingerprint(t) if t else 0 for t in texts], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(made)], names=["doc_id", "text_hash", "uid", "fp"])
+            for part in slices(batch, 3, SLICE_BYTES):
+                texts = part.column(3).cast(pa.binary()).to_pylist()
+                made = np.array([fingerprint(t) if t else 0 for t in texts], dtype=np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(made)], names=["doc_id", "text_hash", "uid", "fp"])
 
+    small_batches(docs.sparkSession)
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", F.xxhash64(text).alias("text_hash"), F.monotonically_increasing_id().alias("uid"), text.alias("text"))
     schema = T.StructType([*rows.schema.fields[:3], T.StructField("fp", T.LongType(), False)])
