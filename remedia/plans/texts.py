@@ -101,6 +101,13 @@ def literal_superset_match(spark: SparkSession, d: str) -> DataFrame:
     return alignment.literal_supersets(frags, rows)
 
 
+@query()
+def literal_superset_match_whole(spark: SparkSession, d: str) -> DataFrame:
+    """For every text the largest text of its source that holds all of its words (tested against brute force)."""
+    rows = v.table(spark, d, "documents").select("doc_id", F.col("source").alias("file"), F.array_distinct(F.split(F.lower("text"), " ")).alias("items"))
+    return alignment.literal_supersets(rows.withColumnRenamed("doc_id", "frag_id"), rows.withColumnRenamed("doc_id", "cont_id"))
+
+
 @query()
 def budget_clamp(spark: SparkSession, d: str) -> DataFrame:
     """The window of lines around the middle of each text that fits 120 tokens (tested against a plain loop)."""
