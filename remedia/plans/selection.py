@@ -39,6 +39,12 @@ def retry_failed_semi(spark: SparkSession, d: str) -> DataFrame:
     return selection.retry_failed(v.cases(spark, d), log).select("file_hash", "source")
 
 
+@query()
+def retry_failed_semi_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Cases with attempts of which none succeeded, by the whole log (tested against a plain loop)."""
+    return selection.retry_failed(v.cases(spark, d), v.attempts(spark, d)).select("file_hash", "source")
+
+
 @query(v.CASES, v.ATTEMPTS, sql="SELECT file_hash, source FROM cases c WHERE NOT EXISTS (SELECT 1 FROM attempts a WHERE a.file_hash = c.file_hash)")
 def skip_done_anti(spark: SparkSession, d: str) -> DataFrame:
     return selection.skip_done(v.cases(spark, d), v.attempts(spark, d)).select("file_hash", "source")
@@ -87,7 +93,17 @@ def easy_first_order(spark: SparkSession, d: str) -> DataFrame:
 @query(v.verifications_sql("results", False), sql="""SELECT file, names, min((rnk * 1000 + off)::BIGINT) // 1000 AS worst_rank, min((rnk * 1000 + off)::BIGINT) % 1000 AS worst_offset,
   bool_or(success) AS any_success FROM results_state GROUP BY 1, 2""")
 def state_worst(spark: SparkSession, d: str) -> DataFrame:
-    rows = state.worst_states(v.verifications(spark, d, False))
+    return _worst(v.verifications(spark, d, False))
+
+
+@query()
+def state_worst_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Worst states over all orders (tested against a plain loop)."""
+    return _worst(v.verifications(spark, d, False, whole=True))
+
+
+def _worst(results: DataFrame) -> DataFrame:
+    rows = state.worst_states(results)
     return rows.select("file", "names", F.col("state.rank").cast("long").alias("worst_rank"), F.col("state.offset").cast("long").alias("worst_offset"), F.col("any_success").alias("any_success"))
 
 
@@ -107,7 +123,16 @@ judged AS (
   count(*) FILTER (WHERE worse) = 0 AND sum(good_new) >= sum(good_old) AS non_regressing, count(*) FILTER (WHERE better) > 0 AND count(*) FILTER (WHERE worse) = 0 AS strict_improvement
   FROM judged GROUP BY file""")
 def state_compare(spark: SparkSession, d: str) -> DataFrame:
-    rows = state.compare(v.verifications(spark, d, False), v.verifications(spark, d, True))
+    return _compared(state.compare(v.verifications(spark, d, False), v.verifications(spark, d, True)))
+
+
+@query()
+def state_compare_whole(spark: SparkSession, d: str) -> DataFrame:
+    """States before and after over all orders (tested against a plain loop)."""
+    return _compared(state.compare(v.verifications(spark, d, False, whole=True), v.verifications(spark, d, True, whole=True)))
+
+
+def _compared(rows: DataFrame) -> DataFrame:
     return rows.select(
         "file", F.array_join("improved", ",").alias("improved"), F.array_join("regressed", ",").alias("regressed"), "successes_before", "successes_after",
         state.non_regressing().alias("non_regressing"), state.strict_improvement().alias("strict_improvement"),
@@ -118,7 +143,16 @@ def state_compare(spark: SparkSession, d: str) -> DataFrame:
   CASE WHEN count(*) FILTER (WHERE worse) > 0 THEN false WHEN count(*) FILTER (WHERE better) > 0 THEN true ELSE file * 7 % 50 < file * 11 % 50 END AS by_oracle,
   file * 7 % 50 <= file * 11 % 50 - 5 AS enough FROM judged GROUP BY file""")
 def accept_gate(spark: SparkSession, d: str) -> DataFrame:
-    rows = state.compare(v.verifications(spark, d, False), v.verifications(spark, d, True))
+    return _accepted(state.compare(v.verifications(spark, d, False), v.verifications(spark, d, True)))
+
+
+@query()
+def accept_gate_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Acceptance over all orders (tested against a plain loop)."""
+    return _accepted(state.compare(v.verifications(spark, d, False, whole=True), v.verifications(spark, d, True, whole=True)))
+
+
+def _accepted(rows: DataFrame) -> DataFrame:
     before, after = F.col("file") * 11 % 50, F.col("file") * 7 % 50
     return rows.select(
         "file", state.accept_by_distance(before, after, F.col("successes_before"), F.col("successes_after")).alias("by_distance"),

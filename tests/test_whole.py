@@ -1,6 +1,7 @@
 """Queries over whole texts and tables against brute force, with what a cut would lose planted behind it."""
 
-from remedia.plans import texts
+from remedia.plans import selection, texts
+from remedia.plans import views as v
 
 FILLER = " ".join(f"w{i}" for i in range(70))
 
@@ -16,3 +17,39 @@ def test_superset_of_whole_texts(spark, tmp_path):
     want = {i: min((-len(c), k) for k, (f, c) in sets.items() if f == s and w <= c)[1] for i, (s, w) in sets.items()}
     got = {r["frag_id"]: r["cont_id"] for r in texts.literal_superset_match_whole(spark, documents(spark, tmp_path, rows)).collect()}
     assert got == want and got[1] == 2 and got[7] == 2 and got[4] == 4
+
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_retry_reads_the_whole_log(spark):
+    done = {}
+    for r in v.attempts(spark, SF).select("file_hash", "compiled_success").collect():
+        done[r["file_hash"]] = done.get(r["file_hash"], False) or bool(r["compiled_success"])
+    want = sorted(r["file_hash"] for r in v.cases(spark, SF).collect() if done.get(r["file_hash"]) is False)
+    assert sorted(r["file_hash"] for r in selection.retry_failed_semi_whole(spark, SF).collect()) == want
+
+
+def test_states_of_all_orders(spark):
+    orders = spark.read.parquet(f"{SF}/orders.parquet").collect()
+    worst, better, worse, good = {}, {}, {}, {}
+    for after in (0, 1):
+        for o in orders:
+            k = o["o_orderkey"]
+            success, message = o["o_orderstatus"] == "FO"[after], ("Different bytecode", "Different control flow", "Missing bytecode", "Strange")[(k + after) % 4]
+            exact = message == "Different bytecode" and k % 3 != after
+            state = (4, 0) if success else (3, k % 50) if exact else (2, 0) if message == "Different bytecode" else (0, 0) if message == "Missing bytecode" else (1, 0)
+            at = worst.setdefault((o["o_custkey"], f"f{k % 7}"), [None, None, False])
+            at[after] = state if at[after] is None else min(at[after], state)
+            at[2] = at[2] or (success and not after)
+            good.setdefault(o["o_custkey"], [0, 0])[after] += success
+    for (file, name), (old, new, _) in worst.items():
+        better.setdefault(file, []).extend([name] * (new > old))
+        worse.setdefault(file, []).extend([name] * (new < old))
+    got = {(r["file"], r["names"]): [(r["worst_rank"], r["worst_offset"]), r["any_success"]] for r in selection.state_worst_whole(spark, SF).collect()}
+    assert got == {k: [old, any_success] for k, (old, _, any_success) in worst.items()}
+    compared = {r["file"]: (r["improved"], r["regressed"], [r["successes_before"], r["successes_after"]]) for r in selection.state_compare_whole(spark, SF).collect()}
+    assert compared == {f: (",".join(sorted(better[f])), ",".join(sorted(worse[f])), good[f]) for f in good}
+    for r in selection.accept_gate_whole(spark, SF).collect():
+        f = r["file"]
+        assert r["by_oracle"] == (False if worse[f] else True if better[f] else f * 7 % 50 < f * 11 % 50)
