@@ -45,6 +45,23 @@ def symdiff_sets(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", outcomes.set_delta(F.col("a"), F.col("b"))["added"].alias("added"))
 
 
+@query()
+def set_delta_counts_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Words of each text that its neighbour lacks, both ways, over whole texts (tested against sets)."""
+    words = lambda c: F.array_distinct(F.array_remove(F.split(F.lower(F.col(c)), " "), ""))
+    delta = outcomes.set_delta(F.col("a"), F.col("b"))
+    rows = _pairs(spark, d).select("doc_id", words("before").alias("a"), words("after").alias("b"))
+    return rows.select("doc_id", *(delta[n].cast("long").alias(n) for n in ("n_removed", "n_added", "n_shared")), F.least(F.lit(3), delta["n_shared"]).cast("long").alias("overlap"))
+
+
+@query()
+def symdiff_sets_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Words that the neighbour of each text adds, over whole texts (tested against sets)."""
+    words = lambda c: F.array_distinct(F.split(F.col(c), " "))
+    rows = _pairs(spark, d).select("doc_id", words("before").alias("a"), words("after").alias("b"))
+    return rows.select("doc_id", outcomes.set_delta(F.col("a"), F.col("b"))["added"].alias("added"))
+
+
 _MESSAGE = """m AS (SELECT event_id, CASE event_id % 6 WHEN 0 THEN '  ''('' was never closed (file.py, line ' || event_id || ')' WHEN 1 THEN 'unexpected indent (x.py, line 7)' WHEN 2 THEN 'Invalid decimal literal'
   WHEN 3 THEN '' WHEN 4 THEN 'invalid syntax' END AS msg FROM events)"""
 

@@ -53,3 +53,16 @@ def test_states_of_all_orders(spark):
     for r in selection.accept_gate_whole(spark, SF).collect():
         f = r["file"]
         assert r["by_oracle"] == (False if worse[f] else True if better[f] else f * 7 % 50 < f * 11 % 50)
+
+
+def test_deltas_of_whole_texts(spark, tmp_path):
+    rows = [(1, "a", f"{FILLER} Old both"), (2, "a", f"new {FILLER}  both"), (3, "a", "both"), (5, "a", "x"), (6, "a", None)]
+    d = documents(spark, tmp_path, rows)
+    text = {i: t for i, _, t in rows}
+    pairs = [(i, text[i], text[i + 1]) for i in text if text.get(i + 1) is not None]
+    got = {r["doc_id"]: tuple(r)[1:] for r in texts.set_delta_counts_whole(spark, d).collect()}
+    for i, a, b in pairs:
+        a, b = ({w for w in t.lower().split(" ") if w} for t in (a, b))
+        assert got[i] == (len(a - b), len(b - a), len(a & b), min(3, len(a & b)))
+    added = {r["doc_id"]: r["added"] for r in texts.symdiff_sets_whole(spark, d).collect()}
+    assert all(added[i] == sorted(set(b.split(" ")) - set(a.split(" "))) for i, a, b in pairs) and got[1] == (1, 1, 71, 3) and added[1] == ["", "new"]
