@@ -92,6 +92,20 @@ def easy_first(distance: Column, targets: Column, missing: Column, extra: Column
     )
 
 
+def ranked(rows: DataFrame, *order: str) -> DataFrame:
+    """``rows`` (no other columns than ``order``, which tells all rows apart) with their rank ``n`` from 1, without bringing them to one task.
+
+    Rows are numbered within ranges of ``order``; only one row a range is summed in one place. The number of ranges is
+    given, so that both uses of the ranges read the same ones.
+    """
+    ranges = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = rows.select(*order).repartitionByRange(ranges, *order).withColumn("_part", F.spark_partition_id())
+    parts = spread.groupBy("_part").agg(F.count("*").alias("_size"))
+    parts = parts.withColumn("_before", F.sum("_size").over(Window.orderBy("_part")) - F.col("_size")).select("_part", "_before")
+    spread = spread.withColumn("_nth", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
+    return spread.join(F.broadcast(parts), "_part").select(*order, (F.col("_before") + F.col("_nth")).alias("n"))
+
+
 def size_guard(texts: DataFrame, column: str, most: int) -> DataFrame:
     """All rows, with ``skipped`` true where the text has more bytes than allowed: rejects are rows, not losses."""
     return texts.withColumn("skipped", F.coalesce(F.octet_length(column) > most, F.lit(False)))

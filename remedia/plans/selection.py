@@ -90,6 +90,14 @@ def easy_first_order(spark: SparkSession, d: str) -> DataFrame:
     return first.select("file_hash", F.row_number().over(Window.orderBy("key", "file_hash")).cast("long").alias("n"))
 
 
+@query()
+def easy_first_order_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Every case and its rank, easiest first (tested against a plain sort)."""
+    c = F.col
+    key = selection.easy_first(c("distance"), c("targets"), c("missing"), c("extra"), c("parents"), c("present"))
+    return selection.ranked(v.preflights(spark, d).select(key.alias("key"), "file_hash"), "key", "file_hash").select("file_hash", "n")
+
+
 @query(v.verifications_sql("results", False), sql="""SELECT file, names, min((rnk * 1000 + off)::BIGINT) // 1000 AS worst_rank, min((rnk * 1000 + off)::BIGINT) % 1000 AS worst_offset,
   bool_or(success) AS any_success FROM results_state GROUP BY 1, 2""")
 def state_worst(spark: SparkSession, d: str) -> DataFrame:

@@ -66,3 +66,12 @@ def test_deltas_of_whole_texts(spark, tmp_path):
         assert got[i] == (len(a - b), len(b - a), len(a & b), min(3, len(a & b)))
     added = {r["doc_id"]: r["added"] for r in texts.symdiff_sets_whole(spark, d).collect()}
     assert all(added[i] == sorted(set(b.split(" ")) - set(a.split(" "))) for i, a, b in pairs) and got[1] == (1, 1, 71, 3) and added[1] == ["", "new"]
+
+
+def test_rank_of_every_case(spark):
+    big = 10**9
+    rows = v.preflights(spark, SF).collect()
+    key = lambda r: (int(bool(r["missing"] or r["extra"])), r["targets"], r["distance"], r["parents"]) if r["present"] else (1, 10**6, big, 10**6)
+    want = [r["file_hash"] for r in sorted(rows, key=lambda r: (*key(r), r["file_hash"]))]
+    got = sorted(selection.easy_first_order_whole(spark, SF).collect(), key=lambda r: r["n"])
+    assert [r["n"] for r in got] == list(range(1, len(rows) + 1)) and [r["file_hash"] for r in got] == want
