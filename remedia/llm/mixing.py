@@ -22,7 +22,7 @@ from .common import small_table, written
 #: Slots of a period, and the finest share: smaller sources are pooled into one stream.
 PERIOD = 1024
 BLOCK = 16
-#: Default targets: natural shares, but no source above this share of the mixture ...
+#: Targets with a cap: natural shares, but no source above this share of the mixture ...
 MAX_SHARE = 0.25
 #: ... and none loses more than this part of its documents to it.
 MAX_LOSS = 0.5
@@ -35,14 +35,19 @@ def order_key(doc_id):
 
 
 def capped_quotas(sizes: list[int], total: int, max_share: float = MAX_SHARE, max_loss: float = MAX_LOSS) -> list[int]:
-    """Documents that each of the largest sources (``sizes``, descending, of ``total``) gives to the mixture."""
+    """Documents that each of the largest sources (``sizes``, descending, of ``total``) gives to the mixture.
+
+    All of them where no mixture has the cap, as with fewer than 1 / ``max_share`` sources.
+    """
     for k in range(len(sizes) + 1):
         if 1 - k * max_share <= 0:
             break
         mixture = (total - sum(sizes[:k])) / (1 - k * max_share)
+        if mixture <= 0:
+            break
         if k == len(sizes) or sizes[k] <= max_share * mixture:
             return [max(min(n, floor(max_share * mixture)), ceil((1 - max_loss) * n)) if i < k else n for i, n in enumerate(sizes)]
-    return [max(min(n, sizes[-1]), ceil((1 - max_loss) * n)) for n in sizes]
+    return list(sizes)
 
 
 def slot_weights(quotas: list[int], period: int = PERIOD) -> list[int]:
@@ -88,12 +93,12 @@ def schedule(spark, slots: list[int]) -> DataFrame:
     return start.select(F.posexplode(merged).alias("slot", "p")).select("slot", "p.stream", "p.nth", "p.release", "p.deadline")
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, period: int = PERIOD) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, period: int = PERIOD, max_share: float | None = MAX_SHARE) -> DataFrame:
     """One row per row of ``docs`` (columns doc_id, source, text): where it stands in the mixture.
 
     Returns doc_id, text_hash, source, stream, rank, block, release, deadline, slot, position, selected. ``weights`` are target
     shares by source (others get none); the mixture then ends where the first of them is used up. Without them the
-    targets are natural shares with the cap MAX_SHARE. A null source is a source of its own, a null id sorts first,
+    targets are natural shares with the cap ``max_share``; None takes every row of every source. A null source is a source of its own, a null id sorts first,
     repeated rows have ranks of their own, and an empty table gives an empty result. Rows beyond their source's quota
     keep a rank but have ``selected`` false and no slot or position.
     """
@@ -107,7 +112,8 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = B
     total = sizes.agg(F.sum("n")).first()[0] or 0
     if weights is None:
         large = [(r["source"], r["n"]) for r in sizes.filter(F.col("n") >= total / period).orderBy(F.desc("n"), "source").collect()]  # at most period rows
-        quotas = capped_quotas([n for _, n in large], total) if large else []
+        counts = [n for _, n in large]
+        quotas = counts if max_share is None else capped_quotas(counts, total, max_share)
     else:
         wanted = {s: w for s, w in weights.items() if w > 0}
         counted = {r["source"]: r["n"] for r in sizes.filter(F.col("source").isin(list(wanted))).collect()}
@@ -142,12 +148,12 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = B
     )
 
 
-def mixture(docs: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
+def mixture(docs: DataFrame, weights: dict[str, float] | None = None, max_share: float | None = MAX_SHARE) -> DataFrame:
     """The selected rows of ``docs``, all columns kept, range-partitioned and sorted into the mixture's order.
 
     Rows that repeat both id and text stand together at the first of their positions.
     """
-    places = mix(docs, weights).filter("selected").groupBy(F.col("doc_id").alias("_rk_id"), F.col("text_hash").alias("_rk_digest"))
+    places = mix(docs, weights, max_share=max_share).filter("selected").groupBy(F.col("doc_id").alias("_rk_id"), F.col("text_hash").alias("_rk_digest"))
     places = written(places.agg(F.min("position").alias("_rk_position")), "mix-places")
     marked = docs.withColumns({"_rk_doc_id": F.col("doc_id"), "_rk_doc_digest": F.xxhash64(F.coalesce(F.col("text"), F.lit("")))})
     same = places["_rk_id"].eqNullSafe(marked["_rk_doc_id"]) & (places["_rk_digest"] == marked["_rk_doc_digest"])

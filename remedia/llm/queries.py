@@ -39,7 +39,7 @@ def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(_table(spark, sf_dir, "documents")).drop("text_hash")
+    return mixing.mix(_table(spark, sf_dir, "documents"), max_share=None).drop("text_hash")
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from remedia.llm import chat_format, exact_dedup, mixing, sharding
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, digest string, uid int, kept string"
@@ -123,6 +124,17 @@ def test_mixture(spark):
     assert ordered.columns == [c.split()[0] for c in DOCS.split(", ")] and 790 <= ordered.count() <= len(places) + 1
 
 
+def test_mixture_keeps_every_row(spark):
+    from remedia.llm import queries
+
+    for sizes in ([1000], [700, 300], [600, 300, 100]):
+        assert mixing.capped_quotas(sizes, sum(sizes)) == sizes
+    folder = "/root/testdata/sf0.001"
+    assert all(r["selected"] for r in queries.op4_mixing(spark, folder).collect())
+    rows = [(i, f"t{i}", "big" if i < 900 else f"s{i % 3}") for i in range(1000)]
+    assert corpus_pipeline.source_mixing(spark, docs(spark, rows), folder).count() == 1000
+
+
 def test_mixture_with_weights(spark):
     rows = [(i, f"t{i}", "ab"[i % 2]) for i in range(1000)]
     got = Counter(r["source"] for r in mixing.mix(docs(spark, rows), {"a": 0.8, "b": 0.2}).collect() if r["selected"])
