@@ -21,11 +21,17 @@ from pyspark.sql import types as T
 
 LEVEL = 3
 #: (at least so many bytes, lowest ratio, highest ratio). Frames have a fixed cost, so short texts may exceed 1.
-BANDS = [(0, 0.20, 1e9), (64, 0.25, 1.50), (256, 0.30, 0.90), (1024, 0.25, 0.78), (4096, 0.20, 0.72), (16384, 0.16, 0.68), (65536, 0.14, 0.66)]
+#: Highest ratios are a margin over ordinary prose of that length. Random letters and digits are above them from 176 bytes on (most of
+#: them from 128), random lower-case letters from 1,536 on; shorter ones are not told from prose.
+BANDS = [
+    (0, 0.20, 1e9), (64, 0.25, 1.50), (128, 0.25, 0.955), (144, 0.25, 0.94), (176, 0.25, 0.91), (192, 0.25, 0.88), (208, 0.25, 0.87), (224, 0.25, 0.85), (256, 0.30, 0.82), (384, 0.30, 0.77),
+    (512, 0.30, 0.72), (1024, 0.25, 0.62), (1536, 0.25, 0.59), (2048, 0.25, 0.58), (4096, 0.20, 0.54), (16384, 0.16, 0.50), (65536, 0.14, 0.50),
+]
 CHUNK = 4096
 #: A last chunk shorter than this is judged together with the one before.
 CHUNK_LEAST = 1024
-CHUNK_BAND = (0.20, 0.75)
+#: The lowest ratio of a chunk; the highest is that of a text of its length.
+CHUNK_LOW = 0.20
 MAX_BAD_CHUNKS = 0.25
 WINDOW = 5
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
@@ -75,15 +81,20 @@ def chunks(text: bytes) -> list[bytes]:
     return [text[a:b] for a, b in zip(cuts, [*cuts[1:], len(text)])]
 
 
+def band(n: int) -> tuple[float, float]:
+    """Lowest and highest ratio of a text of ``n`` bytes."""
+    return BANDS[bisect_right(BANDS, (n, 2e9, 2e9)) - 1][1:]
+
+
 def compression(text: bytes, packer: zstandard.ZstdCompressor) -> tuple[float, int, int, int, bool]:
     """Whole ratio, chunks, chunks too low, chunks too high, verdict. An empty text has ratio 0 and passes."""
     if not text:
         return 0.0, 0, 0, 0, True
     ratio = len(packer.compress(text)) / len(text)
-    _, low, high = BANDS[bisect_right(BANDS, (len(text), 2e9, 2e9)) - 1]
+    low, high = band(len(text))
     parts = chunks(text) if len(text) > CHUNK + CHUNK_LEAST else []
     each = [len(packer.compress(c)) / len(c) for c in parts]
-    too_low, too_high = sum(r < CHUNK_BAND[0] for r in each), sum(r > CHUNK_BAND[1] for r in each)
+    too_low, too_high = sum(r < CHUNK_LOW for r in each), sum(r > band(len(c))[1] for r, c in zip(each, parts))
     return ratio, len(each), too_low, too_high, low <= ratio <= high and too_low + too_high <= MAX_BAD_CHUNKS * len(each)
 
 

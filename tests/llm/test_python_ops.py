@@ -144,6 +144,19 @@ def test_compression_bands():
         assert b"".join(quality_bands.chunks(b"x" * n)) == b"x" * n
 
 
+def test_random_text_is_outside_every_band():
+    rng = random.Random(9)
+    packer = zstandard.ZstdCompressor(level=3)
+    judge = lambda b: quality_bands.compression(b, packer)[-1]
+    words = lambda letters, n: " ".join("".join(rng.choices(letters, k=rng.randint(2, 9))) for _ in range(n)).encode()[:n]
+    lower = "abcdefghijklmnopqrstuvwxyz"
+    for n in (128, 176, 192, 208, 224, 256, 383, 384, 511, 512, 1000, 1023, 1024, 1535, 1536, 2000, 2048, 4000, 4095, 4096, 5119, 5120, 16384, 65536):
+        assert not judge(words(lower + lower.upper() + "0123456789", n)), n
+        assert n < 1536 or not judge(words(lower, n)), n
+        assert judge(words("etaoinshrdlu", n)) or n > 16000, n
+    assert not judge(words("etaoinshrdlu", 4096) + words(lower + "0123456789", 4096))
+
+
 TRICKY = ["", " ", "  a", "a  b", "x\n y", "don't  stop\t\n", "…语言🙂🙂", "a" * 5000, " " * 300, "=" * 99, "ere" * 7, " x  y", "<|endoftext|>", "é \x1c z", "1234 567"]
 
 
