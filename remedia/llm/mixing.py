@@ -1,9 +1,9 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-Each source's documents are put into a fixed order and cut into blocks. Block i of a stream with a of H slots has
-release time floor(i * H / a) and deadline ceil((i + 1) * H / a). Every slot goes to the released block with the
-earliest deadline, so that after any number of slots each stream has its share to within less than one block. The
-schedule repeats after H slots; one period is made with Spark's array functions and joined to the blocks.
+Each source's documents are put into a fixed order and cut into blocks; every source is a stream. Block i of a stream with b
+of all T blocks has release time floor(i * T / b) and deadline ceil((i + 1) * T / b). Every slot goes to the released block
+with the earliest deadline, so that after any number of slots each stream has its share to within less than one block.
+The T turns depend on each other, so the driver makes them, one a block, and writes them in parts to be joined to the blocks.
 
 Ranks within a source never put one source into one task: rows are counted by (stream, order bucket), the counts are
 summed into offsets, and each bucket is numbered by itself.
@@ -11,16 +11,24 @@ summed into offsets, and each bucket is numbered by itself.
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+from heapq import heappop, heappush
+from itertools import islice
 from math import ceil, floor
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import small_table, written
+from .common import broadcast_if_small, scratch_root, written
 
-#: Slots of a period, and the finest share: smaller sources are pooled into one stream.
+#: Slots of a period of whole slots (:func:`slot_weights`).
 PERIOD = 1024
+#: Turns that the driver holds at once.
+CHUNK_TURNS = 250_000
 BLOCK = 16
 #: Targets with a cap: natural shares, but no source above this share of the mixture ...
 MAX_SHARE = 0.25
@@ -65,35 +73,35 @@ def slot_weights(quotas: list[int], period: int = PERIOD) -> list[int]:
     return out
 
 
-def schedule(spark, slots: list[int]) -> DataFrame:
-    """One period: slot, stream (index into ``slots``), nth (block of that stream), release, deadline."""
-    period = sum(slots)
-    a = F.array(*(F.lit(x).cast("long") for x in slots))
-    start = spark.range(1).select(a.alias("a"), F.transform(a, lambda _: F.lit(0).cast("long")).alias("zero"))
-    released = lambda nth, s: F.floor(nth * period / F.get("a", s))
-    due = lambda nth, s: F.ceil((nth + 1) * period / F.get("a", s))
-
-    def step(acc, t):
-        open_blocks = F.filter(
-            F.transform(acc["next"], lambda n, s: F.struct(due(n, s).alias("deadline"), s.alias("stream"), n.alias("nth"), released(n, s).alias("release"))),
-            lambda b: b["release"] <= t,
-        )
-        return F.struct(acc["next"].alias("next"), F.array_min(open_blocks).alias("pick"), acc["out"].alias("out"))
-
-    def place(acc):
-        bumped = F.transform(acc["next"], lambda n, s: F.when(s == acc["pick"]["stream"], n + 1).otherwise(n))
-        return F.struct(bumped.alias("next"), acc["pick"].alias("pick"), F.array_append(acc["out"], acc["pick"]).alias("out"))
-
-    kind = "struct<deadline: bigint, stream: int, nth: bigint, release: bigint>"
-    init = F.struct(F.col("zero").alias("next"), F.expr(f"cast(null as {kind})").alias("pick"), F.expr(f"cast(array() as array<{kind}>)").alias("out"))
-    # Two steps a slot: find the block, then count it, so that the search is evaluated once.
-    steps = F.sequence(F.lit(0).cast("long"), F.lit(2 * period - 1).cast("long"))
-    cast = f"struct<next: array<bigint>, pick: {kind}, out: array<{kind}>>"
-    merged = F.aggregate(steps, init.cast(cast), lambda acc, x: F.when(x % 2 == 0, step(acc, F.floor(x / 2)).cast(cast)).otherwise(place(acc).cast(cast)), lambda acc: acc["out"])
-    return start.select(F.posexplode(merged).alias("slot", "p")).select("slot", "p.stream", "p.nth", "p.release", "p.deadline")
-
-
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, period: int = PERIOD, max_share: float | None = MAX_SHARE) -> DataFrame:
+def turns(blocks: list[int]) -> Iterator[tuple[int, int, int, int, int]]:
+    """(slot, stream, nth, release, deadline) of every block of every stream, earliest deadline first among the released."""
+    total = sum(blocks)
+    window = lambda s, i: (i * total // blocks[s], -(-(i + 1) * total // blocks[s]))
+    waiting = [(0, s, 0) for s, b in enumerate(blocks) if b > 0]
+    ready: list[tuple[int, int, int, int]] = []
+    for slot in range(total):
+        while waiting and waiting[0][0] <= slot:
+            release, s, i = heappop(waiting)
+            heappush(ready, (window(s, i)[1], s, i, release))
+        deadline, s, i, release = heappop(ready)
+        yield slot, s, i, release, deadline
+        if i + 1 < blocks[s]:
+            heappush(waiting, (window(s, i + 1)[0], s, i + 1))
+
+
+def schedule(spark, blocks: list[int]) -> DataFrame:
+    """The turns as a written table, made and written CHUNK_TURNS at a time."""
+    kind = pa.schema([(n, pa.int64()) for n in ("slot", "stream", "nth", "release", "deadline")])
+    path = f"{scratch_root(spark)}/mix-schedule-{uuid.uuid4().hex}"
+    made = turns(blocks)
+    while rows := list(islice(made, CHUNK_TURNS)):
+        table = pa.Table.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], schema=kind)
+        spark.createDataFrame(table).write.mode("append").parquet(path)
+    fields = "slot bigint, stream bigint, nth bigint, release bigint, deadline bigint"
+    return spark.read.schema(fields).parquet(path) if sum(blocks) else spark.createDataFrame([], fields)
+
+
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, max_share: float | None = MAX_SHARE) -> DataFrame:
     """One row per row of ``docs`` (columns doc_id, source, text): where it stands in the mixture.
 
     Returns doc_id, text_hash, source, stream, rank, block, release, deadline, slot, position, selected. ``weights`` are target
@@ -111,7 +119,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = B
     sizes = written(rows.groupBy("source").agg(F.count("*").alias("n")), "mix-sizes")
     total = sizes.agg(F.sum("n")).first()[0] or 0
     if weights is None:
-        large = [(r["source"], r["n"]) for r in sizes.filter(F.col("n") >= total / period).orderBy(F.desc("n"), "source").collect()]  # at most period rows
+        large = [(r["source"], r["n"]) for r in sizes.orderBy(F.desc("n"), "source").collect()]
         counts = [n for _, n in large]
         quotas = counts if max_share is None else capped_quotas(counts, total, max_share)
     else:
@@ -120,31 +128,21 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = B
         large = [(s, counted.get(s, 0)) for s in sorted(wanted)]
         length = min(n / (wanted[s] / sum(wanted.values())) for s, n in large)
         quotas = [min(n, floor(length * wanted[s] / sum(wanted.values()) + 1e-9)) for s, n in large]
-    pooled = total - sum(n for _, n in large) if weights is None else 0
-    streams = [{"stream": i, "s": s, "none": s is None, "quota": q} for i, ((s, _), q) in enumerate(zip(large, quotas))]
-    if pooled or not streams:
-        quotas = [*quotas, max(1, pooled)]
-    slots = slot_weights([max(1, q) for q in quotas], max(period, len(quotas)))
-    named = F.broadcast(small_table(spark, streams or [{"stream": -1, "s": "", "none": False, "quota": 0}], "stream: int, s: string, none: boolean, quota: bigint"))
-    pool = len(streams) if weights is None else -1
-    source = F.col("source").cast("string")
-    dealt = rows.join(named, F.when(F.col("none"), source.isNull()).otherwise(source == F.col("s")), "left") if any(x["none"] for x in streams) else rows.join(named, source == F.col("s"), "left")
-    dealt = dealt.select(*rows.columns, F.coalesce("stream", F.lit(pool)).alias("stream"), F.coalesce("quota", F.lit(pooled)).alias("quota"))
+    streams = [(i, s, q) for i, ((s, _), q) in enumerate(zip(large, quotas))]
+    kind = T.StructType([T.StructField("stream", T.LongType()), T.StructField("s", sizes.schema["source"].dataType), T.StructField("quota", T.LongType())])
+    named = broadcast_if_small(written(spark.createDataFrame(streams, kind), "mix-streams"))
+    dealt = rows.join(named, F.col("source").eqNullSafe(F.col("s")), "left").select(*rows.columns, F.coalesce("stream", F.lit(-1)).alias("stream"), F.coalesce("quota", F.lit(0)).alias("quota"))
     counts = dealt.groupBy("stream", "bucket").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("stream").orderBy("bucket")) - F.col("n")
     offsets = counts.select(F.col("stream").alias("_s"), F.col("bucket").alias("_b"), before.alias("before"))
     nth = F.row_number().over(Window.partitionBy("stream", "bucket").orderBy("o", "doc_id", "text_hash"))
     ranked = dealt.withColumn("nth", nth).join(offsets, (F.col("stream") == F.col("_s")) & (F.col("bucket") == F.col("_b")))
     ranked = ranked.withColumn("rank", F.col("before") + F.col("nth") - 1).withColumn("block", F.floor(F.col("rank") / block))
-    share = F.get(F.array(*(F.lit(x).cast("long") for x in slots)), F.col("stream"))
-    ranked = ranked.withColumn("share", share).withColumn("selected", (F.col("rank") < F.col("quota")) & (F.col("stream") >= 0))
-    turns = F.broadcast(written(schedule(spark, slots), "mix-schedule").select(F.col("slot").cast("long").alias("at"), F.col("stream").alias("_t"), F.col("nth").alias("_n"), "release", "deadline"))
-    lap = F.floor(F.col("block") / F.col("share")) * sum(slots)
-    placed = ranked.join(turns, (F.col("stream") == F.col("_t")) & (F.pmod("block", F.when(F.col("selected"), F.col("share"))) == F.col("_n")), "left")
-    slot = lap + F.col("at")
+    ranked = ranked.withColumn("selected", F.col("rank") < F.col("quota"))
+    at = schedule(spark, [-(-q // block) for q in quotas]).select(F.col("stream").alias("_t"), F.col("nth").alias("_n"), "release", "deadline", "slot")
+    placed = ranked.join(broadcast_if_small(at), F.col("selected") & (F.col("stream") == F.col("_t")) & (F.col("block") == F.col("_n")), "left")
     return placed.select(
-        "doc_id", "text_hash", "source", "stream", "rank", "block", (lap + F.col("release")).alias("release"), (lap + F.col("deadline")).alias("deadline"),
-        slot.alias("slot"), (slot * block + F.col("rank") % block).alias("position"), "selected",
+        "doc_id", "text_hash", "source", "stream", "rank", "block", "release", "deadline", "slot", (F.col("slot") * block + F.col("rank") % block).alias("position"), "selected",
     )
 
 

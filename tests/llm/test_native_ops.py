@@ -135,6 +135,21 @@ def test_mixture_keeps_every_row(spark):
     assert corpus_pipeline.source_mixing(spark, docs(spark, rows), folder).count() == 1000
 
 
+def test_schedule_follows_exact_shares(spark):
+    rng = random.Random(4)
+    blocks = [rng.randint(1, 60) for _ in range(200)] + [0, 3000]
+    total, done = sum(blocks), Counter()
+    for slot, s, nth, release, deadline in mixing.turns(blocks):
+        assert release <= slot < deadline and nth == done[s]
+        done[s] += 1
+        assert all(abs(done[k] * total - b * (slot + 1)) < total for k, b in enumerate(blocks)) or slot % 97
+    assert [done[s] for s in range(len(blocks))] == blocks
+    rows = [(i, f"t{i}", f"s{i}") for i in range(1200)] + [(2000 + i, "x", "big") for i in range(3200)]
+    got = mixing.mix(docs(spark, rows), max_share=None).collect()
+    assert len({r["stream"] for r in got}) == 1201 and all(r["release"] <= r["slot"] < r["deadline"] for r in got)
+    assert sorted(r["slot"] for r in got if r["rank"] % 16 == 0) == list(range(1400))
+
+
 def test_mixture_with_weights(spark):
     rows = [(i, f"t{i}", "ab"[i % 2]) for i in range(1000)]
     got = Counter(r["source"] for r in mixing.mix(docs(spark, rows), {"a": 0.8, "b": 0.2}).collect() if r["selected"])
