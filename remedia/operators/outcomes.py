@@ -54,18 +54,26 @@ def significant_lines(text: Column) -> Column:
 def deleted_lines(pairs: DataFrame, key: str, before: str, after: str) -> DataFrame:
     """key, n_deleted: stripped non-blank lines, with repeats, of ``before`` that ``after`` lacks.
 
-    Both sides become signed line counts in one pass, so a pair costs one shuffle of its lines and no join. An empty
-    side counts as nothing deleted.
+    Both sides become signed line counts beside a mark that keeps keys without lines. Grouping by (key, line) and
+    by key is met by rows dealt by key, so behind a join on the key no line is shuffled. An empty side counts as nothing deleted.
     """
-    usable = pairs.filter((F.col(before) != "") & (F.col(after) != ""))
-    side = lambda column, sign: F.transform(significant_lines(F.col(column)), lambda s: F.struct(s.alias("line"), F.lit(sign).alias("n")))
-    lines = usable.select(key, F.explode(F.concat(side(before, 1), side(after, -1))).alias("l")).select(key, "l.line", "l.n")
+    none = F.array().cast("array<struct<line:string,n:int>>")
+    usable = (F.col(before) != "") & (F.col(after) != "")
+    side = lambda column, sign: F.when(usable, F.transform(significant_lines(F.col(column)), lambda s: F.struct(s.alias("line"), F.lit(sign).alias("n")))).otherwise(none)
+    mark = F.array(F.struct(F.lit("").alias("line"), F.lit(0).alias("n")))
+    lines = pairs.select(key, F.explode(F.concat(mark, side(before, 1), side(after, -1))).alias("l")).select(key, "l.line", "l.n")
     net = lines.groupBy(key, "line").agg(F.sum("n").alias("n"))
-    gone = net.groupBy(key).agg(F.sum(F.greatest(F.col("n"), F.lit(0))).cast("long").alias("n_deleted"))
-    return pairs.select(key).distinct().join(gone, key, "left").select(key, F.coalesce("n_deleted", F.lit(0)).alias("n_deleted"))
+    return net.groupBy(key).agg(F.sum(F.greatest(F.col("n"), F.lit(0))).cast("long").alias("n_deleted"))
 
 
 def set_delta(before: Column, after: Column) -> dict[str, Column]:
     """Sorted additions and removals, their counts, and what is shared."""
     added, removed = F.array_sort(F.array_except(after, before)), F.array_sort(F.array_except(before, after))
     return {"added": added, "removed": removed, "n_added": F.size(added), "n_removed": F.size(removed), "n_shared": F.size(F.array_intersect(before, after))}
+
+
+def set_sizes(before: Column, after: Column) -> Column:
+    """n_removed, n_added, n_shared of two arrays of distinct values, by one intersection."""
+    sizes = F.transform(F.array(F.struct(before.alias("a"), after.alias("b"))), lambda p: F.struct(F.size(p["a"]).alias("a"), F.size(p["b"]).alias("b"), F.size(F.array_intersect(p["a"], p["b"])).alias("both")))
+    counted = F.transform(sizes, lambda n: F.struct((n["a"] - n["both"]).cast("long").alias("n_removed"), (n["b"] - n["both"]).cast("long").alias("n_added"), n["both"].cast("long").alias("n_shared")))
+    return F.get(counted, 0)

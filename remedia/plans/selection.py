@@ -33,18 +33,13 @@ def null_normalise(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(v.CASES, v.ATTEMPTS, sql="""SELECT file_hash, source FROM cases WHERE file_hash IN (
-  SELECT file_hash FROM attempts WHERE lines_deleted % 16 = 3 GROUP BY 1 HAVING NOT coalesce(bool_or(compiled_success), false))""")
+  SELECT file_hash FROM attempts GROUP BY 1 HAVING NOT coalesce(bool_or(compiled_success AND lines_deleted >= 200), false))""")
 def retry_failed_semi(spark: SparkSession, d: str) -> DataFrame:
-    log = v.attempts(spark, d).filter("lines_deleted % 16 = 3")
+    """Cases with attempts of which none is a success, over the whole log; a success here has 200 deleted lines or more, since a rarer one leaves cases to retry."""
+    log = v.attempts(spark, d).withColumn("compiled_success", F.col("compiled_success") & (F.col("lines_deleted") >= 200))
     return selection.retry_failed(v.cases(spark, d), log).select("file_hash", "source")
 
 
-@query()
-def retry_failed_semi_whole(spark: SparkSession, d: str) -> DataFrame:
-    """Cases with attempts of which none succeeded, by the whole log (tested against a plain loop)."""
-    return selection.retry_failed(v.cases(spark, d), v.attempts(spark, d)).select("file_hash", "source")
-
-
 @query(v.CASES, v.ATTEMPTS, sql="SELECT file_hash, source FROM cases c WHERE NOT EXISTS (SELECT 1 FROM attempts a WHERE a.file_hash = c.file_hash)")
 def skip_done_anti(spark: SparkSession, d: str) -> DataFrame:
     return selection.skip_done(v.cases(spark, d), v.attempts(spark, d)).select("file_hash", "source")
@@ -80,19 +75,10 @@ def defer_reasons(spark: SparkSession, d: str) -> DataFrame:
     return v.preflights(spark, d).select("file_hash", selection.defer_reasons(c("distance"), c("targets"), c("missing"), c("extra")).alias("reason"))
 
 
-@query(v.PREFLIGHTS, sql="""SELECT file_hash, n FROM (SELECT file_hash, row_number() OVER (ORDER BY CASE WHEN present THEN (missing > 0 OR extra > 0)::INT ELSE 1 END,
-  CASE WHEN present THEN targets ELSE 1000000 END, CASE WHEN present THEN distance ELSE 1000000000 END, CASE WHEN present THEN parents ELSE 1000000 END, file_hash) AS n FROM preflights) WHERE n <= 500""")
+@query(v.PREFLIGHTS, sql="""SELECT file_hash, row_number() OVER (ORDER BY CASE WHEN present THEN (missing > 0 OR extra > 0)::INT ELSE 1 END,
+  CASE WHEN present THEN targets ELSE 1000000 END, CASE WHEN present THEN distance ELSE 1000000000 END, CASE WHEN present THEN parents ELSE 1000000 END, file_hash) AS n FROM preflights""")
 def easy_first_order(spark: SparkSession, d: str) -> DataFrame:
-    """The 500 easiest cases and their rank (top-k: the ranking window sees only those rows)."""
-    c = F.col
-    key = selection.easy_first(c("distance"), c("targets"), c("missing"), c("extra"), c("parents"), c("present"))
-    first = v.preflights(spark, d).select("file_hash", key.alias("key")).orderBy("key", "file_hash").limit(500)
-    return first.select("file_hash", F.row_number().over(Window.orderBy("key", "file_hash")).cast("long").alias("n"))
-
-
-@query()
-def easy_first_order_whole(spark: SparkSession, d: str) -> DataFrame:
-    """Every case and its rank, easiest first (tested against a plain sort)."""
+    """Every case and its rank, easiest first: ranges, then offsets, never one window."""
     c = F.col
     key = selection.easy_first(c("distance"), c("targets"), c("missing"), c("extra"), c("parents"), c("present"))
     return selection.ranked(v.preflights(spark, d).select(key.alias("key"), "file_hash"), "key", "file_hash").select("file_hash", "n")
@@ -104,12 +90,6 @@ def state_worst(spark: SparkSession, d: str) -> DataFrame:
     return _worst(v.verifications(spark, d, False))
 
 
-@query()
-def state_worst_whole(spark: SparkSession, d: str) -> DataFrame:
-    """Worst states over all orders (tested against a plain loop)."""
-    return _worst(v.verifications(spark, d, False, whole=True))
-
-
 def _worst(results: DataFrame) -> DataFrame:
     rows = state.worst_states(results)
     return rows.select("file", "names", F.col("state.rank").cast("long").alias("worst_rank"), F.col("state.offset").cast("long").alias("worst_offset"), F.col("any_success").alias("any_success"))
@@ -134,12 +114,6 @@ def state_compare(spark: SparkSession, d: str) -> DataFrame:
     return _compared(state.compare(v.verifications(spark, d, False), v.verifications(spark, d, True)))
 
 
-@query()
-def state_compare_whole(spark: SparkSession, d: str) -> DataFrame:
-    """States before and after over all orders (tested against a plain loop)."""
-    return _compared(state.compare(v.verifications(spark, d, False, whole=True), v.verifications(spark, d, True, whole=True)))
-
-
 def _compared(rows: DataFrame) -> DataFrame:
     return rows.select(
         "file", F.array_join("improved", ",").alias("improved"), F.array_join("regressed", ",").alias("regressed"), "successes_before", "successes_after",
@@ -154,12 +128,6 @@ def accept_gate(spark: SparkSession, d: str) -> DataFrame:
     return _accepted(state.compare(v.verifications(spark, d, False), v.verifications(spark, d, True)))
 
 
-@query()
-def accept_gate_whole(spark: SparkSession, d: str) -> DataFrame:
-    """Acceptance over all orders (tested against a plain loop)."""
-    return _accepted(state.compare(v.verifications(spark, d, False, whole=True), v.verifications(spark, d, True, whole=True)))
-
-
 def _accepted(rows: DataFrame) -> DataFrame:
     before, after = F.col("file") * 11 % 50, F.col("file") * 7 % 50
     return rows.select(

@@ -27,39 +27,30 @@ def line_multiset_delta(spark: SparkSession, d: str) -> DataFrame:
     return outcomes.deleted_lines(_pairs(spark, d), "doc_id", "before", "after")
 
 
-@query(_PAIRS, sql="""SELECT doc_id, len(list_filter(a, lambda x: NOT list_contains(b, x))) AS n_removed, len(list_filter(b, lambda x: NOT list_contains(a, x))) AS n_added, len(list_filter(a, lambda x: list_contains(b, x))) AS n_shared,
-  least(3, len(list_filter(a, lambda x: list_contains(b, x)))) AS overlap FROM (SELECT doc_id, list_distinct(list_filter(string_split(lower(before), ' ')[1:60], lambda x: x <> '')) AS a, list_distinct(list_filter(string_split(lower(after), ' ')[1:60], lambda x: x <> '')) AS b FROM pairs)""")
-def set_delta_counts(spark: SparkSession, d: str) -> DataFrame:
-    """Words among the first sixty of each text that its neighbour lacks, both ways (name sets are short)."""
-    words = lambda c: F.array_distinct(F.array_remove(F.slice(F.split(F.lower(F.col(c)), " "), 1, 60), ""))
-    delta = outcomes.set_delta(F.col("a"), F.col("b"))
-    rows = _pairs(spark, d).select("doc_id", words("before").alias("a"), words("after").alias("b"))
-    return rows.select("doc_id", *(delta[n].cast("long").alias(n) for n in ("n_removed", "n_added", "n_shared")), F.least(F.lit(3), delta["n_shared"]).cast("long").alias("overlap"))
+def _word_sets(words: str) -> str:
+    """Words of either text of each pair: doc_id, w, in_a, in_b."""
+    return f"""{_PAIRS}, a AS (SELECT DISTINCT doc_id, unnest({words.format("before")}) AS w FROM pairs), b AS (SELECT DISTINCT doc_id, unnest({words.format("after")}) AS w FROM pairs),
+words AS (SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, coalesce(a.w, b.w) AS w, a.w IS NOT NULL AS in_a, b.w IS NOT NULL AS in_b FROM a FULL JOIN b ON a.doc_id = b.doc_id AND a.w = b.w)"""
 
 
-@query(_PAIRS, sql="""SELECT doc_id, list_sort(list_filter(b, lambda x: NOT list_contains(a, x))) AS added FROM (
-  SELECT doc_id, list_distinct(string_split(before, ' ')[1:12]) AS a, list_distinct(string_split(after, ' ')[1:12]) AS b FROM pairs)""")
-def symdiff_sets(spark: SparkSession, d: str) -> DataFrame:
-    words = lambda c: F.array_distinct(F.slice(F.split(F.col(c), " "), 1, 12))
-    rows = _pairs(spark, d).select("doc_id", words("before").alias("a"), words("after").alias("b"))
-    return rows.select("doc_id", outcomes.set_delta(F.col("a"), F.col("b"))["added"].alias("added"))
-
-
-@query()
-def set_delta_counts_whole(spark: SparkSession, d: str) -> DataFrame:
-    """Words of each text that its neighbour lacks, both ways, over whole texts (tested against sets)."""
+@query(_word_sets("list_filter(string_split(lower({}), ' '), lambda x: x <> '')"), sql="""SELECT doc_id, coalesce(n_removed, 0) AS n_removed, coalesce(n_added, 0) AS n_added, coalesce(n_shared, 0) AS n_shared, least(3, coalesce(n_shared, 0)) AS overlap FROM pairs LEFT JOIN (
+  SELECT doc_id, count(*) FILTER (WHERE NOT in_b) AS n_removed, count(*) FILTER (WHERE NOT in_a) AS n_added, count(*) FILTER (WHERE in_a AND in_b) AS n_shared FROM words GROUP BY 1) USING (doc_id)""")
+def set_delta_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Words of each whole text that its neighbour lacks, both ways, and what they share."""
     words = lambda c: F.array_distinct(F.array_remove(F.split(F.lower(F.col(c)), " "), ""))
-    delta = outcomes.set_delta(F.col("a"), F.col("b"))
-    rows = _pairs(spark, d).select("doc_id", words("before").alias("a"), words("after").alias("b"))
-    return rows.select("doc_id", *(delta[n].cast("long").alias(n) for n in ("n_removed", "n_added", "n_shared")), F.least(F.lit(3), delta["n_shared"]).cast("long").alias("overlap"))
+    rows = _pairs(spark, d).select("doc_id", outcomes.set_sizes(words("before"), words("after")).alias("n"))
+    return rows.select("doc_id", "n.n_removed", "n.n_added", "n.n_shared", F.least(F.lit(3), F.col("n.n_shared")).alias("overlap"))
 
 
-@query()
-def symdiff_sets_whole(spark: SparkSession, d: str) -> DataFrame:
-    """Words that the neighbour of each text adds, over whole texts (tested against sets)."""
+@query(_word_sets("string_split({}, ' ')"), sql="""SELECT doc_id, coalesce(added, []) AS added, coalesce(removed, []) AS removed, len(coalesce(added, [])) + len(coalesce(removed, [])) AS n_differing FROM pairs LEFT JOIN (
+  SELECT doc_id, list(w ORDER BY w) FILTER (WHERE NOT in_a) AS added, list(w ORDER BY w) FILTER (WHERE NOT in_b) AS removed FROM words GROUP BY 1) USING (doc_id)""")
+def symdiff_sets(spark: SparkSession, d: str) -> DataFrame:
+    """What the neighbour of each whole text adds and lacks, sorted, and the size of the symmetric difference."""
     words = lambda c: F.array_distinct(F.split(F.col(c), " "))
     rows = _pairs(spark, d).select("doc_id", words("before").alias("a"), words("after").alias("b"))
-    return rows.select("doc_id", outcomes.set_delta(F.col("a"), F.col("b"))["added"].alias("added"))
+    delta = outcomes.set_delta(F.col("a"), F.col("b"))
+    rows = rows.select("doc_id", delta["added"].alias("added"), delta["removed"].alias("removed"))
+    return rows.withColumn("n_differing", (F.size("added") + F.size("removed")).cast("long"))
 
 
 _MESSAGE = """m AS (SELECT event_id, CASE event_id % 6 WHEN 0 THEN '  ''('' was never closed (file.py, line ' || event_id || ')' WHEN 1 THEN 'unexpected indent (x.py, line 7)' WHEN 2 THEN 'Invalid decimal literal'
@@ -108,21 +99,14 @@ def token_estimates(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", scalars.window_tokens(F.col("text")).alias("window_tokens"), scalars.chunk_tokens(F.col("text")).alias("chunk_tokens"), "skipped")
 
 
-@query("""items AS (SELECT doc_id, source AS file, list_distinct(string_split(lower(text), ' ')[1:40]) AS items, string_split(lower(text), ' ')[1:2] AS head FROM documents),
-frags AS (SELECT doc_id AS frag_id, file, head AS wanted FROM items WHERE doc_id % 3 = 0)""", sql="""SELECT frag_id, cont_id FROM (SELECT frag_id, c.doc_id AS cont_id, row_number() OVER (PARTITION BY frag_id ORDER BY len(c.items) DESC, c.doc_id) AS n
-  FROM frags f JOIN items c ON c.file = f.file AND list_has_all(c.items, f.wanted)) WHERE n = 1""")
+@query("""items AS (SELECT doc_id, source AS file, list_distinct(string_split(lower(text), ' ')) AS items FROM documents)""", sql="""SELECT frag_id, cont_id FROM (
+  SELECT f.doc_id AS frag_id, c.doc_id AS cont_id, row_number() OVER (PARTITION BY f.doc_id ORDER BY len(c.items) DESC, c.doc_id) AS n
+  FROM items f JOIN items c ON f.doc_id % 20 = 0 AND c.file = f.file AND len(c.items) >= len(f.items) AND list_has_all(c.items, f.items)) WHERE n = 1""")
 def literal_superset_match(spark: SparkSession, d: str) -> DataFrame:
-    items = F.array_distinct(F.slice(F.split(F.lower("text"), " "), 1, 40))
-    rows = v.table(spark, d, "documents").select(F.col("doc_id").alias("cont_id"), F.col("source").alias("file"), items.alias("items"), F.slice(F.split(F.lower("text"), " "), 1, 2).alias("head"))
-    frags = rows.filter("cont_id % 3 = 0").select(F.col("cont_id").alias("frag_id"), "file", F.col("head").alias("items"))
-    return alignment.literal_supersets(frags, rows)
-
-
-@query()
-def literal_superset_match_whole(spark: SparkSession, d: str) -> DataFrame:
-    """For every text the largest text of its source that holds all of its words (tested against brute force)."""
+    """For every twentieth text (the query set of searches) the largest of all texts of its source that holds all of its words."""
     rows = v.table(spark, d, "documents").select("doc_id", F.col("source").alias("file"), F.array_distinct(F.split(F.lower("text"), " ")).alias("items"))
-    return alignment.literal_supersets(rows.withColumnRenamed("doc_id", "frag_id"), rows.withColumnRenamed("doc_id", "cont_id"))
+    asked = rows.filter("doc_id % 20 = 0")
+    return alignment.literal_supersets(asked.withColumnRenamed("doc_id", "frag_id"), rows.withColumnRenamed("doc_id", "cont_id"))
 
 
 @query()

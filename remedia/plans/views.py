@@ -190,28 +190,28 @@ TREE = """tree AS (
     UNION ALL SELECT r_regionkey, '<module>.R' || r_regionkey, 'matched', r_regionkey % 3, -1 - r_regionkey FROM region))"""
 
 
-def verifications(spark: SparkSession, d: str, after: bool, whole: bool = False) -> DataFrame:
-    """Orders as verification results: file is the customer, names a seventh of the order keys; ``after`` shifts what passes.
+def verifications(spark: SparkSession, d: str, after: bool) -> DataFrame:
+    """All orders as verification results: file is the customer, names a seventh of the order keys; ``after`` shifts what passes.
 
-    Each side lacks a fifth of the orders; with ``whole`` it has all of them.
+    An order of low priority verifies another name before, an urgent one another name after, so names may have one side only.
     """
     shift = 1 if after else 0
-    k = F.col("o_orderkey")
+    k, rare = F.col("o_orderkey"), F.col("o_orderpriority") == ("1-URGENT" if after else "5-LOW")
     message = F.element_at(F.array(*map(F.lit, ("Different bytecode", "Different control flow", "Missing bytecode", "Strange"))), ((k + shift) % 4 + 1).cast("int"))
-    rows = table(spark, d, "orders").select(
-        F.col("o_custkey").alias("file"), F.concat(F.lit("f"), (k % 7).cast("string")).alias("names"), (F.col("o_orderstatus") == ("F" if not after else "O")).alias("success"),
+    return table(spark, d, "orders").select(
+        F.col("o_custkey").alias("file"), F.concat(F.when(rare, "new" if after else "old").otherwise("f"), (k % 7).cast("string")).alias("names"),
+        (F.col("o_orderstatus") == ("F" if not after else "O")).alias("success"),
         message.alias("message"), F.when(k % 3 != shift, (k % 50).cast("int")).alias("failed_offset"), k.alias("row_idx"),
     )
-    return rows if whole else rows.filter(F.col("row_idx") % 5 != (4 if after else 3))
 
 
 def verifications_sql(name: str, after: bool) -> str:
     s = 1 if after else 0
     return f"""{name} AS (
-  SELECT o_custkey AS file, 'f' || (o_orderkey % 7) AS names, o_orderstatus = '{"O" if after else "F"}' AS success,
+  SELECT o_custkey AS file, CASE WHEN o_orderpriority = '{"1-URGENT" if after else "5-LOW"}' THEN '{"new" if after else "old"}' ELSE 'f' END || (o_orderkey % 7) AS names, o_orderstatus = '{"O" if after else "F"}' AS success,
     ['Different bytecode', 'Different control flow', 'Missing bytecode', 'Strange'][((o_orderkey + {s}) % 4 + 1)::INT] AS message,
     CASE WHEN o_orderkey % 3 <> {s} THEN (o_orderkey % 50)::INT END AS failed_offset, o_orderkey AS row_idx
-  FROM orders WHERE o_orderkey % 5 <> {4 if after else 3}),
+  FROM orders),
 {name}_state AS (
   SELECT *, CASE WHEN success THEN 4 WHEN message = 'Different bytecode' AND failed_offset IS NOT NULL THEN 3 WHEN message = 'Different bytecode' THEN 2
     WHEN message IN ('Missing bytecode', 'Extra bytecode') THEN 0 ELSE 1 END AS rnk,

@@ -77,11 +77,23 @@ def first_existing(spark: SparkSession, paths: Iterable[str]) -> str:
     raise FileNotFoundError(", ".join(paths))
 
 
+#: Folders that Spark's own listing passes over as hidden, and how deep below the root they are looked for.
+HIDDEN, HIDDEN_DEPTH = "__pycache__", 6
+
+
 def list_files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
-    """root, file_hash (first folder below the root), path, name, modified, size of all files; contents are not read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
-    plain = root.split(":", 1)[-1].rstrip("/")
-    below = F.regexp_extract("path", r"\Q" + plain + r"\E/([^/]+)/", 1)
+    """root, file_hash (first folder below the root), path, name, modified, size of all files; contents are not read.
+
+    Files of compiled-code folders are listed too, down to ``HIDDEN_DEPTH`` folders below the root.
+    """
+    base = spark._jvm.org.apache.hadoop.fs.Path(root)
+    store = base.getFileSystem(spark._jsc.hadoopConfiguration())
+    globs = [f"{root.rstrip('/')}/{'*/' * depth}{HIDDEN}" for depth in range(HIDDEN_DEPTH)]
+    hidden = [g for g in globs if store.globStatus(spark._jvm.org.apache.hadoop.fs.Path(g))]
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load([root, *hidden])
+    plain = base.toUri().getPath().rstrip("/")
+    # Spark spells a path as the store does (file:/x, hdfs://host/x): scheme and host are read over.
+    below = F.regexp_extract("path", r"^(?:[A-Za-z][\w+.-]*:)?(?://[^/]*)?\Q" + plain + r"\E/([^/]+)/", 1)
     return files.select(F.lit(root).alias("root"), below.alias("file_hash"), "path", F.element_at(F.split("path", "/"), -1).alias("name"), F.col("modificationTime").alias("modified"), F.col("length").alias("size"))
 
 

@@ -40,6 +40,8 @@ def test_files(spark, tmp_path):
     for name in ("h1/decompiler_output/indented_2.pyc", "h1/decompiler_output/indented_10.pyc", "h1/m.pyc", "h2/__pycache__/m.cpython-310.pyc"):
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / name).write_bytes(b"x")
+    for root in (f"file://{tmp_path}", f"file:{tmp_path}", f"file://{tmp_path}/", str(tmp_path)):
+        assert {r["file_hash"] for r in readers.list_files(spark, root).collect()} == {"h1", "h2"}
     files = readers.list_files(spark, f"file://{tmp_path}")
     best = {r["file_hash"]: r["path"] for r in readers.highest_indented(files).collect()}
     assert best["h1"].endswith("indented_10.pyc") and len(best) == 1 and readers.newest(files).count() == 2
