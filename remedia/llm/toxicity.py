@@ -1,24 +1,26 @@
-"""Toxicity by a subsequence string-kernel support vector machine with Nyström landmarks.
+"""Toxicity by a subsequence string-kernel support vector machine with Nyström landmarks, trained on labelled sentences.
 
-Strings are the units of a sentence: its words without punctuation, and runs of spaced-out single letters joined. Two
-units are compared by their common character triples, in order but with any gaps, each weighted by ``DECAY`` to the
-length it spans; so gapped and inserted-character spellings stay close to the plain word, and words of one family close
-to each other. The kernel of two sentences' witnesses is projected on landmark units (Nyström), and a linear machine
-with hinge loss is trained there on labelled sentences: a toxic document's sentence counts through the unit in it that
-tells the labels apart best, a clean one through all its units.
+Strings are the windows of a sentence: WIDTH places and the SPAN - 1 characters that triples may reach beyond them; words stay
+together with the spaces between them, so that phrases and split words count. The kernel of two strings is the inner product of
+their character triples, in order and with gaps inside SPAN characters, each weighted by ``DECAY`` to the length it
+spans: spellings with gaps or inserted characters stay close to the plain one. Strings are projected on landmark strings
+(Nyström), and a linear machine with squared hinge loss separates the sentences of toxic documents from those of clean ones.
+
+A label says that some sentence is toxic, not which. So the machine is trained in rounds: a toxic document counts
+through the strings with the highest margins, a clean one through its highest too (and some drawn at random), and the next
+machine learns from what the last one found. All rounds read the sample's whole texts on the executors.
 
 The decision is linear in the kernel and the kernel in the triples, so the landmarks fold into one table of triple
-weights: a unit costs one read a triple, and each distinct unit of a batch is scored once. A logistic model on how many
-of a document's units are toxic, how strongly, and on its length turns that into a score from 0 to 1.
+weights; a text's margins are sliding sums of table reads. A logistic model on a document's highest margin, on how many
+stretches have a positive one, and on its length turns that into a score from 0 to 1.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cache
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -27,101 +29,138 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrow_text import by_length, encoded, slices
+from .arrow_text import slices
+from .common import small_batches, written
 
-#: The fitting sample: labelled documents (toxic and clean alike), and the units taken from them.
-TRAIN_ROWS, POSITIVE_UNITS, NEGATIVE_UNITS = 6000, 400, 4500
+#: The fitting sample: labelled documents, toxic and clean alike, with their whole texts.
+TRAIN_ROWS = 6000
 #: Part of the sample, in 8ths, that the machine learns from; the logistic model learns from the rest.
 MACHINE_EIGHTHS = 5
-LANDMARKS, CLEAN_LANDMARKS = 160, 96
-DECAY = 0.6
-LONGEST = 22
+#: Strings that a document gives to the first round, drawn at random, and that a toxic one gives to each later round at most.
+RANDOM_STRINGS, PEAKS = 8, 6
+#: Strings of either label that one round learns from, and the landmarks among them.
+POSITIVE_STRINGS, NEGATIVE_STRINGS = 4000, 8000
+LANDMARKS, CLEAN_LANDMARKS = 300, 200
+MACHINES = 4
+SPAN, WIDTH, DECAY = 7, 12, 0.6
 HARDNESS, ROUNDS = 1e-5, 500
-#: Least evidence (log-odds times root of toxic documents) for a telling unit; fewer than FEW such: the best FEW.
-EVIDENCE, FEW = 7.0, 20
+#: A peak teaches if its margin is above this quantile of the highest margins of clean documents.
+PEAK_QUANTILE = 0.9
 THRESHOLD = 0.7
-SLICE_BYTES = 12 << 20
-_SYMBOLS = 64
-_HEAD, _TAIL = 62, 63
+SLICE_BYTES = 2 << 20
+#: Places of a text that are scored at once.
+SEGMENT = 1 << 20
+_SYMBOLS, _SPACE, _NONE = 64, 62, 63
+_BREAK = "\n" * (SPAN - 1)
+_PLACES = [(j, k) for j in range(1, SPAN - 1) for k in range(j + 1, SPAN)]
+_STRING = WIDTH + SPAN - 1
 _SPACED = re.compile(r"(?<!\S)(?:\w[^\w\s]?[ \t]){3,}\w(?!\w)")
+_EMPTY = (-3.0, 0.0, 0.0)
 
 
-def symbols(codes: np.ndarray) -> np.ndarray:
-    """a-z are 1 to 26, digits 27, other characters share 28 to 61."""
-    out = 28 + codes % 34
-    out = np.where((codes >= 97) & (codes <= 122), codes - 96, out)
-    return np.where((codes >= 48) & (codes <= 57), 27, out).astype(np.int32)
-
-
-def split_units(texts: pa.Array) -> pa.ListArray:
-    """Lower-case units of each text (some may be empty)."""
+def sentences(texts: pa.Array) -> list[str]:
+    """Each text in lower case without punctuation, its sentences framed by spaces and parted by breaks that no triple crosses."""
     low = pc.utf8_lower(texts)
     if pc.any(spaced := pc.match_substring_regex(low, r"(^|\s)\w([^\w\s]?[ \t]\w){3}")).as_py():
         low = pa.array([_SPACED.sub(lambda m: m.group().replace(" ", ""), t) if s else t for t, s in zip(low.to_pylist(), spaced.to_pylist())], pa.string())
-    clean = pc.replace_substring_regex(low, r"[^\p{L}\p{M}\p{N}\s]+", "")
-    return pc.split_pattern(pc.replace_substring_regex(clean, r"\s+", " "), " ")
-
-
-@cache
-def _triples(length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places (i < j < k) of a unit of ``length`` with its end marks, and their weights scaled to norm 1."""
-    places = np.array(list(combinations(range(length + 2), 3)))
-    weights = DECAY ** (places[:, 2] - places[:, 0] + 1).astype(float)
-    return places, weights / np.sqrt((weights**2).sum())
-
-
-def stretches(units: list[str]) -> tuple[list[str], np.ndarray]:
-    """Units cut into overlapping stretches of at most LONGEST characters, and whose they are."""
-    if all(len(u) <= LONGEST for u in units):
-        return units, np.arange(len(units))
-    cut, owner = [], []
-    for i, u in enumerate(units):
-        for k in range(0, max(1, len(u) - LONGEST // 2), LONGEST // 2) if len(u) > LONGEST else (0,):
-            cut.append(u[k : k + LONGEST])
-            owner.append(i)
-    return cut, np.array(owner)
-
-
-def _framed(codes: np.ndarray) -> np.ndarray:
-    n = len(codes)
-    return np.hstack([np.full((n, 1), _HEAD, np.int32), symbols(codes), np.full((n, 1), _TAIL, np.int32)])
-
-
-def project(units: list[str], table: np.ndarray) -> np.ndarray:
-    """Inner product of each unit's scaled triples with ``table``; 0 for an empty unit, the highest of a long unit's stretches."""
-    out = np.full(len(units), -np.inf)
-    cut, owner = stretches(units)
-    for length, at, codes in by_length(cut):
-        places, weights = _triples(length)
-        marks = _framed(codes)
-        got, last, pair = np.zeros(len(at)), None, None
-        for (i, j, k), w in zip(places.tolist(), weights.tolist()):
-            if (i, j) != last:
-                last, pair = (i, j), (marks[:, i] * _SYMBOLS + marks[:, j]) * _SYMBOLS
-            got += w * table[pair + marks[:, k]]
-        np.maximum.at(out, owner[at], got)
-    return np.where(np.isneginf(out), 0.0, out)
-
-
-def features(units: list[str], column: np.ndarray, width: int) -> np.ndarray:
-    """Scaled triple weights of each unit, dense; ``column`` maps triples to columns (several may share the last)."""
-    out = np.zeros((len(units), width), dtype=np.float32)
-    for length, at, codes in by_length([u[:LONGEST] for u in units]):
-        places, weights = _triples(length)
-        marks = _framed(codes)
-        for (i, j, k), w in zip(places.tolist(), weights.tolist()):
-            out[at, column[(marks[:, i] * _SYMBOLS + marks[:, j]) * _SYMBOLS + marks[:, k]]] += w
+    for pattern, put in ((r"[.!?]+(\s+|$)", "\n"), (r"[^\p{L}\p{M}\p{N}\s\p{Z}]+", ""), (r"[ \t\r\f\v\p{Z}]+", " "), (r" ?\n[ \n]*", f" {_BREAK} ")):
+        low = pc.replace_substring_regex(low, pattern, put)
+    return [f" {t} {_BREAK}" for t in low.to_pylist()]
+
+
+def symbols(text: str) -> np.ndarray:
+    """a-z are 1 to 26, digits 27, other characters share 28 to 61; a space is 62, a break 63."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    out = (28 + codes % 34).astype(np.int32)
+    out = np.where((codes >= 97) & (codes <= 122), codes.astype(np.int32) - 96, out)
+    out = np.where((codes >= 48) & (codes <= 57), 27, out)
+    return np.where(codes == 32, _SPACE, np.where(codes == 10, _NONE, out)).astype(np.int32)
+
+
+def contributions(marks: np.ndarray, n: int, table: np.ndarray) -> np.ndarray:
+    """What the triples that start at each of the first ``n`` places add; ``marks`` goes on for SPAN - 1 places."""
+    out, first = np.zeros(n, np.float32), marks[:n] << 12
+    for j in range(1, SPAN - 1):
+        pair = first + (marks[j : n + j] << 6)
+        for k in range(j + 1, SPAN):
+            out += np.float32(DECAY ** (k + 1)) * table[pair + marks[k : n + k]]
     return out
 
 
-def triples_of(units: list[str]) -> np.ndarray:
-    """All triples that occur in the units."""
-    seen = np.zeros(_SYMBOLS**3, dtype=bool)
-    for length, _, codes in by_length([u[:LONGEST] for u in units]):
-        marks = _framed(codes)
-        for i, j, k in _triples(length)[0].tolist():
-            seen[(marks[:, i] * _SYMBOLS + marks[:, j]) * _SYMBOLS + marks[:, k]] = True
-    return np.flatnonzero(seen)
+def margins(marks: np.ndarray, table: np.ndarray, bias: float) -> Iterator[tuple[int, np.ndarray]]:
+    """(place, margins of the strings that start there and after it) of a whole text, a segment at a time.
+
+    A string ends with its sentence; at a break the margin is the bias.
+    """
+    total = len(marks)
+    for at in range(0, total, SEGMENT):
+        n = min(SEGMENT, total - at)
+        more = min(n + WIDTH, total - at)
+        seen = marks[at : at + more + SPAN - 1]
+        seen = np.concatenate([seen, np.full(more + SPAN - 1 - len(seen), _NONE, np.int32)])
+        upto = np.concatenate([[0.0], np.cumsum(contributions(seen, more, table), dtype=np.float64)])
+        ends = np.where(seen[:more] == _NONE, np.arange(more), more)
+        ends = np.minimum.accumulate(ends[::-1])[::-1][:n]
+        yield at, upto[np.minimum(np.arange(n) + WIDTH, ends)] - upto[:n] + bias
+
+
+def triples(strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Triple codes of each string (rows; the last code where there is none) and the weights of the columns."""
+    marks = np.full((len(strings), _STRING), _NONE, np.int32)
+    for i, s in enumerate(strings):
+        marks[i, : min(len(s), _STRING)] = symbols(s[:_STRING])
+    first = marks[:, :WIDTH]
+    codes = [(first << 12) + (marks[:, j : WIDTH + j] << 6) + marks[:, k : WIDTH + k] for j, k in _PLACES]
+    live = [(first != _NONE) & (marks[:, j : WIDTH + j] != _NONE) & (marks[:, k : WIDTH + k] != _NONE) for j, k in _PLACES]
+    none = _SYMBOLS**3 - 1
+    return np.hstack([np.where(ok, c, none) for c, ok in zip(codes, live)]), np.repeat([DECAY ** (k + 1) for _, k in _PLACES], WIDTH).astype(np.float32)
+
+
+def kernel(strings: list[str], marks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Kernel of each string with each landmark, and the landmarks' features: triples (rows) that occur, and their weights."""
+    codes, weights = triples(strings)
+    of_marks, _ = triples(marks)
+    used = np.setdiff1d(of_marks, [_SYMBOLS**3 - 1])
+    row = np.full(_SYMBOLS**3, len(used))
+    row[used] = np.arange(len(used))
+    basis = np.zeros((len(used) + 1, len(marks)), np.float32)
+    for column, of in enumerate(of_marks):
+        np.add.at(basis[:, column], row[of], weights)
+    basis[-1] = 0
+    return np.stack([weights @ basis[row[c]] for c in codes]), used, basis[:-1]
+
+
+def disguised(string: str) -> str:
+    """The string with one character inserted at a place fixed by its letters."""
+    at = 2 + zlib.crc32(string.encode()) % max(1, len(string) - 3)
+    return (string[:at] + "x1o"[at % 3] + string[at:])[:_STRING]
+
+
+def machine(positive: list[str], negative: list[str]) -> tuple[np.ndarray, float]:
+    """Triple table and bias of the machine that separates two lists of strings; both labels weigh alike."""
+    spread = lambda rows, most: rows[:: max(1, -(-len(rows) // most))]
+    marks = spread(positive, LANDMARKS) + spread(negative, CLEAN_LANDMARKS)
+    strings = positive + [disguised(s) for s in positive] + negative
+    y = np.repeat([1.0, 1.0, -1.0], [len(positive), len(positive), len(negative)])
+    weight = np.repeat([0.8, 0.2, 1.0], [len(positive), len(positive), len(negative)])
+    weight /= np.where(y > 0, weight[y > 0].sum(), weight[y < 0].sum())
+    near, used, basis = kernel(strings + marks, marks)
+    values, vectors = np.linalg.eigh(near[len(strings) :].astype(float))
+    good = values > 1e-5 * values.max()
+    whiten = vectors[:, good] / np.sqrt(values[good])
+    z = near[: len(strings)] @ whiten
+    scale = np.sqrt((z**2).sum(axis=1).mean())
+    z /= scale
+    w, b, m, v = np.zeros(z.shape[1]), 0.0, np.zeros(z.shape[1] + 1), np.zeros(z.shape[1] + 1)
+    for t in range(1, ROUNDS + 1):  # squared hinge loss, whole batches, Adam
+        pull = weight * y * np.maximum(0, 1 - y * (z @ w + b))
+        grad = np.append(HARDNESS * w - z.T @ pull, -pull.sum())
+        m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
+        move = 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
+        w, b = w - move[:-1], b - move[-1]
+    table = np.zeros(_SYMBOLS**3, np.float32)
+    table[used] = basis @ (whiten @ (w / scale))
+    return table, float(b)
 
 
 @dataclass
@@ -131,66 +170,53 @@ class Model:
     mean: np.ndarray
     spread: np.ndarray
     weights: np.ndarray
-
-    def margins(self, units: list[str]) -> np.ndarray:
-        return project(units, self.table) + self.bias
+    #: The score of every text, where the sample lacks one of the labels.
+    constant: float | None = None
 
     def score(self, measures: np.ndarray) -> np.ndarray:
+        if self.constant is not None:
+            return np.full(len(measures), self.constant)
         x = np.hstack([(measures - self.mean) / self.spread, np.ones((len(measures), 1))])
         return 1 / (1 + np.exp(-np.clip(x @ self.weights, -30, 30)))
 
 
 def measure(table: np.ndarray, bias: float, texts: pa.Array) -> np.ndarray:
-    """Per text: highest margin, toxic units (count, strength, share), and length."""
-    texts = pc.fill_null(texts.cast(pa.string()), "")
-    units, which, owner = encoded(split_units(texts))
-    n = len(texts)
-    if not units:
-        return np.zeros((n, 5)) + np.array([-1.5, 0, 0, 0, 0])
-    margin = project(units, table) + bias
-    real = np.array([bool(u) for u in units])
-    margin = np.where(real, margin, -9)[which]
-    words = np.bincount(owner, weights=real[which], minlength=n)
-    top = np.full(n, -9.0)
-    np.maximum.at(top, owner, margin)
-    hits = np.bincount(owner, weights=margin > 0, minlength=n)
-    strength = np.bincount(owner, weights=np.clip(margin, 0, 1.5), minlength=n)
-    return np.column_stack([np.clip(top, -1.5, 1.5), np.log1p(hits), np.log1p(strength), np.sqrt(strength / np.maximum(words, 1)), np.log1p(words)])
-
-
-def disguised(unit: str) -> list[str]:
-    """Spellings of a unit with one inserted or doubled character, for training."""
-    return [unit[:i] + c + unit[i:] for i in range(1, len(unit)) for c in ("1", unit[i])]
-
-
-def _machine(positive: list, negative: list) -> tuple[np.ndarray, float]:
-    """Triple table and bias from (unit, weight) rows of both labels, the most telling first."""
-    marks = list(dict.fromkeys([u for u, _ in positive[:LANDMARKS]] + [u for u, _ in negative[:: max(1, len(negative) // CLEAN_LANDMARKS)]]))
-    used = triples_of(marks)
-    column = np.full(_SYMBOLS**3, len(used))
-    column[used] = np.arange(len(used))
-    basis = features(marks, column, len(used) + 1)[:, :-1].astype(float)
-    values, vectors = np.linalg.eigh(basis @ basis.T)
-    good = values > 1e-4
-    whiten = vectors[:, good] / np.sqrt(values[good])
-    positive = positive + [(v, n / 8) for u, n in positive if len(u) > 3 for v in disguised(u)]
-    units = [u for u, _ in positive] + [u for u, _ in negative]
-    z = np.vstack([features(units[i : i + 1000], column, len(used) + 1)[:, :-1] @ (basis.T @ whiten) for i in range(0, len(units), 1000)])
-    y = np.array([1.0] * len(positive) + [-1.0] * len(negative))
-    weight = np.sqrt(np.array([n for _, n in [*positive, *negative]], dtype=float))
-    for label in (1, -1):
-        weight[y == label] /= weight[y == label].sum()
-    w, b, m, v, t = np.zeros(z.shape[1]), 0.0, np.zeros(z.shape[1] + 1), np.zeros(z.shape[1] + 1), 0
-    for t in range(1, ROUNDS + 1):  # squared hinge loss, whole batches, Adam
-        slack = np.maximum(0, 1 - y * (z @ w + b))
-        pull = weight * y * slack
-        grad = np.append(HARDNESS * w - z.T @ pull, -pull.sum())
-        m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
-        move = 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
-        w, b = w - move[:-1], b - move[-1]
-    table = np.zeros(_SYMBOLS**3)
-    table[used] = (whiten @ w) @ basis
-    return table, float(b)
+    """Per text: highest margin, stretches with a positive one (log), and length (log)."""
+    made = sentences(pc.fill_null(texts.cast(pa.string()), ""))
+    starts = np.cumsum([0, *map(len, made)])
+    top, hits = np.full(len(made), -np.inf), np.zeros(len(made))
+    before = False
+    for at, found in margins(symbols("".join(made)), table, bias):
+        rows = np.arange(np.searchsorted(starts, at, side="right") - 1, np.searchsorted(starts, at + len(found), side="left"))
+        cuts = np.maximum(starts[rows] - at, 0)
+        top[rows] = np.maximum(top[rows], np.maximum.reduceat(found, cuts))
+        good = found > 0
+        begun = good & ~np.concatenate([[before], good[:-1]])
+        hits[rows] += np.add.reduceat(begun, cuts, dtype=np.int64)
+        before = bool(good[-1])
+    length = np.diff(starts) - len(_BREAK) - 2
+    return np.where((length <= 0)[:, None], _EMPTY, np.column_stack([np.clip(top, -3, 2), np.log1p(hits), np.log1p(np.maximum(length, 0))]))
+
+
+def strings_of(text: str, table: np.ndarray | None, bias: float, peaks: int) -> list[tuple[float, str]]:
+    """(margin, string) of the ``peaks`` highest strings of a text that don't overlap; without a table, of strings drawn by its letters."""
+    text = sentences(pa.array([text]))[0]
+    marks = symbols(text)
+    cut = lambda p: text[p : p + _STRING].split("\n", 1)[0]
+    if table is None:
+        places = np.flatnonzero(marks != _NONE)
+        draw = np.random.default_rng(zlib.crc32(text.encode()))
+        return [(0.0, cut(p)) for p in draw.choice(places, min(peaks, len(places)), replace=False)] if len(places) > 3 else []
+    values = np.concatenate([found for _, found in margins(marks, table, bias)])
+    values[marks == _NONE] = -np.inf
+    out: list[tuple[float, str]] = []
+    taken: list[int] = []
+    # The highest places of a text lie around its peaks; a peak rules out WIDTH places on either side.
+    for p in np.argsort(-values, kind="stable")[: peaks * 4 * WIDTH].tolist():
+        if len(out) < peaks and np.isfinite(values[p]) and all(abs(p - q) >= WIDTH for q in taken):
+            taken.append(p)
+            out.append((float(values[p]), cut(p)))
+    return out
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -213,84 +239,85 @@ def held_out(doc_id):
 def sample(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
     """text, toxic, part (0 to 7) of at most ``rows`` learnable documents with one clear label, in an order fixed by doc_id."""
     clear = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id")
-    clear = clear.agg(F.min("toxic").cast("int").alias("toxic"), F.max("toxic").cast("int").alias("most")).filter(F.col("toxic") == F.col("most"))
+    clear = clear.agg(F.min("toxic").cast("int").alias("toxic"), F.max("toxic").cast("int").alias("most")).filter((F.col("toxic") == F.col("most")) & F.col("toxic").isin(0, 1))
     order = F.xxhash64(F.col("doc_id"), F.lit(5))
     chosen = clear.orderBy(order, "doc_id").limit(rows).select(F.col("doc_id").alias("_id"), "toxic", F.pmod(order, F.lit(8)).alias("part"))
-    found = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
-    # Copies of one text would make all its words look telling.
-    return found.groupBy(F.sha2(F.coalesce("text", F.lit("")), 256)).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic"), F.min("part").alias("part")).select("text", "toxic", "part")
+    found = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
+    # Copies of one text would make all its strings look telling.
+    return found.groupBy(F.sha2("text", 256)).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic"), F.min("part").alias("part")).select("text", "toxic", "part")
 
 
-def unit_counts(rows: DataFrame) -> DataFrame:
-    """unit, and in how many documents and sentences of either label it occurs: t_docs, c_docs, t_sents, c_sents."""
+def mined(rows: DataFrame, table: np.ndarray | None, bias: float) -> list:
+    """(toxic, nth, margin, string) of each text of the sample: a toxic one's highest strings, a clean one's highest; at first drawn ones."""
+    shared = rows.sparkSession.sparkContext.broadcast((table, bias))  # 1 MB, whatever the input
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, 0, SLICE_BYTES):
-                texts = pc.fill_null(part.column(0).cast(pa.string()), "")
-                sentences = pc.split_pattern_regex(texts, r"[.!?]+\s|\n")
-                doc = pc.list_parent_indices(sentences)
-                units = split_units(sentences.flatten())
-                sentence = pc.list_parent_indices(units)
-                table = pa.table({"unit": units.flatten(), "sentence": sentence, "doc": pc.take(doc, sentence), "toxic": pc.take(part.column(1), pc.take(doc, sentence))})
-                table = table.group_by(["unit", "doc", "toxic"]).aggregate([("sentence", "count_distinct")])
-                table = table.group_by(["unit", "toxic"]).aggregate([([], "count_all"), ("sentence_count_distinct", "sum")])
-                yield from table.select(["unit", "toxic", "count_all", "sentence_count_distinct_sum"]).rename_columns(["unit", "toxic", "docs", "sents"]).to_batches()
-
-    counts = rows.select("text", "toxic").mapInArrow(count, "unit string, toxic int, docs long, sents long").filter("unit <> ''")
-    of = lambda label, column: F.sum(F.when(F.col("toxic") == label, F.col(column)).otherwise(0))
-    return counts.groupBy("unit").agg(of(1, "docs").alias("t_docs"), of(0, "docs").alias("c_docs"), of(1, "sents").alias("t_sents"), of(0, "sents").alias("c_sents"))
+            out = []
+            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                peaks = RANDOM_STRINGS if shared.value[0] is None else PEAKS if toxic else 1
+                out += [(toxic, nth, margin, s) for nth, (margin, s) in enumerate(strings_of(text, *shared.value, peaks))]
+            columns = list(zip(*out)) or [()] * 4
+            kinds = (pa.int32(), pa.int32(), pa.float64(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["toxic", "nth", "margin", "string"])
+
+    got = rows.select("text", "toxic").mapInArrow(run, "toxic int, nth int, margin double, string string").collect()
+    shared.unpersist()
+    # In an order that does not depend on partitions.
+    return sorted(got, key=lambda r: (zlib.crc32(r["string"].encode()), r["string"], r["margin"]))
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """The model, from at most TRAIN_ROWS labelled documents.
 
-    What comes to the driver: at most POSITIVE_UNITS + NEGATIVE_UNITS units with their counts, and five numbers for each
-    document of the sample. Documents whose labels contradict each other are not learned from. With no example of
-    one of the labels every score is the share of toxic labels (0 without labels).
+    What comes to the driver: at most RANDOM_STRINGS strings of 18 characters in each round, and three numbers, for each
+    document of the sample. Documents whose labels contradict each other, and labels other than 0 and 1, are not learned from. With no
+    example of one of the labels every score is the share of toxic labels (0 without labels).
     """
-    rows = sample(docs, labels).cache()
-    try:
-        size = {r["toxic"]: r["count"] for r in rows.filter(F.col("part") < MACHINE_EIGHTHS).groupBy("toxic").count().collect()}
-        flat = Model(np.zeros(_SYMBOLS**3), -1.0, np.zeros(5), np.ones(5), np.append(np.zeros(5), -30.0 if not size.get(1) else 0.0))
-        if not size.get(1) or not size.get(0):
-            return flat
-        units = unit_counts(rows.filter(F.col("part") < MACHINE_EIGHTHS))
-        odds = F.log((F.col("t_docs") + 0.3) / (size[1] + 1.0)) - F.log((F.col("c_docs") + 0.3) / (size[0] + 1.0))
-        units = units.withColumn("odds", odds).cache()
-        least = 2 if size[1] >= 10 else 1
-        told = (F.col("odds") > 2.0) & (F.col("t_docs") >= least) & (F.length("unit") >= 2)
-        positive = units.filter(told).orderBy(F.desc(F.col("odds") * F.sqrt("t_docs")), "unit").limit(POSITIVE_UNITS).collect()
-        clean = units.filter((F.col("odds") < 0.7) & (F.col("c_docs") > 0))
-        often = clean.orderBy(F.desc("c_sents"), "unit").limit(NEGATIVE_UNITS // 3).collect()
-        spread = clean.orderBy(F.xxhash64("unit"), "unit").limit(NEGATIVE_UNITS * 2 // 3).collect()
-        told_well = [r for r in positive if r["odds"] * r["t_docs"] ** 0.5 >= EVIDENCE]
-        positive = told_well if len(told_well) >= FEW else positive[:FEW]
-        negative = list({r["unit"]: r for r in [*often, *spread]}.values())
-        units.unpersist()
+    spark = docs.sparkSession
+    small_batches(spark)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = written(sample(docs, labels).repartition(parts), "toxicity-sample")
+    size = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
+    flat = Model(np.zeros(_SYMBOLS**3, np.float32), -1.0, np.zeros(3), np.ones(3), np.zeros(4), constant=1.0 if size.get(1) else 0.0)
+    if not size.get(1) or not size.get(0):
+        return flat
+    learning = rows.filter(F.col("part") < MACHINE_EIGHTHS)
+    if {r["toxic"] for r in learning.select("toxic").distinct().collect()} != {0, 1} or size[1] < 100:
+        learning = rows
+    table, bias = None, 0.0
+    negative: dict[str, None] = {}
+    for _ in range(MACHINES):
+        found = mined(learning, table, bias)
+        if table is not None:
+            tops = [r["margin"] for r in found if not r["toxic"]]
+            least = float(np.quantile(tops, PEAK_QUANTILE)) if tops else 0.0
+            found = [r for r in found if not r["toxic"] or not r["nth"] or r["margin"] > least]
+        positive = list(dict.fromkeys(r["string"] for r in found if r["toxic"]))
+        # Clean strings of all rounds teach, the latest first.
+        negative = dict.fromkeys([*(r["string"] for r in found if not r["toxic"]), *negative])
         if not positive or not negative:
             return flat
-        table, bias = _machine([(r["unit"], r["t_sents"]) for r in positive], [(r["unit"], r["c_sents"]) for r in negative])
-        found = measures(rows.select(F.col("toxic").alias("doc_id"), "text", "part"), table, bias).collect()
-        rest = [r for r in found if r["part"] >= MACHINE_EIGHTHS]
-        if len({r["doc_id"] for r in rest}) < 2 or sum(r["doc_id"] for r in rest) < 8:
-            rest = found
-        mean, spread_, weights = _logistic(np.array([r["measures"] for r in rest]), np.array([float(r["doc_id"]) for r in rest]))
-        return Model(table, bias, mean, spread_, weights)
-    finally:
-        rows.unpersist()
+        spread = sorted(list(negative)[:NEGATIVE_STRINGS], key=lambda s: zlib.crc32(s.encode()))
+        table, bias = machine(positive[:POSITIVE_STRINGS], spread)
+    got = measures(rows.select("toxic", "part", "text"), table, bias).collect()
+    rest = [r for r in got if r["part"] >= MACHINE_EIGHTHS]
+    if sum(r["toxic"] for r in rest) < 40 or sum(1 - r["toxic"] for r in rest) < 40:
+        rest = got
+    fitted = _logistic(np.array([r["measures"] for r in rest]), np.array([float(r["toxic"]) for r in rest]))
+    return Model(table, bias, *fitted)
 
 
 def measures(rows: DataFrame, table: np.ndarray, bias: float) -> DataFrame:
     """The columns of ``rows`` other than text, and measures (array of doubles)."""
-    shared = rows.sparkSession.sparkContext.broadcast((table, bias))  # 2 MB, whatever the input
+    shared = rows.sparkSession.sparkContext.broadcast((table, bias))  # 1 MB, whatever the input
     keep = [c for c in rows.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, len(keep), SLICE_BYTES):
                 got = measure(*shared.value, part.column(len(keep)))
-                values = pa.FixedSizeListArray.from_arrays(pa.array(got.ravel()), 5).cast(pa.list_(pa.float64()))
+                values = pa.FixedSizeListArray.from_arrays(pa.array(got.ravel()), got.shape[1]).cast(pa.list_(pa.float64()))
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], values], names=[*keep, "measures"])
 
     schema = T.StructType([*(rows.schema[c] for c in keep), T.StructField("measures", T.ArrayType(T.DoubleType()))])
@@ -300,9 +327,10 @@ def measures(rows: DataFrame, table: np.ndarray, bias: float) -> DataFrame:
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score, predicted for each row of ``docs`` (columns doc_id, text), whole texts.
 
-    Null and empty texts have no units and get the score of a text without any sign of toxicity. Rows are scored by
+    Null and empty texts have no sentences and get the score of a text without any sign of toxicity. Rows are scored by
     themselves: null ids and repeated rows make no difference; an empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -255,16 +255,64 @@ def test_language_accuracy(spark):
     assert [r["lang_pred"] for r in langid.identify(docs(spark, [(1, "abc")]), nothing).collect()] == ["und"]
 
 
-def test_kernel_tolerates_disguise():
+def slow_triples(string):
+    """Weights of the triples that start in the first WIDTH places, by the definition."""
+    out = Counter()
+    marks = toxicity.symbols(string[: toxicity._STRING]).tolist()
+    for i in range(min(toxicity.WIDTH, len(marks))):
+        for j in range(i + 1, len(marks)):
+            for k in range(j + 1, min(len(marks), i + toxicity.SPAN)):
+                out[marks[i], marks[j], marks[k]] += toxicity.DECAY ** (k - i + 1)
+    return out
+
+
+def slow_kernel(a, b):
+    a, b = slow_triples(a), slow_triples(b)
+    return sum(w * b[t] for t, w in a.items())
+
+
+def test_string_kernel():
     import numpy as np
 
-    names = ["moron", "mo1ron", "m.o.r.o.n", "table"]
-    column = np.arange(64**3)
-    a, b, _, d = toxicity.features(names, column, 64**3)
-    assert a @ b > 2 * (a @ d)
+    strings = [" you moron ", " you mo1ron", " m o r o n ", " of a table", "ä", "", " the the the the the the"]
+    marks = [strings[0], strings[3], strings[6]]
+    near, used, basis = toxicity.kernel(strings, marks)
+    assert np.allclose(near, [[slow_kernel(a, b) for b in marks] for a in strings], rtol=1e-4)
+    assert near[1, 0] > 1.5 * near[3, 0] and used.size == len(basis)
+
+
+def test_margins_are_the_machine_on_every_string(monkeypatch):
+    """A text's sliding sums equal the machine's decision on each of its strings, taken by itself, over segment ends too."""
+    import numpy as np
     import pyarrow as pa
 
-    assert toxicity.split_units(pa.array(["You m.o.r.o.n! m o r o n, ok"])).to_pylist() == [["you", "moron", "moron", "ok"]]
+    positive, negative = [" you idiot here", " what an idiot ", " the idiot did it"], [" you are here and", " what an answer is", " the table did it", " of an"]
+    table, bias = toxicity.machine(positive, negative)
+    assert all(s > 0 for s in toxicity.kernel(positive, positive)[0].diagonal())
+    text = toxicity.sentences(pa.array(["You IDIOT! What, an answer.\nOf i.d.i.o.t and m o r o n ofer, ü no"]))[0]
+    assert "you idiot" in text and " idiot and moron ofer " in text.replace("\n", " ")
+    want = []
+    for p in range(len(text)):
+        string = text[p : p + toxicity._STRING].split("\n", 1)[0]
+        folded = sum(w * table[(a << 12) + (b << 6) + c] for (a, b, c), w in slow_triples(string).items())
+        want.append(folded + bias)
+    for segment in (1 << 20, 7):
+        monkeypatch.setattr(toxicity, "SEGMENT", segment)
+        got = np.concatenate([m for _, m in toxicity.margins(toxicity.symbols(text), table, bias)])
+        assert np.allclose(got, want, atol=1e-4)
+        one, two, none = toxicity.measure(table, bias, pa.array(["You IDIOT! What, an answer.\nOf i.d.i.o.t and m o r o n ofer, ü no", "fine", None]))
+        assert np.isclose(one[0], np.clip(max(want), -3, 2), atol=1e-4) and one[1] >= np.log(3) - 1e-9 and tuple(none) == toxicity._EMPTY and two[0] < 0
+
+
+def test_machine_minimises_its_loss():
+    """The Nyström machine against plain gradient descent on the same landmarks' kernel rows."""
+    import numpy as np
+
+    positive, negative = [f" {w} idiot {w}" for w in ("an", "of", "to", "or")], [f" {w} table {w}" for w in ("an", "of", "to", "or", "in")]
+    table, bias = toxicity.machine(positive, negative)
+    value = lambda s: sum(w * table[(a << 12) + (b << 6) + c] for (a, b, c), w in slow_triples(s).items()) + bias
+    assert np.all([value(s) > 0.9 for s in positive]) and np.all([value(s) < -0.9 for s in negative])
+    assert value(" by idiot by") > 0.5 > -0.5 > value(" by table by")
 
 
 def test_toxicity_accuracy(spark):
@@ -279,6 +327,22 @@ def test_toxicity_accuracy(spark):
     assert toxicity.score(docs(spark, []), model).count() == 0
     blank = toxicity.fit(table, labels.limit(0))
     assert all(not r["predicted"] for r in toxicity.score(docs(spark, [(1, "idiot")]), blank).collect())
+    only = toxicity.fit(table, labels.filter("toxic = 1").withColumn("text", F.lit("clash")))
+    assert [r["score"] for r in toxicity.score(docs(spark, [(1, "idiot"), (2, None)]), only).collect()] == [1.0, 1.0]
+
+
+def test_toxicity_catches_disguises(spark):
+    """Learned from plain insults in labelled sentences: gapped, spaced, split and inserted-character ones count, near words don't."""
+    draw = random.Random(3)
+    plain = ["the", "onea", "thing", "ration", "and", "ofer", "stand", "reer", "haing", "tion", "ided", "mornon", "table"]
+    sentence = lambda bad: " ".join([*draw.choices(plain, k=draw.randrange(3, 12)), *([bad] if bad else []), *draw.choices(plain, k=draw.randrange(2, 9))])
+    rows = [(i, ". ".join(sentence(draw.choice(["idiot", "moron", "worthless"]) if i % 4 == 0 and k == 1 else "") for k in range(4))) for i in range(900)]
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i, _ in rows], "doc_id long, quality int, toxic int")
+    model = toxicity.fit(docs(spark, rows), labels)
+    bad = ["idiot", "i d i o t", "id1iot", "i.d.i.o.t", "mor0on", "worth less", "worthlesss"]
+    odd = [(i, f"the thing and {w} of onea stand. table and reer") for i, w in enumerate(bad)] + [(100 + i, ". ".join(sentence("") for _ in range(4))) for i in range(50)]
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.score(docs(spark, odd), model).collect()}
+    assert all(got[i] for i in range(len(bad))) and sum(got[100 + i] for i in range(50)) == 0
 
 
 def test_pipeline(spark):
