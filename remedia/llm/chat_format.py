@@ -15,10 +15,37 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Turns whose places are summed together: running sums over a conversation take two levels, so they grow with its turns, not their square.
+STEP = 256
 START, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>\n"
 LEARNED_ROLE = "assistant"
 
 
+def once(value: Column, use) -> Column:
+    """``use`` of a value that is evaluated once, even where ``use`` reads it for each element of an array."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def _chunks(values: Column) -> Column:
+    """An array cut into arrays of STEP elements."""
+    last = F.floor((F.size(values) - 1) / STEP).cast("int")
+    return F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda c: F.slice(values, c * STEP + 1, STEP))
+
+
+def running(widths: Column) -> Column:
+    """Sum of the elements before each element of an array of longs (not null)."""
+    zero = F.lit(0).cast("long")
+    nothing = F.struct(zero.alias("at"), F.expr("cast(array() as array<bigint>)").alias("all"))
+    step = lambda acc, w: F.struct((acc["at"] + w).alias("at"), F.array_append(acc["all"], acc["at"]).alias("all"))
+    before = lambda values: F.aggregate(values, nothing, step, lambda acc: acc["all"])
+
+    def over(chunks: Column) -> Column:
+        totals = F.transform(chunks, lambda c: F.aggregate(c, zero, lambda acc, w: acc + w))
+        return once(before(totals), lambda low: F.flatten(F.transform(chunks, lambda c, i: F.transform(before(c), lambda x: x + F.get(low, i)))))
+
+    return once(widths, lambda w: once(_chunks(w), over))
+
+
 def escape(text: Column) -> Column:
     return F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit("<|"), F.lit("<\\|"))
 
@@ -55,18 +82,12 @@ def format_conversations(turns: DataFrame) -> DataFrame:
     block = lambda s, j: F.slice("turns", s + 1, F.coalesce(F.get("starts", j + 1), F.size("turns")) - s)
     blocks = F.transform("starts", lambda s, j: F.concat(F.lit(START), role_at(s), F.lit("\n"), F.array_join(F.transform(block(s, j), lambda t: t["text"]), SEP), F.lit(END)))
     # Code points before each text: a block's head or a separator; after it: the end mark if the block ends here.
-    opens = lambda t, i: F.when((i == 0) | (t["role"] != F.coalesce(role_at(i - 1), empty)), F.length(t["role"]) + len(START) + 1).otherwise(len(SEP))
-    closes = lambda t, i: F.when((i == F.size("turns") - 1) | (t["role"] != F.coalesce(role_at(i + 1), empty)), len(END)).otherwise(0)
-    widths = F.transform("turns", lambda t, i: F.struct(opens(t, i).cast("long").alias("before"), F.length(t["text"]).cast("long").alias("text"), closes(t, i).cast("long").alias("after")))
-    one = one.select("conv_id", "turns", F.size("turns").cast("long").alias("n_rows"), F.array_join(blocks, "").alias("formatted"), widths.alias("widths"))
-    begins = F.aggregate(
-        "widths",
-        F.struct(F.lit(0).cast("long").alias("at"), F.expr("cast(array() as array<bigint>)").alias("all")),
-        lambda acc, w: F.struct((acc["at"] + w["before"] + w["text"] + w["after"]).alias("at"), F.array_append(acc["all"], acc["at"] + w["before"]).alias("all")),
-        lambda acc: acc["all"],
-    )
-    one = one.withColumn("begins", begins)
-    spans = F.transform("turns", lambda t, i: F.struct(t["learned"].alias("learned"), F.get("begins", i).alias("start"), F.length(t["text"]).cast("long").alias("length")))
+    opens = lambda t, i: F.when((i == 0) | (t["role"] != F.coalesce(role_at(i - 1), empty)), F.length(t["role"]) + len(START) + 1).otherwise(len(SEP)).cast("long")
+    closes = lambda t, i: F.when((i == F.size("turns") - 1) | (t["role"] != F.coalesce(role_at(i + 1), empty)), len(END)).otherwise(0).cast("long")
+    wide = lambda t: F.length(t["text"]).cast("long")
+    one = one.select("conv_id", "turns", F.size("turns").cast("long").alias("n_rows"), F.array_join(blocks, "").alias("formatted"), running(F.transform("turns", lambda t, i: opens(t, i) + wide(t) + closes(t, i))).alias("begins"))
+    spans = F.transform("turns", lambda t, i: F.struct(t["learned"].alias("learned"), opens(t, i).alias("start"), wide(t).alias("length")))
+    spans = F.zip_with(spans, "begins", lambda s, at: F.struct(s["learned"].alias("learned"), (s["start"] + at).alias("start"), s["length"].alias("length")))
     spans = F.transform(F.filter(spans, lambda s: s["learned"]), lambda s: F.struct(s["start"].alias("start"), s["length"].alias("length")))
     return one.select("conv_id", "n_rows", "formatted", spans.alias("loss_spans"))
 
@@ -86,5 +107,16 @@ def read_back(formatted: Column) -> Column:
 
 
 def learned_texts(formatted: Column, loss_spans: Column) -> Column:
-    """The texts under the loss mask, unescaped, in order: array of strings."""
-    return F.transform(loss_spans, lambda s: unescape(F.substring(formatted, (s["start"] + 1).cast("int"), s["length"].cast("int"))))
+    """The texts under the loss mask, unescaped, in order: array of strings.
+
+    Spans are read STEP at a time from their own part of the text, since finding a place in a text means walking to it.
+    """
+    cut = lambda text, start, length: F.substring(text, (start + 1).cast("int"), length.cast("int"))
+
+    def of_chunk(text: Column, spans: Column) -> Column:
+        first, last = F.get(spans, 0)["start"], F.get(spans, F.size(spans) - 1)
+        part = cut(text, first, last["start"] + last["length"] - first)
+        return once(part, lambda p: F.transform(spans, lambda s: unescape(cut(p, s["start"] - first, s["length"]))))
+
+    each = lambda pair: F.flatten(F.transform(_chunks(pair["spans"]), lambda c: F.when(F.size(c) > 0, of_chunk(pair["text"], c)).otherwise(F.expr("cast(array() as array<string>)"))))
+    return once(F.struct(formatted.alias("text"), loss_spans.alias("spans")), each)

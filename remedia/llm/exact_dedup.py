@@ -1,7 +1,7 @@
 """Exact dedup by a heavy-hitter split.
 
-Digests are computed once and written as a narrow table. A mergeable Misra-Gries summary (Spark's frequent-items
-sketch, one per task, merged in a tree) names at most ``MAX_CANDIDATES`` digests that may be frequent. Their exact
+Digests are computed once and written as a narrow table. A mergeable Misra-Gries summary of their hashes (Spark's
+frequent-items sketch, one per task, merged in two levels) names at most ``MAX_CANDIDATES`` that may be frequent. Their exact
 counts are verified with partial aggregation, their winners (one row each, so at most ``MAX_CANDIDATES`` rows) are
 broadcast, and all their copies are decided on the map side without moving. Every other digest is bounded to a small
 share of the rows by the summary's guarantee and takes an ordinary shuffle.
@@ -19,6 +19,8 @@ from .common import rows_kept, squeezed, written
 MAX_CANDIDATES = 512
 #: Counters that each Misra-Gries summary holds; a digest with more than rows / (0.75 * counters) copies is found.
 COUNTERS = 16384
+#: Tasks that merge the summaries of all tasks, before one merges theirs.
+MERGERS = 64
 #: A candidate is heavy if it has at least this many rows and this share of all rows.
 HEAVY_ROWS, HEAVY_SHARE = 64, 1 / 4096
 
@@ -44,11 +46,14 @@ def digest_table(docs: DataFrame) -> DataFrame:
 
 def heavy_winners(table: DataFrame) -> DataFrame:
     """Verified frequent digests with their winner: digest, best (the order struct), group_size; at most MAX_CANDIDATES rows."""
-    named = table.agg(F.expr(f"approx_top_k(hex(digest), {MAX_CANDIDATES}, {COUNTERS})").alias("top"), F.count("*").alias("total"))
+    item = F.xxhash64("digest")  # 8 bytes a counter instead of 32; the count by whole digests below decides
+    level = table.select(item.alias("item"), F.pmod(F.spark_partition_id(), F.lit(MERGERS)).alias("merger"))
+    level = level.groupBy("merger").agg(F.expr(f"approx_top_k_accumulate(item, {COUNTERS})").alias("summary"), F.count("*").alias("n"))
+    named = level.agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(summary, {COUNTERS}), {MAX_CANDIDATES})").alias("top"), F.sum("n").alias("total"))
     named = named.select(F.explode("top").alias("t"), "total").filter(F.col("t.count") >= F.greatest(F.lit(HEAVY_ROWS), F.col("total") * F.lit(HEAVY_SHARE)))
-    named = named.select(F.unhex("t.item").alias("digest"), "total")
+    named = named.select(F.col("t.item").alias("item"), "total")
     return (
-        table.join(F.broadcast(named), "digest")
+        table.join(F.broadcast(named), item == F.col("item"))
         .groupBy("digest")
         .agg(F.min(_order()).alias("best"), F.count("*").alias("group_size"), F.max("total").alias("total"))
         .filter(F.col("group_size") >= F.greatest(F.lit(HEAVY_ROWS), F.col("total") * F.lit(HEAVY_SHARE)))

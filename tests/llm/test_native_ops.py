@@ -160,6 +160,22 @@ def test_mixture_with_weights(spark):
 CHAT = "conv_id long, turn long, role string, text string, turns int, blocks string"
 
 
+@pytest.mark.parametrize("roles", [["user", "assistant"], ["assistant"]])
+def test_long_conversations(spark, roles):
+    """Time grows with a conversation's turns, not with their square or cube; spans are right on both sides of each step."""
+    import time
+
+    turns = spark.range(10_000).selectExpr("1L AS conv_id", "id AS turn", f"element_at(array({', '.join(map(repr, roles))}), cast(id % {len(roles)} AS int) + 1) AS role", "concat('turn <|', id, repeat(' é', id % 9)) AS text")
+    turns = turns.unionByName(turns.filter(f"turn < {chat_format.STEP * 2 + 1}").withColumn("conv_id", F.lit(2).cast("long")))
+    began = time.perf_counter()
+    out = chat_format.format_conversations(turns)
+    out = out.select("conv_id", chat_format.read_back(F.col("formatted")).alias("back"), chat_format.learned_texts(F.col("formatted"), F.col("loss_spans")).alias("learned")).collect()
+    assert time.perf_counter() - began < 30
+    for r in out:
+        want = [(roles[i % len(roles)], f"turn <|{i}" + " é" * (i % 9)) for i in range(10_000 if r["conv_id"] == 1 else chat_format.STEP * 2 + 1)]
+        assert [tuple(t) for t in r["back"]] == want and r["learned"] == [t for role, t in want if role == "assistant"]
+
+
 def test_chat_round_trip(spark):
     rng = random.Random(9)
     bits = ["<|im_end|>", "<|im_start|>", "<|im_sep|>", "\\", "<\\|", "<", "|", "\n", "é", "x", "<|"]

@@ -222,23 +222,92 @@ def test_edit_table(spark):
     assert token_counts.count_with_edits(docs(spark, []), edits, COUNT_RANKS, PATTERN).count() == 0
 
 
-def test_forward_sums_all_segmentations():
-    pieces = ["▁a", "ab", "a", "b", "▁", "▁ab"]
-    lattice = langid.Lattice(pieces)
+LATTICE_PIECES = ["▁a", "ab", "a", "b", "▁", "▁ab", "abababababab"]
+
+
+def segmentations(word, pieces, probs):
+    """(probability, pieces) of every segmentation; an unknown character is a piece of its own."""
+    if not word:
+        yield 1.0, []
+    for k in range(1, len(word) + 1):
+        known = word[:k] in pieces
+        if known or k == 1:
+            own = probs[pieces.index(word[:k])] if known else langid.UNKNOWN
+            for p, rest in segmentations(word[k:], pieces, probs):
+                yield own * p, [word[:k], *rest]
+
+
+def lattice_model():
     import numpy as np
 
-    probs = np.vstack([np.linspace(0.1, 0.3, len(pieces))[:, None], [[0.0]]])
+    probs = np.append(np.linspace(0.05, 0.2, len(LATTICE_PIECES)), langid.UNKNOWN)
+    return langid.Model(["x"], langid.Lattice(LATTICE_PIECES), probs[:, None]), probs
+
 
-    def slow(word):
-        if not word:
-            return 1.0
-        total = sum(probs[pieces.index(word[:k]), 0] * slow(word[k:]) for k in range(1, len(word) + 1) if word[:k] in pieces)
-        return total + (0 if word[0] in pieces else langid.UNKNOWN * slow(word[1:]))
+def test_forward_sums_all_segmentations(monkeypatch):
+    import numpy as np
+
+    model, probs = lattice_model()
+    words = ["ab", "b", "aba", "zab", "abab", "", "abababababab", "zzabz"]
+    want = [np.log(sum(p for p, _ in segmentations("▁" + w, LATTICE_PIECES, probs))) if w else 0 for w in words]
+    for longest in (langid.LONGEST, 4):
+        monkeypatch.setattr(langid, "LONGEST", longest)
+        assert np.allclose(model.score_words(words)[:, 0], want)
+    monkeypatch.undo()
+    # A long word is scored whole: as by a plain recursion over its ends.
+    long = "▁" + "ab" * 500 + "z"
+    alpha = [0.0]
+    for e in range(1, len(long) + 1):
+        terms = [alpha[s] + np.log(probs[LATTICE_PIECES.index(long[s:e])] if long[s:e] in LATTICE_PIECES else langid.UNKNOWN) for s in range(max(0, e - 12), e) if long[s:e] in LATTICE_PIECES or e - s == 1]
+        alpha.append(np.logaddexp.reduce(terms))
+    assert np.isclose(model.score_words([long[1:]])[0, 0], alpha[-1])
+
+
+def test_expected_counts_of_all_segmentations(monkeypatch):
+    import numpy as np
+
+    model, probs = lattice_model()
+    words, weights = ["ab", "aba", "zab", "ababab"], np.array([2.0, 1.0, 3.0, 0.5])
+    want = np.zeros(len(LATTICE_PIECES) + 1)
+    for word, weight in zip(words, weights):
+        found = list(segmentations("▁" + word, LATTICE_PIECES, probs))
+        total = sum(p for p, _ in found)
+        for p, cut in found:
+            for piece in cut:
+                if piece in LATTICE_PIECES:
+                    want[LATTICE_PIECES.index(piece)] += weight * p / total
+    for longest in (langid.LONGEST, 4):
+        monkeypatch.setattr(langid, "LONGEST", longest)
+        assert np.allclose(langid.expected(model.lattice, words, weights, model.probs), want)
+
+
+def test_posterior_of_whole_texts():
+    import numpy as np
+    import pyarrow as pa
 
-    model = langid.Model(["x"], lattice, probs)
-    words = ["ab", "b", "aba", "zab", "abab", ""]
-    for word, score in zip(words, model.score_words(words)[:, 0]):
-        assert abs(score - (np.log(slow("▁" + word)) if word else 0)) < 1e-9
+    one, probs = lattice_model()
+    model = langid.Model(["x", "y"], one.lattice, np.column_stack([probs, np.append(probs[-2::-1], langid.UNKNOWN)]))
+    text = "Ab, aba! zab " * 3
+    logs = [3 * sum(np.log(sum(p for p, _ in segmentations("▁" + w, LATTICE_PIECES, model.probs[:, k]))) for w in ("ab", "aba", "zab")) for k in (0, 1)]
+    names, scores = langid.score_texts(model, pa.array([text, None, "12"]))
+    assert names == ["xy"[int(np.argmax(logs))], "und", "und"] and np.isclose(scores[0], 1 / (1 + np.exp(min(logs) - max(logs)))) and scores[1] == scores[2] == 0
+
+
+def test_vocabulary_and_sample(spark, monkeypatch):
+    pieces = langid.vocabulary(PIECES)
+    assert max(map(len, pieces)) > 10 and all(p == p.lower() for p in pieces)
+    rows = [(i, f"word{i}", "f", "ab"[i % 3 == 0], 1, "c") for i in range(4000)]
+    table = spark.createDataFrame(rows, DOCS)
+    usable = table.select("doc_id", "lang", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 62)).alias("h"))
+    by: dict = {}
+    for r in usable.collect():
+        by.setdefault(r["lang"], []).append((r["h"], r["doc_id"]))
+    for most in (1, 7, 300, 1500, 9000):
+        got = {(r["lang"], r["doc_id"]) for r in langid._lowest(usable, most).collect()}
+        assert got == {(lang, i) for lang, found in by.items() for _, i in sorted(found)[:most]}
+    monkeypatch.setattr(langid, "MAX_LANGUAGES", 1)
+    with pytest.raises(ValueError):
+        langid.training_words(table)
 
 
 def test_language_accuracy(spark):
