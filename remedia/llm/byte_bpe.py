@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrow_text import slices
+from .common import small_batches
 
 #: Chunks that a worker remembers, and the longest one it does.
 REMEMBERED, REMEMBERED_CHARS = 200_000, 48
@@ -150,7 +151,11 @@ class Codec:
             ids.extend(chain.from_iterable(map(found.__getitem__, rest)))
             yield ids
 
-    def decode_bytes(self, ids: Iterable[int]) -> bytes:
+    def decode_bytes(self, ids: Iterable[int | None]) -> bytes:
+        """Bytes of the ids; a null one has none, one outside the vocabulary is a ValueError."""
+        ids = [i for i in ids if i is not None]
+        if ids and not (0 <= min(ids) and max(ids) < len(self.bytes_of)):
+            raise ValueError(f"ids from {min(ids)} to {max(ids)}, vocabulary of {len(self.bytes_of)}")
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
     def decode_pieces(self, ids: Iterable[int]) -> list[str]:
@@ -165,9 +170,9 @@ class Codec:
         """Code points (start, end) that each token touches; parts of one character share its place."""
         out, heads = [], 0
         for i in ids:
-            b = self.bytes_of[i]
+            b = self.bytes_of[i]  # none for a number that the rank file leaves out
             starts = sum(x & 0xC0 != 0x80 for x in b)
-            out.append((heads - 1 if b[0] & 0xC0 == 0x80 else heads, heads + starts))
+            out.append((heads - 1 if b and b[0] & 0xC0 == 0x80 else heads, heads + starts))
             heads += starts
         return out
 
@@ -186,6 +191,7 @@ def encode(docs: DataFrame, path: str, pattern: str, with_offsets: bool = False)
 
     Rows are encoded by themselves: null ids and repeated rows make no difference; an empty table stays empty.
     """
+    small_batches(docs.sparkSession)
     rows = _rows(docs)
     names = ["ids", *(["starts", "ends"] if with_offsets else [])]
 
@@ -204,7 +210,10 @@ def encode(docs: DataFrame, path: str, pattern: str, with_offsets: bool = False)
 
 
 def decode(tokens: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id and the decoded bytes for rows of doc_id and ids (null: none)."""
+    """doc_id and the decoded bytes for rows of doc_id and ids (a null list, or a null in it: none).
+
+    An id outside the vocabulary fails the job with a ValueError, since its bytes are unknown. An empty table stays empty.
+    """
     rows = tokens.select("doc_id", "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,6 +227,7 @@ def decode(tokens: DataFrame, path: str, pattern: str) -> DataFrame:
 
 def round_trip(docs: DataFrame, path: str, pattern: str, remembered: int = REMEMBERED) -> DataFrame:
     """Encode and decode in one pass: doc_id, n_tokens, ids_sha256 (of decimal ids joined by commas), decoded_sha256."""
+    small_batches(docs.sparkSession)
     rows = _rows(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,7 +238,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, remembered: int = REMEM
                 for ids in own.encode(part.column(1).to_pylist()):
                     counts.append(len(ids))
                     marks.append(sha(",".join(map(own.decimal.__getitem__, ids)).encode()).hexdigest())
-                    back.append(sha(own.decode_bytes(ids)).hexdigest())
+                    back.append(sha(b"".join(map(own.bytes_of.__getitem__, ids))).hexdigest())
                 columns = [part.column(0), pa.array(counts, pa.int64()), pa.array(marks, pa.string()), pa.array(back, pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 

@@ -41,7 +41,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Let Arrow batches hold BATCH_BYTES at most, unless the session asks for less: long texts then need little memory."""
+    """Let Arrow batches hold BATCH_BYTES at most, unless the session asks for less: long texts then need little memory.
+
+    Spark reads the setting when a plan runs, so it stays for the session; it changes no result.
+    """
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     if not 0 < int(str(spark.conf.get(name)).removesuffix("b")) <= BATCH_BYTES:
         spark.conf.set(name, str(BATCH_BYTES))

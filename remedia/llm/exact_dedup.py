@@ -49,7 +49,8 @@ def heavy_winners(table: DataFrame) -> DataFrame:
     item = F.xxhash64("digest")  # 8 bytes a counter instead of 32; the count by whole digests below decides
     level = table.select(item.alias("item"), F.pmod(F.spark_partition_id(), F.lit(MERGERS)).alias("merger"))
     level = level.groupBy("merger").agg(F.expr(f"approx_top_k_accumulate(item, {COUNTERS})").alias("summary"), F.count("*").alias("n"))
-    named = level.agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(summary, {COUNTERS}), {MAX_CANDIDATES})").alias("top"), F.sum("n").alias("total"))
+    # Grouped by a constant: without rows there is no summary to merge.
+    named = level.groupBy(F.lit(0).alias("all")).agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(summary, {COUNTERS}), {MAX_CANDIDATES})").alias("top"), F.sum("n").alias("total"))
     named = named.select(F.explode("top").alias("t"), "total").filter(F.col("t.count") >= F.greatest(F.lit(HEAVY_ROWS), F.col("total") * F.lit(HEAVY_SHARE)))
     named = named.select(F.col("t.item").alias("item"), "total")
     return (

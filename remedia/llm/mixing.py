@@ -4,6 +4,8 @@ Each source's documents are put into a fixed order and cut into blocks; every so
 of all T blocks has release time floor(i * T / b) and deadline ceil((i + 1) * T / b). Every slot goes to the released block
 with the earliest deadline, so that after any number of slots each stream has its share to within less than one block.
 The T turns depend on each other, so the driver makes them, one a block, and writes them in parts to be joined to the blocks.
+Blocks have ``BLOCK`` rows, or more where the mixture would have over ``MAX_TURNS`` of them: the deviation of any source is then still less
+than a ``MAX_TURNS``-th of the mixture, and the driver's work is bounded whatever the input.
 
 Ranks within a source never put one source into one task: rows are counted by (stream, order bucket), the counts are
 summed into offsets, and each bucket is numbered by itself.
@@ -25,12 +27,11 @@ from pyspark.sql.window import Window
 
 from .common import broadcast_if_small, scratch_root, written
 
-#: Slots of a period of whole slots (:func:`slot_weights`).
-PERIOD = 1024
 #: Turns that the driver holds at once.
 CHUNK_TURNS = 250_000
-BLOCK = 16
-#: Targets with a cap: natural shares, but no source above this share of the mixture ...
+#: Rows of a block, and turns that the driver makes at most (beyond them blocks grow).
+BLOCK, MAX_TURNS = 16, 1 << 22
+#: Targets with a cap, for callers that ask for it: natural shares, but no source above this share of the mixture ...
 MAX_SHARE = 0.25
 #: ... and none loses more than this part of its documents to it.
 MAX_LOSS = 0.5
@@ -58,21 +59,6 @@ def capped_quotas(sizes: list[int], total: int, max_share: float = MAX_SHARE, ma
     return list(sizes)
 
 
-def slot_weights(quotas: list[int], period: int = PERIOD) -> list[int]:
-    """Whole slots a period for each stream, at least one, by largest remainder."""
-    total = sum(quotas)
-    exact = [q * period / total for q in quotas]
-    out = [max(1, floor(x)) for x in exact]
-    by = sorted(range(len(out)), key=lambda i: (out[i] - exact[i], i))
-    while sum(out) < period:
-        for i in by[: period - sum(out)]:
-            out[i] += 1
-    while sum(out) > period:
-        i = max(range(len(out)), key=lambda i: (out[i] - exact[i] if out[i] > 1 else float("-inf"), -i))
-        out[i] -= 1
-    return out
-
-
 def turns(blocks: list[int]) -> Iterator[tuple[int, int, int, int, int]]:
     """(slot, stream, nth, release, deadline) of every block of every stream, earliest deadline first among the released."""
     total = sum(blocks)
@@ -101,12 +87,18 @@ def schedule(spark, blocks: list[int]) -> DataFrame:
     return spark.read.schema(fields).parquet(path) if sum(blocks) else spark.createDataFrame([], fields)
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, max_share: float | None = MAX_SHARE) -> DataFrame:
+def block_rows(total: int, block: int = BLOCK) -> int:
+    """Rows of a block of a mixture of ``total`` rows."""
+    return max(block, -(-total // MAX_TURNS))
+
+
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, max_share: float | None = None) -> DataFrame:
     """One row per row of ``docs`` (columns doc_id, source, text): where it stands in the mixture.
 
     Returns doc_id, text_hash, source, stream, rank, block, release, deadline, slot, position, selected. ``weights`` are target
-    shares by source (others get none); the mixture then ends where the first of them is used up. Without them the
-    targets are natural shares with the cap ``max_share``; None takes every row of every source. A null source is a source of its own, a null id sorts first,
+    shares by source (others get none); the mixture then ends where the first of them is used up, so it is empty where no weight
+    is above zero or a source has no row. Without them the targets are natural shares and every row of every source
+    is taken, or, where ``max_share`` is given, natural shares with that cap. A null source is a source of its own, a null id sorts first,
     repeated rows have ranks of their own, and an empty table gives an empty result. Rows beyond their source's quota
     keep a rank but have ``selected`` false and no slot or position.
     """
@@ -126,8 +118,9 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = B
         wanted = {s: w for s, w in weights.items() if w > 0}
         counted = {r["source"]: r["n"] for r in sizes.filter(F.col("source").isin(list(wanted))).collect()}
         large = [(s, counted.get(s, 0)) for s in sorted(wanted)]
-        length = min(n / (wanted[s] / sum(wanted.values())) for s, n in large)
+        length = min((n / (wanted[s] / sum(wanted.values())) for s, n in large), default=0)
         quotas = [min(n, floor(length * wanted[s] / sum(wanted.values()) + 1e-9)) for s, n in large]
+    block = block_rows(sum(quotas), block)
     streams = [(i, s, q) for i, ((s, _), q) in enumerate(zip(large, quotas))]
     kind = T.StructType([T.StructField("stream", T.LongType()), T.StructField("s", sizes.schema["source"].dataType), T.StructField("quota", T.LongType())])
     named = broadcast_if_small(written(spark.createDataFrame(streams, kind), "mix-streams"))
@@ -146,15 +139,27 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = B
     )
 
 
-def mixture(docs: DataFrame, weights: dict[str, float] | None = None, max_share: float | None = MAX_SHARE) -> DataFrame:
+def mixture(docs: DataFrame, weights: dict[str, float] | None = None, max_share: float | None = None) -> DataFrame:
     """The selected rows of ``docs``, all columns kept, range-partitioned and sorted into the mixture's order.
 
-    Rows that repeat both id and text stand together at the first of their positions.
+    Rows that repeat both id and text stand together at the first of their positions; where only some of them are
+    selected, as many stay (which of them can't be told apart by id, source and text).
     """
-    places = mix(docs, weights, max_share=max_share).filter("selected").groupBy(F.col("doc_id").alias("_rk_id"), F.col("text_hash").alias("_rk_digest"))
-    places = written(places.agg(F.min("position").alias("_rk_position")), "mix-places")
-    marked = docs.withColumns({"_rk_doc_id": F.col("doc_id"), "_rk_doc_digest": F.xxhash64(F.coalesce(F.col("text"), F.lit("")))})
-    same = places["_rk_id"].eqNullSafe(marked["_rk_doc_id"]) & (places["_rk_digest"] == marked["_rk_doc_digest"])
-    found = marked.join(places, same).select(*(marked[f"`{c}`"] for c in docs.columns), "_rk_position")
+    places = mix(docs, weights, max_share=max_share).groupBy(F.col("doc_id").alias("_rk_id"), F.col("source").alias("_rk_source"), F.col("text_hash").alias("_rk_digest"))
+    places = places.agg(F.min("position").alias("_rk_position"), F.count_if("selected").alias("_rk_taken"), F.count("*").alias("_rk_rows"))
+    places = written(places.filter("_rk_taken > 0"), "mix-places")
+    names = docs.columns
+    marked = docs.withColumns({"_rk_doc_id": F.col("doc_id"), "_rk_doc_source": F.col("source"), "_rk_doc_digest": F.xxhash64(F.coalesce(F.col("text"), F.lit("")))})
+
+    def found(some: DataFrame) -> DataFrame:
+        same = some["_rk_id"].eqNullSafe(marked["_rk_doc_id"]) & some["_rk_source"].eqNullSafe(marked["_rk_doc_source"]) & (some["_rk_digest"] == marked["_rk_doc_digest"])
+        return marked.join(some, same)
+
+    kept = found(places.filter("_rk_taken = _rk_rows")).select(*(F.col(f"`{c}`") for c in names), "_rk_position")
+    partly = places.filter("_rk_taken < _rk_rows")
+    if not partly.isEmpty():
+        nth = F.row_number().over(Window.partitionBy("_rk_doc_id", "_rk_doc_source", "_rk_doc_digest").orderBy("_rk_position"))
+        some = found(partly).withColumn("_rk_nth", nth).filter("_rk_nth <= _rk_taken")
+        kept = kept.unionByName(some.select(*(F.col(f"`{c}`") for c in names), "_rk_position"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return found.repartitionByRange(parts, "_rk_position").sortWithinPartitions("_rk_position").drop("_rk_position")
+    return kept.repartitionByRange(parts, "_rk_position").sortWithinPartitions("_rk_position").drop("_rk_position")

@@ -34,5 +34,28 @@ FROM w GROUP BY conv_id
 """
 
 
+_OP4 = """
+WITH RECURSIVE size AS (
+  SELECT source, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, source NULLS FIRST) - 1 AS stream, greatest(16, ((SELECT count(*) FROM documents) + 4194303) // 4194304) AS block
+  FROM documents GROUP BY source
+), plan AS (
+  SELECT list((n + block - 1) // block ORDER BY stream) AS blocks, sum((n + block - 1) // block)::BIGINT AS total, count(*) AS streams FROM size
+), run(slot, nexts, stream, nth) AS (
+  SELECT 0::BIGINT, list_transform(blocks, lambda x: 0::BIGINT), NULL::BIGINT, NULL::BIGINT FROM plan
+  UNION ALL
+  SELECT slot + 1, list_transform(nexts, lambda x, i: CASE WHEN i = pick THEN x + 1 ELSE x END), pick - 1, nexts[pick] FROM (
+    SELECT slot, nexts, list_min(list_filter(list_transform(nexts, lambda x, i: CASE WHEN x < blocks[i] AND x * total // blocks[i] <= slot THEN ((x + 1) * total + blocks[i] - 1) // blocks[i] * (streams + 1) + i END), lambda x: x IS NOT NULL)) % (streams + 1) AS pick
+    FROM run, plan WHERE slot < total)
+), turn AS (
+  SELECT r.stream, r.nth, r.slot - 1 AS slot, r.nth * total // blocks[r.stream + 1] AS release, ((r.nth + 1) * total + blocks[r.stream + 1] - 1) // blocks[r.stream + 1] AS deadline FROM run r, plan WHERE r.stream IS NOT NULL
+), ranked AS (
+  SELECT d.doc_id, d.source, s.stream, s.block AS size, row_number() OVER (PARTITION BY d.source ORDER BY md5(coalesce(d.doc_id::VARCHAR, '')), d.doc_id NULLS FIRST) - 1 AS rank
+  FROM documents d JOIN size s ON d.source IS NOT DISTINCT FROM s.source
+)
+SELECT doc_id, source, r.stream, rank, rank // size AS block, release, deadline, slot, slot * size + rank % size AS position, true AS selected
+FROM ranked r JOIN turn t ON t.stream = r.stream AND t.nth = r.rank // size
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_dedup": _OP7, "op10_chat_format": _OP10}
+    return {"op4_mixing": _OP4, "op7_exact_dedup": _OP7, "op10_chat_format": _OP10}

@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import small_batches
+
 LEVEL = 3
 #: (at least so many bytes, lowest ratio, highest ratio). Frames have a fixed cost, so short texts may exceed 1.
 #: Highest ratios are a margin over ordinary prose of that length. Random letters and digits are above them from 176 bytes on (most of
@@ -125,6 +127,7 @@ def judge(docs: DataFrame) -> DataFrame:
             columns = zip(*rows) if rows else [()] * len(kinds)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=["doc_id", *(n for n, _ in _SCHEMA)])
 
+    small_batches(docs.sparkSession)
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     schema = T.StructType([rows.schema["doc_id"]])
     for name, kind in _SCHEMA:

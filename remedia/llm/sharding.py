@@ -118,8 +118,7 @@ def assign(docs: DataFrame, shards: int = 8) -> DataFrame:
 
     plan, upto = [{"u": u, "to": s, "low": 0} for u, s in at.items()], 0
     for u in sorted(left):
-        first, last = bisect_left(bounds, upto), bisect_left(bounds, upto + left[u])
-        first = bisect_right(bounds, upto)
+        first, last = bisect_right(bounds, upto), bisect_left(bounds, upto + left[u])
         plan.append({"u": u, "to": first if first >= last else None, "low": upto})
         upto += left[u]
     planned = F.broadcast(small_table(spark, plan, "u: bigint, to: int, low: bigint"))

@@ -6,7 +6,9 @@ the bits whose vector has odd inner product with v. Any radius or fewer differin
 equations in radius + 1 unknowns, so some table drops all of them: every pair within the radius meets there.
 
 A bucket of up to ``BUCKET`` distinct fingerprints is searched in one task, which emits a spanning forest of its links
-and never all pairs. Members of larger buckets take an exact way that no bucket size can hurt: each emits the values one
+and never all pairs. Larger buckets are split by a second covering family, whose tables keep other bits: a pair that differs
+in bits that the first table dropped meets in one of the second's too. Members of buckets that are still
+too large take an exact way that no bucket size can hurt: each emits the values one
 bit away, and those of even parity the values two bits away; groups around one value are bounded by combinatorics
 (at most 65 near and 2016 far members), and every pair within three bits meets around one.
 """
@@ -33,6 +35,8 @@ RADIUS = 3
 SEED = 42
 #: Largest bucket that one task searches; beyond it the exact way around single values is taken.
 BUCKET = 4096
+#: Run length of vectors in the second covering family.
+SECOND_STEP = 5
 #: Text bytes that a worker holds as Python objects at once.
 SLICE_BYTES = 4 << 20
 
@@ -70,9 +74,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def covering_masks(radius: int = RADIUS) -> list[int]:
-    """The bits that each table keeps, as signed 64-bit masks."""
-    vectors = [i % (2 ** (radius + 1) - 1) + 1 for i in range(BITS)]
+def covering_masks(radius: int = RADIUS, step: int = 1) -> list[int]:
+    """The bits that each table keeps, as signed 64-bit masks; ``step`` deals the vectors to the bits in runs of that length."""
+    vectors = [i // step % (2 ** (radius + 1) - 1) + 1 for i in range(BITS)]
     masks = [sum(1 << i for i, x in enumerate(vectors) if (x & v).bit_count() % 2) for v in range(1, 2 ** (radius + 1))]
     return [_signed(m) for m in masks]
 
@@ -154,18 +158,30 @@ def _crowded_links(fps: DataFrame) -> DataFrame:
 
 def links(distinct: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """Links (a, b) among distinct fingerprints (column fp) that connect exactly what pairs within RADIUS connect."""
-    tables = F.array(*(F.struct(F.lit(k).cast("byte").alias("k"), F.lit(m).alias("mask")) for k, m in enumerate(covering_masks())))
+    tables = F.array(*(F.struct(F.lit(k).cast("short").alias("k"), F.lit(m).alias("mask")) for k, m in enumerate(covering_masks())))
     rows = distinct.select("fp", F.explode(tables).alias("t")).select(F.col("t.k").alias("k"), F.col("fp").bitwiseAND(F.col("t.mask")).alias("key"), "fp")
-    crowded = written(rows.groupBy("k", "key").agg(F.count("*").alias("n")).filter(F.col("n") > bucket).select("k", "key"), "simhash-crowded")
-    found = rows
-    extra = None
+    found, extra = rows, None
+    crowded = _crowded(rows, bucket)
     if not crowded.isEmpty():
         found = rows.join(crowded, ["k", "key"], "left_anti").select("k", "key", "fp")
-        extra = _crowded_links(written(rows.join(crowded, ["k", "key"], "left_semi").select("fp").distinct(), "simhash-crowded-fps"))
+        second = F.array(*(F.struct(F.lit(j).alias("j"), F.lit(m).alias("mask")) for j, m in enumerate(covering_masks(step=SECOND_STEP))))
+        own = F.get(F.array(*map(F.lit, covering_masks())), F.col("k"))
+        again = rows.join(crowded, ["k", "key"], "left_semi").select("k", "fp", own.alias("own"), F.explode(second).alias("t"))
+        again = again.select((F.col("k") * 16 + F.col("t.j") + 16).cast("short").alias("k"), F.col("fp").bitwiseAND(F.col("own").bitwiseOR(F.col("t.mask"))).alias("key"), "fp")
+        again = written(again, "simhash-second")
+        still = _crowded(again, bucket)
+        if not still.isEmpty():
+            extra = _crowded_links(written(again.join(still, ["k", "key"], "left_semi").select("fp").distinct(), "simhash-crowded-fps"))
+            again = again.join(still, ["k", "key"], "left_anti").select("k", "key", "fp")
+        found = found.unionByName(again)
     out = found.repartition("k", "key").sortWithinPartitions("k", "key").mapInArrow(_search, "a long, b long")
     return out.unionByName(extra) if extra is not None else out
 
 
+def _crowded(rows: DataFrame, bucket: int) -> DataFrame:
+    return written(rows.groupBy("k", "key").agg(F.count("*").alias("n")).filter(F.col("n") > bucket).select("k", "key"), "simhash-crowded")
+
+
 def components(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs`` (columns doc_id, text): doc_id, text_hash, uid, fp, component_id, keeper (struct).
 

@@ -3,9 +3,12 @@
 import hashlib
 import random
 import re
+import struct
+import zlib
 from collections import Counter, defaultdict
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -95,22 +98,102 @@ def test_shards_of_equal_texts(spark):
     assert all(len(s) == 1 for s in where.values())
 
 
-def test_schedule_is_pfair(spark):
-    slots = mixing.slot_weights([700, 200, 90, 10, 1], 64)
-    assert sum(slots) == 64 and min(slots) >= 1
-    rows = sorted(mixing.schedule(spark, slots).collect(), key=lambda r: r["slot"])
-    done = Counter()
-    assert [r["slot"] for r in rows] == list(range(64))
-    for t, r in enumerate(rows, 1):
-        assert r["release"] <= r["slot"] < r["deadline"] and r["nth"] == done[r["stream"]]
-        done[r["stream"]] += 1
-        for s, a in enumerate(slots):
-            assert abs(done[s] - a * t / 64) < 1
+def slow_assign(rows, splitters, shards):
+    """Shards and slots by plain loops over all rows, from the same boundaries."""
+    signed = lambda x: x - 2**64 if x >= 2**63 else x
+    keyed = []
+    for i, text, *_ in rows:
+        data = (text or "").encode()
+        keyed.append([i, len(data) + 1, signed(xxhash.xxh64_intdigest(data, 42))])
+    n_bytes, n_rows = sum(k[1] for k in keyed), len(keyed)
+    ranges = max(sharding.MIN_RANGES, min(sharding.MAX_RANGES, -(-n_bytes // sharding.RANGE_BYTES)))
+    most_bytes, most_rows = sharding.OVERFULL * n_bytes / ranges, sharding.OVERFULL * n_rows / ranges
+    unit_of = {h: sum(s < h for s in splitters) for _, _, h in keyed}
+    totals, groups = defaultdict(lambda: [0, 0]), defaultdict(lambda: [0, 0])
+    for _, size, h in keyed:
+        for t in (totals[unit_of[h]], groups[h]):
+            t[0] += size
+            t[1] += 1
+    too_big = lambda t: t[0] > most_bytes or t[1] > most_rows
+    heavy = sorted(h for h in groups if too_big(groups[h]) and too_big(totals[unit_of[h]]))
+    base, pieces, piece_of = len(splitters) + 1, defaultdict(lambda: defaultdict(int)), {}
+    for h in heavy:
+        parts = max(1, round(max(groups[h][0] / most_bytes, groups[h][1] / most_rows)) * sharding.OVERFULL)
+        for n, (i, size, own) in enumerate(keyed):
+            if own == h:
+                seed = 42 if i is None else xxhash.xxh64_intdigest(struct.pack("<q", i), 42)
+                unit = base + signed(xxhash.xxh64_intdigest(struct.pack("<i", 29), seed)) % parts
+                piece_of[n] = unit
+                pieces[h][unit] += size
+        base += parts
+    room, shard_of_unit = [n_bytes / shards] * shards, {}
+    for h in sorted(heavy, key=lambda h: (-groups[h][0], h)):
+        best = max(range(shards), key=lambda s: room[s])
+        whole = groups[h][0] <= room[best] + sharding.SLACK * n_bytes / shards
+        for unit, size in sorted(pieces[h].items(), key=lambda p: (-p[1], p[0])):
+            to = best if whole else max(range(shards), key=lambda s: room[s])
+            shard_of_unit[unit] = to
+            room[to] -= size
+    room = [max(0.0, x) for x in room]
+    light = sum(t[0] for t in totals.values()) - sum(groups[h][0] for h in heavy)
+    bounds, upto = [], 0
+    for x in room[:-1]:
+        upto += x
+        bounds.append(upto * light / (sum(room) or 1))
+    out, at = [], 0
+    by_key = defaultdict(list)
+    for n, (i, size, h) in enumerate(keyed):
+        if n not in piece_of:
+            by_key[unit_of[h], h].append(n)
+    start_of = {}
+    for u in sorted(totals):
+        start_of[u] = at
+        at += totals[u][0] - sum(groups[h][0] for h in heavy if unit_of[h] == u)
+    where = {}
+    for u in sorted(totals):
+        begin, end = start_of[u], start_of[u] + sum(keyed[n][1] for (v, _), ns in by_key.items() if v == u for n in ns)
+        inside = [b for b in bounds if begin < b < end]
+        upto = begin
+        for (v, h), ns in sorted(by_key.items()):
+            if v == u:
+                upto += sum(keyed[n][1] for n in ns)  # equal keys are one step of the running sum
+                for n in ns:
+                    where[n] = sum(b < upto for b in bounds) if inside else sum(b <= begin for b in bounds)
+    where |= {n: shard_of_unit[u] for n, u in piece_of.items()}
+    order = sorted(range(n_rows), key=lambda n: (where[n], piece_of.get(n, unit_of[keyed[n][2]]), keyed[n][2], keyed[n][0] is not None, keyed[n][0] or 0, keyed[n][1]))
+    slots, seen = {}, Counter()
+    for n in order:
+        slots[n] = seen[where[n]]
+        seen[where[n]] += 1
+    for n, (i, size, _) in enumerate(keyed):
+        out.append((i, size, zlib.crc32((rows[n][1] or "").encode()), where[n], slots[n]))
+    return Counter(out)
+
+
+@pytest.mark.parametrize("hot", [0, 600, 1500])
+def test_shards_against_loops(spark, monkeypatch, hot):
+    rng = random.Random(hot)
+    rows = [(i, "hot text " * 9 if i < hot else "".join(rng.choices("abc ", k=rng.randint(0, 300))), "s") for i in range(3000)] + [(None, "hot text " * 9, None), (None, None, None), (7, "x" * 9000, None)]
+    splitters = sorted(rng.getrandbits(64) - 2**63 for _ in range(300))
+    monkeypatch.setattr(sharding, "_splitters", lambda *_: splitters)
+    got = sharding.assign(docs(spark, rows)).collect()
+    assert Counter((r["doc_id"], r["size"], r["text_crc32"], r["shard"], r["slot"]) for r in got) == slow_assign(rows, splitters, 8)
+
+
+def test_groups_at_the_slack():
+    from collections import namedtuple
+
+    group, piece = namedtuple("G", "h bytes"), namedtuple("P", "unit bytes")
+    slack = sharding.SLACK * 100
+    for extra, shards in ((0, 1), (slack, 1), (slack + 1, 2)):
+        size = 100 + extra
+        at = sharding._place([group(5, size)], {5: [piece(0, size / 2), piece(1, size / 2)]}, [100.0] * 4)
+        assert len(set(at.values())) == shards
 
 
 def test_mixture(spark):
     rows = [(i, f"t{i}", "big" if i < 800 else f"s{i % 7}") for i in range(1200)] + [(None, "n", None), (3, "t3", "big")]
-    got = mixing.mix(docs(spark, rows)).collect()
+    got = mixing.mix(docs(spark, rows), max_share=0.25).collect()
     assert len(got) == len(rows)
     kept = Counter(r["source"] for r in got if r["selected"])
     assert all(kept[s] == n for s, n in Counter(s for _, _, s in rows).items() if s != "big")
@@ -120,8 +203,21 @@ def test_mixture(spark):
     for r in got:
         if r["selected"]:
             assert r["release"] <= r["slot"] < r["deadline"]
-    ordered = mixing.mixture(docs(spark, rows))
-    assert ordered.columns == [c.split()[0] for c in DOCS.split(", ")] and 790 <= ordered.count() <= len(places) + 1
+    ordered = mixing.mixture(docs(spark, rows), max_share=0.25)
+    assert ordered.columns == [c.split()[0] for c in DOCS.split(", ")] and ordered.count() == len(places)
+
+
+def test_mixture_takes_as_many_repeats_as_selected(spark):
+    rows = [(1, "same", "a")] * 40 + [(i, f"t{i}", "b") for i in range(10)]
+    for weights, want in (({"a": 0.5, "b": 0.5}, {"a": 10, "b": 10}), ({"a": 4, "b": 1}, {"a": 40, "b": 10}), ({"a": 1.0}, {"a": 40}), ({}, {}), ({"a": 0.0}, {}), (None, {"a": 40, "b": 10})):
+        assert Counter(r["source"] for r in mixing.mixture(docs(spark, rows), weights).collect()) == want
+
+
+def test_blocks_grow_beyond_the_most_turns(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MAX_TURNS", 20)
+    rows = [(i, f"t{i}", f"s{i % 3}") for i in range(900)]
+    got = mixing.mix(docs(spark, rows)).collect()
+    assert mixing.block_rows(900) == 45 and max(r["slot"] for r in got) == 20 and len({r["position"] for r in got}) == 900
 
 
 def test_mixture_keeps_every_row(spark):
@@ -131,6 +227,15 @@ def test_mixture_keeps_every_row(spark):
         assert mixing.capped_quotas(sizes, sum(sizes)) == sizes
     folder = "/root/testdata/sf0.001"
     assert all(r["selected"] for r in queries.op4_mixing(spark, folder).collect())
+    import duckdb
+
+    from remedia.llm import oracles
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
+    out = con.execute(oracles.oracle_sql()["op4_mixing"])
+    names = [c[0] for c in out.description]
+    assert Counter(out.fetchall()) == Counter(tuple(r[n] for n in names) for r in queries.op4_mixing(spark, folder).collect())
     rows = [(i, f"t{i}", "big" if i < 900 else f"s{i % 3}") for i in range(1000)]
     assert corpus_pipeline.source_mixing(spark, docs(spark, rows), folder).count() == 1000
 

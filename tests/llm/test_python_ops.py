@@ -58,8 +58,9 @@ def test_fingerprints():
         assert simhash.fingerprint((text or "").encode()) == slow_fingerprint(text)
 
 
-def test_covering_masks_cover():
-    masks = [m & (2**64 - 1) for m in simhash.covering_masks()]
+@pytest.mark.parametrize("step", [1, simhash.SECOND_STEP])
+def test_covering_masks_cover(step):
+    masks = [m & (2**64 - 1) for m in simhash.covering_masks(step=step)]
     rng = random.Random(1)
     assert len(masks) == 15
     for _ in range(3000):
@@ -67,7 +68,7 @@ def test_covering_masks_cover():
         assert any(m & diff == 0 for m in masks)
 
 
-@pytest.mark.parametrize("bucket", [4096, 4])
+@pytest.mark.parametrize("bucket", [4096, 10, 2])
 def test_links(spark, bucket):
     rng = random.Random(5)
     values = set()
@@ -118,6 +119,38 @@ def slow_counts(text):
     return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered)
 
 
+def slow_verdict(text):
+    """Whole and chunk ratios against the bands, spelled out."""
+    data, packer = (text or "").encode(), zstandard.ZstdCompressor(level=quality_bands.LEVEL)
+    if len(words_of(text)) < 10 or 100 * slow_counts(text)[4] > 20 * len(words_of(text)):
+        return False
+    limits = lambda n: [b for b in quality_bands.BANDS if b[0] <= n][-1][1:]
+    ratio = lambda d: len(packer.compress(d)) / len(d)
+    bad = total = 0
+    if len(data) > quality_bands.CHUNK + quality_bands.CHUNK_LEAST:
+        at = 0
+        while at < len(data):
+            end = at + quality_bands.CHUNK
+            if len(data) - end < quality_bands.CHUNK_LEAST:
+                end = len(data)
+            r = ratio(data[at:end])
+            total, bad, at = total + 1, bad + (not quality_bands.CHUNK_LOW <= r <= limits(len(data[at:end]))[1]), end
+    low, high = limits(len(data))
+    return low <= ratio(data) <= high and bad <= quality_bands.MAX_BAD_CHUNKS * total
+
+
+def test_quality_verdict_of_whole_texts(spark):
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rng = random.Random(9)
+    prose = max((r["text"] or "" for r in table.collect()), key=len)
+    junk = lambda n: " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=8)) for _ in range(n))
+    odd = [(9_000_000 + i, t) for i, t in enumerate([prose + junk(k) + prose for k in (100, 600, 3000)] + [prose + "the same words again and on " * k for k in (5, 300, 3000)] + [junk(k) for k in (12, 60, 900)])]
+    rows = table.unionByName(spark.createDataFrame(odd, "doc_id long, text string"))
+    text = {r["doc_id"]: r["text"] for r in rows.collect()}
+    got = {r["doc_id"]: r["kept"] for r in quality_bands.judge(rows).collect()}
+    assert got == {i: slow_verdict(t) for i, t in text.items()} and 0 < sum(not got[i] for i, _ in odd) < len(odd)
+
+
 def test_quality_counts(spark, monkeypatch):
     rng = random.Random(6)
     texts = [t for _, t in AWKWARD] + ["".join(rng.choice(["a ", "b ", "c\n", "# ", "é\t", "\n"]) for _ in range(rng.randint(0, 80))) for _ in range(60)]
@@ -191,6 +224,12 @@ def test_bpe_table(spark):
     back = {r["doc_id"]: bytes(r["decoded"]).decode() for r in byte_bpe.decode(tokens, RANKS, PATTERN).collect()}
     assert all(back[10 + i] == t for i, t in enumerate(TRICKY)) and back[1] == ""
     assert byte_bpe.round_trip(docs(spark, []), RANKS, PATTERN).count() == 0
+    own = byte_bpe.codec(RANKS, PATTERN)
+    odd = spark.createDataFrame([(1, None), (2, []), (3, [None, 65, None])], "doc_id long, ids array<int>")
+    assert [bytes(r["decoded"]) for r in byte_bpe.decode(odd, RANKS, PATTERN).orderBy("doc_id").collect()] == [b"", b"", own.decode_bytes([65])]
+    for bad in (-1, len(own.bytes_of)):
+        with pytest.raises(ValueError):
+            own.decode_bytes([65, bad])
 
 
 def test_edits(spark):
@@ -211,6 +250,44 @@ def test_edits(spark):
     assert long.encoded < 3000
 
 
+@pytest.mark.parametrize("path", [COUNT_RANKS, RANKS])
+def test_edits_of_text_without_spaces(path):
+    own = byte_bpe.codec(path, PATTERN)
+    rng = random.Random(6)
+    for letters in ("語言文字日本国中人大小上下の", "абвгдежзиклмнопрст", "ทดสอบภาษาไทย", "ab1cd2", "éè語x7"):
+        text = "".join(rng.choices(letters, k=20_000))
+        tree = token_counts.build(own, [text])[0]
+        for step in range(12):
+            start, gone, new = rng.randrange(len(text)), rng.choice([0, 1, 30]), "".join(rng.choices(letters + " '", k=rng.choice([1, 2, 700])))
+            before = tree.encoded
+            tree.edit(own, start, gone, new)
+            text = text[:start] + new + text[start + gone :]
+            if letters[0] in "語éa":
+                assert tree.encoded - before < 3000
+            if step % 4 == 3:
+                assert "".join(tree.parts) == text and tree.total == len(own.exact.encode_ordinary(text))
+
+
+def test_tree_stays_low():
+    """Thousands of edits at one place and all over: sums hold, nodes stay narrow, depth stays logarithmic."""
+    own = byte_bpe.codec(COUNT_RANKS, PATTERN)
+    rng = random.Random(8)
+    tree = token_counts.build(own, ["word " * 4000])[0]
+    for k in range(1500):
+        tree.edit(own, 777 if k % 2 else rng.randrange(tree.length), 0, " some more words and numbers 12345" * 4)
+
+    def depth(node):
+        if node.text is not None:
+            return 0
+        assert len(node.kids) <= 2 * token_counts.WIDTH and (node.chars, node.tokens, node.leaves) == tuple(sum(getattr(k, n) for k in node.kids) for n in ("chars", "tokens", "leaves"))
+        return 1 + max(map(depth, node.kids))
+
+    text = "".join(tree.parts)
+    assert depth(tree.root) <= 5 and tree.total == len(own.exact.encode_ordinary(text)) and tree.encoded < 1500 * 1200
+    tree.edit(own, 0, len(text), "")
+    assert (tree.length, tree.total, tree.parts) == (0, 0, [""])
+
+
 def test_edit_table(spark):
     table = docs(spark, AWKWARD)
     edits = spark.createDataFrame([(3, 0, 1, 1, "zz"), (3, 1, None, None, None), (6, 0, 4, 100, " new "), (99, 0, 0, 0, "q"), (None, 0, 0, 0, "q")], "doc_id long, seq int, start int, deleted int, inserted string")
@@ -435,5 +512,23 @@ def test_pipeline(spark):
     assert corpus_pipeline.run(spark, d).count() == len(final)
 
 
+def test_pipeline_of_awkward_tables(spark, tmp_path):
+    """No rows, null texts, sources and ids, repeated rows, very long and letterless texts: stages keep what their rules say."""
+    import corpus_pipeline
+
+    kind = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").schema
+    prose = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").filter("lang = 'en' AND n_chars > 300").limit(4).collect()]
+    learn = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    rows = [(100_001, prose[0], None, None, 1), (100_001, prose[0], None, None, 1), (None, prose[1] + " more", None, "s", None), (None, None, None, None, None), (100_003, "", "en", "s", 0), (100_004, "123 456 !", "en", "s", 9), (100_005, (prose[2] + "\n") * 300, "en", "s", 9)]
+    spark.createDataFrame([], kind).write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+    spark.createDataFrame([*learn, *rows], kind).write.parquet(f"{tmp_path}/odd/documents.parquet")
+    got = Counter(r["doc_id"] for r in corpus_pipeline.run(spark, f"{tmp_path}/odd").collect())
+    assert max(got.values()) == 1 and got[None] == 1 and got[100_005] == 1
+    assert not {100_003, 100_004} & set(got)
+    whole = {r[0] for r in learn if r[1] == prose[0]}
+    assert got[100_001] + sum(got[i] for i in whole) == 1
+
+
 def test_vocabularies_are_parameters():
     assert RANKS == public_tokenizers.path("byte_bpe_multi_50k.tiktoken") and F is not None
