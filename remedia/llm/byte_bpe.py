@@ -136,12 +136,6 @@ class Codec:
             found[c] = ids
         return found
 
-    def count(self, texts: list[str]) -> list[int]:
-        """Number of ids of each text, without making its list of ids."""
-        cut = list(map(safe_chunks, texts))
-        size = {c: len(ids) for c, ids in self._found(cut).items()}
-        return [(len(self._chunk(first)) if first else 0) + sum(map(size.__getitem__, rest)) for first, rest in cut]
-
     def encode(self, texts: list[str]) -> Iterator[list[int]]:
         """Ids of each text, no special tokens. Every distinct chunk of ``texts`` is looked up once."""
         cut = list(map(safe_chunks, texts))

@@ -18,12 +18,13 @@ from functools import cache
 
 import pyarrow as pa
 import regex
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrow_text import slices
-from .byte_bpe import Codec, codec
+from .byte_bpe import load_ranks
 from .common import small_batches
 
 LEAF = 256
@@ -37,13 +38,25 @@ _PLACE = regex.compile(r"(?<=\S) (?=\S)|(?<=\p{L})(?=\p{N})|(?<=\p{N})(?=\p{L})|
 _LETTER, _NUMBER = regex.compile(r"\p{L}"), regex.compile(r"\p{N}")
 
 
+class Measure:
+    """Counts tokens of one rank file; made once a worker and kept."""
+
+    def __init__(self, path: str, pattern: str) -> None:
+        ranks = load_ranks(path)
+        self.exact = tiktoken.Encoding("counted", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        #: Pairs of neighbouring bytes that some token holds; no merge crosses any other pair.
+        self.touching = frozenset(token[i : i + 2] for token in ranks for i in range(len(token) - 1))
+
+    def count(self, texts: list[str]) -> list[int]:
+        return list(map(len, map(self.exact.encode_ordinary, texts)))
+
+
 @cache
-def _touching(own: Codec) -> frozenset[bytes]:
-    """Pairs of neighbouring bytes that some token holds; no merge crosses any other pair."""
-    return frozenset(token[i : i + 2] for token in own.bytes_of for i in range(len(token) - 1))
+def measure(path: str, pattern: str) -> Measure:
+    return Measure(path, pattern)
 
 
-def sure(own: Codec, left: str, right: str) -> bool:
+def sure(own: Measure, left: str, right: str) -> bool:
     """Whether the two texts encode side by side as they do by themselves; False where that can't be told from their ends."""
     if not left or not right:
         return False
@@ -51,11 +64,11 @@ def sure(own: Codec, left: str, right: str) -> bool:
     if b == " ":
         return len(right) > 1 and not a.isspace() and not right[1].isspace()
     if _LETTER.match(a) and _LETTER.match(b):
-        return a > "\x7f" and b > "\x7f" and a.encode("utf-8", "replace")[-1:] + b.encode("utf-8", "replace")[:1] not in _touching(own)
+        return a > "\x7f" and b > "\x7f" and a.encode("utf-8", "replace")[-1:] + b.encode("utf-8", "replace")[:1] not in own.touching
     return bool(_LETTER.match(a) and _NUMBER.match(b) or _NUMBER.match(a) and _LETTER.match(b))
 
 
-def leaves(own: Codec, text: str, size: int = LEAF) -> list[str]:
+def leaves(own: Measure, text: str, size: int = LEAF) -> list[str]:
     """Consecutive parts of the text, cut only at sure places, each at least ``size`` long but the last."""
     out, at = [], 0
     while len(text) - at > size:
@@ -163,7 +176,7 @@ class Tree:
             node = kid
         return node.text
 
-    def edit(self, own: Codec, start: int, deleted: int, inserted: str) -> None:
+    def edit(self, own: Measure, start: int, deleted: int, inserted: str) -> None:
         """Replace ``deleted`` characters from ``start`` (both cut to the text) and count again what the edit can change."""
         start = min(max(start, 0), self.length)
         end = min(start + max(deleted, 0), self.length)
@@ -178,7 +191,7 @@ class Tree:
         self._set(_spliced(self.root, low, high, [Node(p, [], len(p), n) for p, n in zip(fresh, own.count(fresh))]))
 
 
-def build(own: Codec, texts: list[str]) -> list[Tree]:
+def build(own: Measure, texts: list[str]) -> list[Tree]:
     """Trees of many texts, whose leaves are encoded together."""
     split = [leaves(own, t) for t in texts]
     counts = iter(own.count([p for parts in split for p in parts]))
@@ -210,7 +223,7 @@ def count_rows(rows: DataFrame, path: str, pattern: str) -> DataFrame:
     names = [f.split()[0] for f in _SCHEMA.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path, pattern)
+        own = measure(path, pattern)
         for batch in batches:
             for part in slices(batch, 1, SLICE_BYTES):
                 out = []
