@@ -27,12 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrow_text import slices
+from .arrow_text import lean, slices
 from .common import small_batches
 
 #: Chunks that a worker remembers, and the longest one it does.
 REMEMBERED, REMEMBERED_CHARS = 200_000, 48
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 _UNSAFE = re.compile(r" \s|\s ")
 _SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
 
@@ -200,7 +200,7 @@ def encode(docs: DataFrame, path: str, pattern: str, with_offsets: bool = False)
                     columns += [pa.array([[p[k] for p in x] for x in places], kind) for k in (0, 1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=["doc_id", *names])
 
-    return rows.mapInArrow(run, T.StructType([rows.schema["doc_id"], *(T.StructField(n, T.ArrayType(T.IntegerType())) for n in names)]))
+    return rows.mapInArrow(lean(run), T.StructType([rows.schema["doc_id"], *(T.StructField(n, T.ArrayType(T.IntegerType())) for n in names)]))
 
 
 def decode(tokens: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -216,7 +216,7 @@ def decode(tokens: DataFrame, path: str, pattern: str) -> DataFrame:
             back = [own.decode_bytes(ids.as_py() or ()) for ids in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(back, pa.binary())], names=["doc_id", "decoded"])
 
-    return rows.mapInArrow(run, T.StructType([rows.schema["doc_id"], T.StructField("decoded", T.BinaryType())]))
+    return rows.mapInArrow(lean(run), T.StructType([rows.schema["doc_id"], T.StructField("decoded", T.BinaryType())]))
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, remembered: int = REMEMBERED) -> DataFrame:
@@ -237,4 +237,4 @@ def round_trip(docs: DataFrame, path: str, pattern: str, remembered: int = REMEM
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     schema = T.StructType([rows.schema["doc_id"], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)

@@ -15,7 +15,7 @@ SPACE_CHARS = " \t\n\x0b\x0c\r"
 #: A written table of at most so many narrow rows may be broadcast; a larger one is joined by shuffling.
 BROADCAST_ROWS = 250_000
 #: Text that one Arrow batch may hold.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def scratch_root(spark: SparkSession) -> str:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .arrow_text import by_length, code_points, encoded, slices
+from .arrow_text import by_length, code_points, encoded, lean, slices
 from .common import broadcast_if_small, small_batches, written
 
 #: The fitting sample: documents of each language, with all their words.
@@ -219,10 +219,11 @@ class Model:
             for k in range(0, len(at), step):
                 some = codes[k : k + step]
                 out[at[k : k + step]] = np.log(forward(self.lattice.edges(some), len(some), length, self.probs)[length])
-        for i, w in enumerate(framed):
-            if len(w) > LONGEST:
-                codes = code_points([w])
-                out[i] = _log_forward(*self.lattice.edges_of(codes), len(codes), np.log(self.probs))[-1]
+        if long := [i for i, w in enumerate(framed) if len(w) > LONGEST]:
+            logs = np.log(self.probs)
+            for i in long:
+                codes = code_points([framed[i]])
+                out[i] = _log_forward(*self.lattice.edges_of(codes), len(codes), logs)[-1]
         return out
 
 
@@ -302,7 +303,7 @@ def training_words(docs: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
     chosen = _lowest(usable.select("doc_id", "lang", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 62)).alias("h")), rows)
     chosen = broadcast_if_small(written(chosen.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang")).distinct(), "langid-sample"))  # at most ``rows`` a language
     texts = usable.join(chosen, (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang"))).select("lang", "text")
-    return texts.mapInArrow(count, "lang string, word string, n long").filter("word <> ''").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(lean(count), "lang string, word string, n long").filter("word <> ''").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
 def _piece_counts(words: DataFrame, lattice: Lattice, languages: list[str], probs: np.ndarray | None) -> np.ndarray:
@@ -320,7 +321,7 @@ def _piece_counts(words: DataFrame, lattice: Lattice, languages: list[str], prob
                     hit = np.flatnonzero(counts)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hit), k)), pa.array(hit), pa.array(counts[hit])], names=["k", "piece", "n"])
 
-    found = words.mapInArrow(run, "k long, piece long, n double").groupBy("k", "piece").agg(F.sum("n").alias("n")).toArrow()
+    found = words.mapInArrow(lean(run), "k long, piece long, n double").groupBy("k", "piece").agg(F.sum("n").alias("n")).toArrow()
     shared.unpersist()
     counts = np.zeros((lattice.none + 1, len(languages)))
     counts[found["piece"].to_numpy(), found["k"].to_numpy()] = found["n"].to_numpy()
@@ -366,7 +367,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     schema = T.StructType([rows.schema["doc_id"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)
 
 
 def keep_identified(docs: DataFrame, model: Model, least: float = LEAST_SCORE) -> DataFrame:
@@ -384,4 +385,4 @@ def keep_identified(docs: DataFrame, model: Model, least: float = LEAST_SCORE) -
                 lang, score = score_texts(shared.value, part.column(at))
                 yield part.filter(pa.array((np.array(lang, dtype=object) != UNDECIDED) & (score >= least)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

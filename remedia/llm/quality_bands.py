@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .arrow_text import lean
 from .common import small_batches
 
 LEVEL = 3
@@ -132,4 +133,4 @@ def judge(docs: DataFrame) -> DataFrame:
     schema = T.StructType([rows.schema["doc_id"]])
     for name, kind in _SCHEMA:
         schema = schema.add(name, kind)
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)

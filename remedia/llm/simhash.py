@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrow_text import slices
+from .arrow_text import lean, slices
 from .common import rows_kept, small_batches, written
 from .components import connected_components
 
@@ -71,7 +71,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", F.xxhash64(text).alias("text_hash"), F.monotonically_increasing_id().alias("uid"), text.alias("text"))
     schema = T.StructType([*rows.schema.fields[:3], T.StructField("fp", T.LongType(), False)])
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)
 
 
 def covering_masks(radius: int = RADIUS, step: int = 1) -> list[int]:
@@ -174,7 +174,7 @@ def links(distinct: DataFrame, bucket: int = BUCKET) -> DataFrame:
             extra = _crowded_links(written(again.join(still, ["k", "key"], "left_semi").select("fp").distinct(), "simhash-crowded-fps"))
             again = again.join(still, ["k", "key"], "left_anti").select("k", "key", "fp")
         found = found.unionByName(again)
-    out = found.repartition("k", "key").sortWithinPartitions("k", "key").mapInArrow(_search, "a long, b long")
+    out = found.repartition("k", "key").sortWithinPartitions("k", "key").mapInArrow(lean(_search), "a long, b long")
     return out.unionByName(extra) if extra is not None else out
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrow_text import slices
+from .arrow_text import lean, slices
 from .byte_bpe import load_ranks
 from .common import small_batches
 
@@ -238,4 +238,4 @@ def count_rows(rows: DataFrame, path: str, pattern: str) -> DataFrame:
     schema = T.StructType([rows.schema["doc_id"]])
     for field_ in _SCHEMA.split(", "):
         schema = schema.add(*field_.split())
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)

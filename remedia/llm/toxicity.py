@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrow_text import slices
+from .arrow_text import lean, slices
 from .common import small_batches, written
 
 #: The fitting sample: labelled documents, toxic and clean alike, with their whole texts.
@@ -261,7 +261,7 @@ def mined(rows: DataFrame, table: np.ndarray | None, bias: float) -> list:
             kinds = (pa.int32(), pa.int32(), pa.float64(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["toxic", "nth", "margin", "string"])
 
-    got = rows.select("text", "toxic").mapInArrow(run, "toxic int, nth int, margin double, string string").collect()
+    got = rows.select("text", "toxic").mapInArrow(lean(run), "toxic int, nth int, margin double, string string").collect()
     shared.unpersist()
     # In an order that does not depend on partitions.
     return sorted(got, key=lambda r: (zlib.crc32(r["string"].encode()), r["string"], r["margin"]))
@@ -321,7 +321,7 @@ def measures(rows: DataFrame, table: np.ndarray, bias: float) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], values], names=[*keep, "measures"])
 
     schema = T.StructType([*(rows.schema[c] for c in keep), T.StructField("measures", T.ArrayType(T.DoubleType()))])
-    return rows.select(*keep, "text").mapInArrow(run, schema)
+    return rows.select(*keep, "text").mapInArrow(lean(run), schema)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -343,4 +343,4 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     schema = T.StructType([rows.schema["doc_id"], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)
