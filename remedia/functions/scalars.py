@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -119,10 +122,28 @@ def replacement_hash(text: Column) -> Column:
     return F.sha2(F.array_join(lines, "\n"), 256)
 
 
+def json_string(text: Column) -> Column:
+    """Text as a JSON string of ASCII letters only, as Python's json module writes it: what is beyond ASCII becomes ``\\uXXXX``, in two where needed."""
+    unit = lambda code: F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(code)), 4, "0"))
+    pair = lambda code: F.concat(unit(F.lit(0xD800) + F.shiftright(code - 0x10000, 10)), unit(F.lit(0xDC00) + (code - 0x10000).bitwiseAND(F.lit(0x3FF))))
+    short = {'"': '\\"', "\\": "\\\\", "\n": "\\n", "\r": "\\r", "\t": "\\t", "\f": "\\f", "\b": "\\b"}
+
+    def letter(c: Column) -> Column:
+        code = F.ascii(c)
+        out = F.when(code > 0xFFFF, pair(code)).when((code < 32) | (code > 126), unit(code)).otherwise(c)
+        for plain, escaped in short.items():
+            out = F.when(c == F.lit(plain), F.lit(escaped)).otherwise(out)
+        return out
+
+    spelled = F.array_join(F.transform(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)), letter), "")
+    return F.concat(F.lit('"'), F.when(text.rlike(r"^[ !#-\[\]-~]*$"), text).otherwise(spelled), F.lit('"'))
+
+
 def case_id(fields: dict[str, Column]) -> Column:
-    """SHA-1 of string fields as JSON with sorted keys, spelled as Python's json module does (``", "`` and ``": "``)."""
-    quoted = lambda c: F.coalesce(F.concat(F.lit('"'), F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"')), F.lit("null"))
-    members = [F.concat(F.lit(f'"{k}": '), quoted(fields[k].cast("string"))) for k in sorted(fields)]
+    """SHA-1 of fields as JSON with sorted keys, spelled as Python's json module does: ``", "`` and ``": "``, whole numbers and booleans bare, null for NULL."""
+    bare = lambda c: F.typeof(c).isin("tinyint", "smallint", "int", "bigint", "boolean")
+    value = lambda c: F.coalesce(F.when(bare(c), c.cast("string")).otherwise(json_string(c.cast("string"))), F.lit("null"))
+    members = [F.concat(F.lit(f'"{k}": '), value(fields[k])) for k in sorted(fields)]
     return F.sha1(F.concat(F.lit("{"), F.concat_ws(", ", *members), F.lit("}")).cast("binary"))
 
 
@@ -168,9 +189,9 @@ def dedented(text: Column) -> Column:
 
 
 def truncated_literal(line: Column) -> Column:
-    """A long line with an odd number of quotes, or with more brackets opened than closed, outside comments."""
+    """A line of 80 characters or more with an odd number of quotes and more brackets opened than closed."""
     count = lambda chars: F.length(line) - F.length(F.translate(line, chars, ""))
-    odd = (count("'") % 2 == 1) | (count('"') % 2 == 1)
+    odd = count("'\"") % 2 == 1
     return (F.length(line) >= 80) & odd & (count("([{") > count(")]}"))
 
 
@@ -201,3 +222,81 @@ def code_fence_removed(text: Column) -> Column:
 
 def truncated(text: Column, limit: int = 160) -> Column:
     return F.when(F.length(text) <= limit, text).otherwise(F.concat(F.left(text, F.lit(limit - 3)), F.lit("...")))
+
+
+def nested(record: Column, path: str, kind: str = "string") -> Column:
+    """A field of a variant by dotted path; NULL if any hop is absent or not an object."""
+    return F.try_variant_get(record, "$." + path, kind)
+
+
+def token_threshold(limit: Column) -> Column:
+    """Tokens that a prompt may take of a context limit: all but 5,000."""
+    return limit - F.lit(5000)
+
+
+# Marks that a decompiler leaves where it gives up.
+SURRENDER = r"<mask_\d+>|<Code\d+ code object>"
+
+
+def surrendered(text: Column) -> Column:
+    return F.coalesce(text.rlike(SURRENDER), F.lit(False))
+
+
+def misshapen_tokens(line: Column) -> Column:
+    """Whether a line has a number with several points, a name that begins with a digit, or a target that can't be one."""
+    code = F.coalesce(line, F.lit(""))
+    target = stripped(F.substring_index(code, "=", 1))
+    odd_target = F.contains(code, F.lit("=")) & (target != "") & target.rlike(r"^\d|[:.]|\d[A-Za-z_:]")
+    odd_word = code.rlike(r"\b\d+(?:\.\d+){2,}\b") | code.rlike(r"\b\d[A-Za-z_:][\w:]*\b")
+    return (stripped(code) != "") & ~F.startswith(stripped(code), F.lit("#")) & (odd_word | odd_target)
+
+
+def decompiler_report(stdout: Column) -> Column:
+    """struct(rate, rows, failed) of a decompiler's output: the success rate in per cent, and the rows of its box table, all and failed ones."""
+    pattern = r"^\s*│\s*(.*?)\s*│\s*(Success|Failure)\s*│\s*(.*?)\s*│\s*$"
+    rate = F.regexp_extract(stdout, r"(?i)([0-9]+(?:\.[0-9]+)?)%\s+code object success rate", 1)
+    part = lambda s, n: F.regexp_extract(s, pattern, n)
+    lines = F.filter(F.split(F.coalesce(stdout, F.lit("")), r"\r\n|\n|\r"), lambda s: s.rlike(pattern))
+    rows = F.transform(lines, lambda s: F.struct(part(s, 1).alias("code_object"), part(s, 2).alias("success"), part(s, 3).alias("message")))
+    return F.struct(F.when(rate != "", rate).cast("double").alias("rate"), rows.alias("rows"), F.filter(rows, lambda r: r["success"] == "Failure").alias("failed"))
+
+
+# Long literals, out of the way of whatever reads the text.
+
+
+def elide_literals(source: str, most: int = 2000) -> tuple[str, dict[str, str]]:
+    """The source with string literals of ``most`` characters or more replaced by tokens in the same quotes, and token to literal."""
+    found: dict[str, str] = {}
+
+    def swap(m: re.Match) -> str:
+        token = f"__PYLLM_PAYLOAD_{len(found)}__"
+        found[token] = m[0]
+        return m[0][0] + token + m[0][0]
+
+    body = r"(?:[^{q}\\\n]|\\.){{{n},}}"
+    return re.sub("|".join(f"{q}{body.format(q=q, n=most)}{q}" for q in ("'", '"')), swap, source or ""), found
+
+
+def restore_literals(source: str, literals: dict[str, str]) -> tuple[str, bool]:
+    """The source with its literals back, and whether all of them are there and no token is left."""
+    for token, literal in literals.items():
+        source = source.replace(literal[0] + token + literal[0], literal)
+    return source, all(literal in source and token not in source for token, literal in literals.items())
+
+
+# Settings of the driver's environment.
+
+
+def flag(name: str, default: bool = False) -> bool:
+    """An environment variable as a switch: 1, true, yes, y and on are true in any case."""
+    value = os.environ.get(name)
+    return default if value is None else value.strip().lower() in {"1", "true", "yes", "y", "on"}
+
+
+def bounded_int(name: str, default: int, least: int, most: int) -> int:
+    """An environment variable as a number within bounds; the default where it is no number."""
+    try:
+        value = int(os.environ.get(name, default))
+    except ValueError:
+        value = default
+    return max(least, min(most, value))

@@ -68,20 +68,25 @@ def graph_counts(edges: DataFrame, blocks: DataFrame) -> DataFrame:
 
 
 def graphs(edges: DataFrame, blocks: DataFrame) -> DataFrame:
-    """One row a graph with all that comparison needs: counts, edge kinds, and successor places by block place.
+    """One row a graph with all that comparison needs: counts, edge kinds, and the successors' places of each block, by place.
 
-    A control-flow graph is one function's, so its row is small; pairs of graphs are then compared without any
-    further shuffle of edges.
+    A control-flow graph is one function's, so its row is small: edges and blocks meet in one aggregation by graph, all
+    else is array work within the row, and pairs of graphs are compared without any further shuffle of edges.
     """
-    at = blocks.select("graph", F.col("block").alias("src"), F.col("place").alias("a"))
-    to = blocks.select("graph", F.col("block").alias("dst"), F.col("place").alias("b"))
-    placed = edges.join(at, ["graph", "src"]).join(to, ["graph", "dst"])
-    by_block = placed.groupBy("graph", "a").agg(F.array_sort(F.collect_set("b")).alias("next"), F.count("*").alias("degree"))
-    successors = by_block.groupBy("graph").agg(F.map_from_entries(F.collect_list(F.struct("a", "next"))).alias("next"), F.count_if(F.col("degree") > 1).alias("n_branches"), F.sum("degree").alias("n_edges"))
-    kinds = edge_histogram(edges).groupBy("graph").agg(F.map_from_entries(F.collect_list(F.struct("kind", "n"))).alias("kinds"))
-    out = blocks.groupBy("graph").agg(F.count("*").alias("n_blocks")).join(successors, "graph", "left").join(kinds, "graph", "left")
-    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    return out.select("graph", "n_blocks", zero("n_edges"), zero("n_branches"), "next", "kinds")
+    edge, block = "struct<src:string,dst:string,kind:string>", "struct<block:string,place:bigint>"
+    both = edges.select("graph", F.struct(*(F.col(c).cast("string").alias(c) for c in ("src", "dst", "kind"))).alias("e"), F.lit(None).cast(block).alias("b"))
+    both = both.unionByName(blocks.select("graph", F.lit(None).cast(edge).alias("e"), F.struct(F.col("block").cast("string").alias("block"), F.col("place").cast("bigint").alias("place")).alias("b")))
+    one = both.groupBy("graph").agg(F.collect_list("e").alias("edges"), F.array_sort(F.collect_list(F.struct("b.place", "b.block"))).alias("blocks")).filter(F.size("blocks") > 0)
+    one = one.withColumn("blocks", F.filter("blocks", lambda x: x["block"].isNotNull()))
+    one = one.withColumn("at", F.map_from_entries(F.transform("blocks", lambda x: F.struct(x["block"], x["place"].cast("int"))))).filter(F.size("blocks") > 0)
+    placed = F.filter("edges", lambda e: F.map_contains_key("at", e["src"]) & F.map_contains_key("at", e["dst"]))
+    one = one.withColumn("placed", placed)
+    after = lambda b: F.array_sort(F.array_distinct(F.transform(F.filter("placed", lambda e: e["src"] == b["block"]), lambda e: F.try_element_at("at", e["dst"]))))
+    one = one.withColumn("next", F.transform("blocks", after))
+    names = F.array_distinct(F.transform("edges", lambda e: e["kind"]))
+    kinds = F.map_from_entries(F.transform(names, lambda k: F.struct(k, F.size(F.filter("edges", lambda e: e["kind"] == k)).cast("long"))))
+    branches = F.size(F.filter("blocks", lambda b: F.size(F.filter("placed", lambda e: e["src"] == b["block"])) > 1)).cast("long")
+    return one.select("graph", F.size("blocks").cast("long").alias("n_blocks"), F.size("placed").cast("long").alias("n_edges"), branches.alias("n_branches"), "next", kinds.alias("kinds"))
 
 
 def histogram_distance(a: Column, b: Column) -> Column:
@@ -95,7 +100,7 @@ def successor_mismatch(n_a: Column, next_a: Column, n_b: Column, next_b: Column)
     """Differences of successor sets over blocks paired by place; successors of the first graph beyond the pairs don't count."""
     paired = F.least(n_a, n_b).cast("int")
     none = F.array().cast("array<int>")
-    at = lambda m, k: F.coalesce(F.try_element_at(m, k), none)
+    at = lambda m, k: F.coalesce(F.get(m, k), none)
     one = lambda k: (lambda x, y: F.size(F.array_except(x, y)) + F.size(F.array_except(y, x)))(F.filter(at(next_a, k), lambda s: s < paired), at(next_b, k))
     return F.aggregate(F.when(paired > 0, F.sequence(F.lit(0), paired - 1)).otherwise(none), F.lit(0), lambda acc, k: acc + one(k)).cast("long")
 
@@ -162,14 +167,6 @@ def file_rollup(rows: DataFrame, *by: str) -> DataFrame:
     return rows.groupBy(*by).agg(*counts, *map(total, sums), *map(mean, means))
 
 
-def average_rank(value: str, *by: str) -> Column:
-    """Rank in which equals share the mean of their places."""
-    from pyspark.sql.window import Window
-
-    w = Window.partitionBy(*(by or [F.lit(0)]))
-    return F.rank().over(w.orderBy(value)) + (F.count("*").over(w.partitionBy(*(by or [F.lit(0)]), value)) - 1) / 2
-
-
 def average_ranks(rows: DataFrame, value: str, alias: str) -> DataFrame:
     """``rows`` with the mean rank of ``value``, without bringing all rows to one task.
 

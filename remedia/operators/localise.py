@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import ast
+import io
 import re
+import tokenize
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -318,3 +321,132 @@ def pack_chunks(rows: DataFrame, budget: int, key: str = "doc_id", text: str = "
             yield pd.DataFrame(out, columns=[key, "chunk", "text", "tokens"])
 
     return rows.select(key, text).mapInPandas(run, f"{key} {rows.schema[key].dataType.simpleString()}, chunk long, text string, tokens long")
+
+
+# Context by strategy: what the error's words suggest, tried in order and wider each time.
+
+# Words that make whole blocks the better context, and the number of wider tries.
+BLOCK_WORDS = (
+    "indentationerror", "expected an indented block", "unexpected indent", "unindent does not match", "expected ':'", "unexpected eof", "was never closed", "unterminated", "f-string",
+    "single '}' is not allowed", "expecting '}'", "unmatched ')'", "unmatched ']'", "unmatched '}'",
+)
+DELIMITER_WORDS = ("unexpected eof", "was never closed", "unterminated", "f-string", "single '}' is not allowed", "expecting '}'", "unmatched ')'", "unmatched ']'", "unmatched '}'")
+INDENT_WORDS = ("indentationerror", "expected an indented block", "unexpected indent", "unindent does not match", "expected ':'")
+NUMERIC_WORDS = ("invalid decimal literal",)
+WIDER, UPWARD = 3, 100
+_DEFINITION = re.compile(r"\s*(?:async\s+def|def|class)\b")
+
+
+def strategy_order(message: str | None) -> tuple[str, ...]:
+    """Strategies in the order in which a message calls for them."""
+    low = (message or "").lower()
+    blocks = any(w in low for w in BLOCK_WORDS)
+    if any(w in low for w in DELIMITER_WORDS):
+        return ("delimiter", "block", "line") if blocks else ("delimiter", "line", "block")
+    if any(w in low for w in INDENT_WORDS):
+        return ("block", "line", "delimiter") if blocks else ("line", "block", "delimiter")
+    if any(w in low for w in NUMERIC_WORDS):
+        return ("line", "delimiter", "block")
+    return ("block", "line", "delimiter") if blocks else ("line", "block", "delimiter")
+
+
+def _margin(line: str) -> int:
+    return len(line) - len(line.lstrip(" "))
+
+
+def _line_context(lines: list[str], at: int, extra: int) -> tuple[int, int]:
+    """The function or class around a line, else the run between lines at the margin, with up to UPWARD lines above it."""
+    head = next((k for k in range(at, -1, -1) if lines[k].strip() and _margin(lines[k]) < _margin(lines[at]) and _DEFINITION.match(lines[k])), None)
+    if head is not None:
+        end = next((k for k in range(head + 1, len(lines)) if lines[k].strip() and _margin(lines[k]) <= _margin(lines[head])), len(lines))
+        return head, end - 1
+    top = lambda k: bool(lines[k].strip()) and not _margin(lines[k])
+    start = next((k for k in range(at, -1, -1) if top(k)), at)
+    end = next((k for k in range(start + 1, len(lines)) if top(k)), len(lines)) - 1
+    return max(0, start - UPWARD - extra), min(len(lines) - 1, end + extra)
+
+
+def _block_context(lines: list[str], at: int, extra: int) -> tuple[int, int]:
+    """From the last definition or decorator above a line (at the margin for a line at the margin) to the next one at the margin."""
+    inside, quote = [], ""
+    for s in lines:
+        for mark in ('"""', "'''"):
+            if s.strip().count(mark) % 2 and quote in ("", mark):
+                quote = "" if quote else mark
+        inside.append(bool(quote))
+    anchor = lambda k: not inside[k] and (lines[k].lstrip().startswith("@") or bool(_DEFINITION.match(lines[k])))
+    top = lambda k: anchor(k) and not _margin(lines[k])
+    deep = _margin(lines[at]) > 0
+    start = next((k for k in range(at if deep else at - 1, -1, -1) if (anchor(k) if deep else top(k))), 0)
+    end = next((k for k in range(at + 1, len(lines)) if top(k)), len(lines)) - 1
+    return max(0, start - extra), min(len(lines) - 1, end + extra)
+
+
+def _delimiter_context(lines: list[str], at: int, message: str | None, extra: int) -> tuple[int, int] | None:
+    """Around a closer that matches nothing; from an open quote to the error; or from the bracket that is open to the next block at the margin."""
+    stack: list[tuple[str, int]] = []
+    issue, closer = "", 0
+    try:
+        for token in tokenize.generate_tokens(io.StringIO("\n".join(lines)).readline):
+            if token.type == tokenize.OP and token.string in "([{":
+                stack.append((token.string, token.start[0]))
+            elif token.type == tokenize.OP and token.string in ")]}":
+                if not stack or stack[-1][0] + token.string not in ("()", "[]", "{}"):
+                    issue, closer = "closer", token.start[0]
+                    break
+                stack.pop()
+    except (tokenize.TokenError, SyntaxError) as e:
+        issue = "open" if "multi-line" in str(e).lower() else ""
+    low, last = (message or "").lower(), len(lines) - 1
+    if not issue and any(w in low for w in ("f-string", "expecting '}'", "single '}' is not allowed", "unexpected eof", "was never closed", "unterminated")):
+        issue = "open"
+    if issue == "closer":
+        return max(0, closer - 3 - extra), min(last, closer + 1 + extra)
+    if issue == "open":
+        marks = ('f"', "f'", 'F"', "F'", '"', "'") if "f-string" in low else ('"', "'")
+        quoted = next((k for k in range(min(at, last), -1, -1) if any(m in lines[k] for m in marks)), None)
+        if quoted is not None:
+            return max(0, quoted - extra), min(last, max(at + 1, quoted + 1) + 1 + extra)
+    if not stack:
+        return None
+    start = max(0, next((n for _, n in reversed(stack) if n <= at + 1), stack[-1][1]) - 1 - extra)
+    end = next((k for k in range(at + 1, len(lines)) if lines[k].strip() and not _margin(lines[k]) and lines[k].rstrip().endswith(":")), len(lines)) - 1
+    return start, min(last, (end if end >= start else last) + extra)
+
+
+def context(source: str, line: int | None, message: str | None = None, expansion: int = 0) -> Window | None:
+    """The first context that parses by itself, by strategy and then wider; else the one of fewest lines. None without lines or for a line that the source hasn't."""
+    lines = source.splitlines()
+    if line is None or not 1 <= line <= len(lines):
+        return None
+    best: Window | None = None
+    for extra in range(max(0, expansion), max(0, expansion) + WIDER + 1):
+        for strategy in strategy_order(message):
+            if strategy == "delimiter":
+                span = _delimiter_context(lines, line - 1, message, extra)
+            else:
+                span = (_block_context if strategy == "block" else _line_context)(lines, line - 1, extra)
+            if span is None:
+                continue
+            found = _window([s + "\n" for s in lines], span[0] + 1, span[1] + 1)
+            try:
+                ast.parse(found.text)
+                return found
+            except (SyntaxError, ValueError, RecursionError):
+                if best is None or found.end - found.start < best.end - best.start:
+                    best = found
+    return best
+
+
+def contexts(rows: DataFrame, key: str, source: str, line: str, message: str) -> DataFrame:
+    """key, start, end, text, indent, strategies of the context of each row's error; NULL where there is none."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in batches:
+            out = []
+            for k, text, at, said in zip(frame[key], frame[source], frame[line], frame[message]):
+                found = context(text or "", None if pd.isna(at) else int(at), said)
+                out.append((k, *((found.start, found.end, found.text, found.indent) if found else (None,) * 4), ",".join(strategy_order(said))))
+            yield pd.DataFrame(out, columns=[key, "start", "end", "text", "indent", "strategies"]).astype({"start": "Int64", "end": "Int64"})
+
+    return rows.select(key, source, line, message).mapInPandas(run, f"{key} {rows.schema[key].dataType.simpleString()}, start long, end long, text string, indent string, strategies string")

@@ -77,3 +77,30 @@ def set_sizes(before: Column, after: Column) -> Column:
     sizes = F.transform(F.array(F.struct(before.alias("a"), after.alias("b"))), lambda p: F.struct(F.size(p["a"]).alias("a"), F.size(p["b"]).alias("b"), F.size(F.array_intersect(p["a"], p["b"])).alias("both")))
     counted = F.transform(sizes, lambda n: F.struct((n["a"] - n["both"]).cast("long").alias("n_removed"), (n["b"] - n["both"]).cast("long").alias("n_added"), n["both"].cast("long").alias("n_shared")))
     return F.get(counted, 0)
+
+
+def all_succeeded(results: DataFrame, *by: str) -> DataFrame:
+    """successes, n and all_equal (false where nothing is known to fail but nothing is there) of each group."""
+    good = F.coalesce(F.col("success"), F.lit(False))
+    return results.groupBy(*by).agg(F.count_if(good).alias("successes"), F.count("*").alias("n"), F.coalesce(F.bool_and(good), F.lit(False)).alias("all_equal"))
+
+
+#: What may become of a case.
+DISPOSITIONS = ("processed", "repaired", "failed", "deferred", "timed_out")
+
+
+def dispositions(log: DataFrame, *by: str) -> DataFrame:
+    """Rows of each disposition (column ``disposition``; processed is all of them), by group."""
+    return log.groupBy(*by).agg(F.count("*").alias("processed"), *(F.count_if(F.col("disposition") == d).alias(d) for d in DISPOSITIONS[1:]))
+
+
+def accepted_steps(steps: Column) -> Column:
+    """How many of an array of steps were accepted."""
+    return F.coalesce(F.size(F.filter(steps, lambda s: F.coalesce(s["accepted"], F.lit(False)))), F.lit(0))
+
+
+def line_audit(before: Column, after: Column) -> Column:
+    """Significant lines of both sides, and how many distinct ones they share, lose and add."""
+    a, b = significant_lines(before), significant_lines(after)
+    kept = F.size(F.array_intersect(a, b))
+    return F.struct(F.size(a).alias("n_before"), F.size(b).alias("n_after"), kept.alias("n_shared"), F.size(F.array_except(a, b)).alias("n_lost"), F.size(F.array_except(b, a)).alias("n_added"))

@@ -1,26 +1,33 @@
 """Compile-gated rewriting of source that doesn't parse: operators, registries, and the cascade as one Arrow UDF.
 
 Every operator maps a source and its first error to a new source, or None. An operator's result counts only if the
-gate accepts it, so operators may guess; the gate is the worker's own compiler.
+gate accepts it, so operators may guess; the gate is a parameter, by default the worker's own compiler.
 """
 
 from __future__ import annotations
 
+import ast
+import keyword
 import re
-from collections import deque
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .localise import indent_of, minimal_window, reattach, scan
 
 Operator = Callable[[str, SyntaxError | None], str | None]
+#: The compile oracle: a source's first error, or None. Any callable will do, such as one that asks another version's compiler.
+Gate = Callable[[str], SyntaxError | None]
 
 _OPEN, _CLOSE = {"(": ")", "[": "]", "{": "}"}, {")": "(", "]": "[", "}": "{"}
+_STRING = re.compile(r"'([^'\\]*(?:\\.[^'\\]*)*)'|\"([^\"\\]*(?:\\.[^\"\\]*)*)\"")
 _CLAUSE = re.compile(r"(elif\b.*|else\s*|except\b.*|finally\s*):")
 _HANDLER = re.compile(r"(except\b.*|finally\s*):")
+#: Words that start statements without being reserved.
+_SOFT_WORDS = ("match", "case", "type", "print", "exec")
 _STATEMENT = re.compile(r"(?:if|for|while|with|try|def|class|return|raise|import|from|async|del|assert|global|nonlocal|pass|break|continue|yield|lambda|print)\b")
 
 
@@ -35,6 +42,15 @@ def syntax_error(source: str) -> SyntaxError | None:
     return None
 
 
+def _parses(source: str) -> bool:
+    """Whether a fragment is well-formed, whatever the gate."""
+    try:
+        ast.parse(source)
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
+        return False
+    return True
+
+
 def _line(lines: list[str], error: SyntaxError | None) -> int:
     return min(max((error.lineno if error else None) or 1, 1), max(len(lines), 1)) - 1
 
@@ -91,25 +107,66 @@ def _shift(line: str, by: int) -> str:
     return " " * max(0, len(indent_of(line)) + by) + line.lstrip(" \t")
 
 
+def statements(lines: list[str]) -> list[tuple[int, int]]:
+    """(first line, line after the last) of each logical statement: lines joined by open brackets, triple quotes or backslashes."""
+    out, quote, depth, joined, start = [], "", 0, False, 0
+    for k, s in enumerate(lines):
+        if not quote and depth <= 0 and not joined:
+            if not s.strip() or s.lstrip().startswith("#"):
+                continue
+            start = k
+            out.append((k, k + 1))
+        quote, depth = scan(s, quote, max(depth, 0))
+        joined = not quote and s.rstrip("\n").endswith("\\")
+        out[-1] = (start, k + 1)
+    return out
+
+
+def _bare(line: str) -> str:
+    """The line with the insides of its strings and its comment blanked, places kept."""
+    out, quote, i = list(line), "", 0
+    while i < len(line):
+        c = line[i]
+        if quote:
+            if c == "\\":
+                out[i : i + 2] = "  "[: len(line) - i]
+                i += 1
+            elif line.startswith(quote, i):
+                i, quote = i + len(quote) - 1, ""
+            else:
+                out[i] = " "
+        elif c == "#":
+            out[i:] = " " * (len(line) - i)
+            break
+        elif c in "'\"":
+            quote = c * 3 if line.startswith(c * 3, i) else c
+            i += len(quote) - 1
+        i += 1
+    return "".join(out)
+
+
 # Error-driven operators.
 
 
 def balance_delimiters(source: str, error: SyntaxError | None) -> str | None:
-    """Close what the error's line leaves open, its quote first; an open triple quote is closed at the end."""
-    if not _says(error, "never closed", "unterminated", "unexpected eof"):
-        return None
-    lines = source.split("\n")
-    if "triple" in (error.msg or ""):
-        quote, k = "", 0
-        for s in lines:
-            quote, k = scan(s, quote, k)
-        return source.rstrip("\n") + "\n" + quote + "\n" if quote else None
+    """Close all that the source leaves open on the error's line, an open quote first; an open triple quote ends with the source."""
+    lines, message = source.split("\n"), (error.msg if error else "") or ""
+    broken = "unterminated" in message.lower() and "string" in message.lower()
     at = _line(lines, error)
-    text = lines[at].rstrip()
-    quote = next((q for q in "'\"" if text.count(q) % 2), "") if "string" in (error.msg or "") else ""
-    closers = "".join(_OPEN[c] for c in reversed(_open_brackets(text + quote)))
-    lines[at] = text + quote + closers
-    return _join(lines, source) if quote + closers else None
+    column = max((error.offset or 1) - 1, 0) if error else 0
+    # Behind an open quote nothing is code, so brackets count up to it.
+    left = _open_brackets("\n".join([*lines[:at], lines[at][:column]]) if broken else source)
+    if not left and not broken:
+        return None
+    closers = "".join(_OPEN[c] for c in reversed(left))
+    if broken:
+        text = lines[at]
+        triple = next((q for q in ("'''", '"""') if text[column : column + 3] == q), None) or next((q for q in ("'''", '"""') if text.count(q) % 2), None)
+        if triple:
+            return source.rstrip("\n") + triple + closers + "\n"
+        closers = ("'" if text.count("'") % 2 else '"' if text.count('"') % 2 else "'") + closers
+    lines[at] = lines[at].rstrip("\n") + closers
+    return _join(lines, source)
 
 
 def dedent_stray_block(source: str, error: SyntaxError | None) -> str | None:
@@ -122,6 +179,8 @@ def dedent_stray_block(source: str, error: SyntaxError | None) -> str | None:
     if before is not None and before.rstrip().endswith(":"):
         return None
     margin, goal = len(indent_of(lines[at])), len(indent_of(before or ""))
+    if margin <= goal:
+        return None
     end = at
     while end < len(lines) and (not lines[end].strip() or len(indent_of(lines[end])) >= margin):
         end += 1
@@ -176,17 +235,29 @@ def complete_orphan_try(source: str, error: SyntaxError | None) -> str | None:
 # Whole-file operators.
 
 
+def _target(line: str) -> tuple[str, str] | None:
+    """What stands before a line's plain assignment sign outside brackets and strings, and the rest from the sign on."""
+    depth, bare = 0, _bare(line)
+    for i, c in enumerate(bare):
+        depth += (c in _OPEN) - (c in _CLOSE)
+        if c == "=" and not depth and bare[i + 1 : i + 2] != "=" and (not i or bare[i - 1] not in "=!<>+-*/%&|^@:~"):
+            return line[:i], line[i:]
+    return None
+
+
 def bad_lhs_rename(source: str, error: SyntaxError | None) -> str | None:
-    """Assignment targets that cannot be one become names made from their letters."""
-    if not _says(error, "cannot assign", "invalid syntax", "invalid decimal", "invalid target"):
-        return None
-    lines = source.split("\n")
-    at = _line(lines, error)
-    found = re.match(r"([ \t]*)([^=#]+?)([ \t]*=(?!=).*)$", lines[at])
-    if not found or _STATEMENT.match(found[2]) or syntax_error(f"{found[2]} = 0") is None:
-        return None
-    lines[at] = f"{found[1]}_lit_{re.sub(r'\W+', '_', found[2]).strip('_')}{found[3]}"
-    return _join(lines, source)
+    """Assignment targets of all statements that cannot be one become names made from their letters."""
+    lines, changed = source.split("\n"), False
+    for k, _ in statements(lines):
+        text = lines[k]
+        word = re.match(r"[ \t]*([A-Za-z_]\w*)", text)
+        if text.lstrip().startswith("@") or word and (keyword.iskeyword(word[1]) or word[1] in _SOFT_WORDS) or (found := _target(text)) is None:
+            continue
+        target = found[0].strip()
+        name = "_lit_" + re.sub(r"\W+", "_", target).strip("_")
+        if target and not _parses(f"{target} = None") and _parses(f"{name} = None"):
+            lines[k], changed = indent_of(text) + name + found[1], True
+    return _join(lines, source) if changed else None
 
 
 def insert_missing_open_paren(source: str, error: SyntaxError | None) -> str | None:
@@ -221,26 +292,46 @@ def retype_mismatched_closer(source: str, error: SyntaxError | None) -> str | No
     return _join(lines, source)
 
 
-def complete_truncated_statement(source: str, error: SyntaxError | None) -> str | None:
-    """Close the brackets of a statement that the next statement interrupts, or that the file ends in."""
+#: Shortest line that counts as cut off, what may complete it (closers follow), and repeats.
+CUT_LINE, CUT_TAILS, CUT_REPEATS = 20, ("", ": None", "None", "'x'"), 200
+
+
+def _completed(source: str) -> str | None:
+    """The source with the last statement's first line completed, if the rest of the file was swallowed by it."""
     lines = source.split("\n")
-    for k, s in enumerate(lines):
-        left = _open_brackets(s)
-        if not left or (s.count("'") + s.count('"')) % 2:
-            continue
-        end = k + 1
-        while end < len(lines) and left and not (lines[end].strip() and len(indent_of(lines[end])) <= len(indent_of(s)) and lines[end].strip()[0] not in ")]}"):
-            left = _open_brackets("\n".join(lines[k : end + 1]))
-            end += 1
-        if left:
-            last = max(i for i in range(k, end) if lines[i].strip())
-            colon = ":" if re.match(r"\s*(?:if|for|while|with|def|class|elif|async)\b", s) else ""
-            out = [*lines]
-            out[last] = out[last].rstrip().rstrip(",").rstrip() + "".join(_OPEN[c] for c in reversed(left)) + colon
-            return _join(out, source)
+    spans = statements(lines)
+    if not spans or spans[-1][1] < len(lines) or not (_open_brackets("\n".join(lines[spans[-1][0] :])) or syntax_error(source)):
+        return None
+    k = spans[-1][0]
+    text = lines[k].rstrip()
+    bare = _bare(text)
+    quote = next((q for q in ("'", '"') if bare.count(q) % 2), "")
+    left = _open_brackets(text + quote)
+    if len(text.strip()) < CUT_LINE or not (left or quote) or bare.count('"""') % 2 or bare.count("'''") % 2:
+        return None
+    closers = "".join(_OPEN[c] for c in reversed(left))
+    header = re.match(r"[ \t]*(?:if|elif|for|while|with|except|def|class|async|match|case)\b", text)
+    for tail in [*(t + closers for t in CUT_TAILS), *([": None" + closers[1:]] if closers else [])]:
+        made = text + quote + tail
+        probe = made.lstrip() + (":\n    pass" if header else "")
+        if _parses(probe.removeprefix("el")):
+            following = next((s for s in lines[k + 1 :] if s.strip()), None)
+            body = [indent_of(text) + "    pass"] if header and (following is None or len(indent_of(following)) <= len(indent_of(text))) else []
+            return _join([*lines[:k], made + (":" if header else ""), *body, *lines[k + 1 :]], source)
     return None
 
 
+def complete_truncated_statement(source: str, error: SyntaxError | None) -> str | None:
+    """Complete statements that were cut off and swallowed the file's rest, one after another."""
+    now = source
+    for _ in range(CUT_REPEATS):
+        new = _completed(now)
+        if new is None or new == now:
+            break
+        now = new
+    return now if now != source else None
+
+
 def _clause_peers(clause: str) -> tuple[str, ...]:
     word = clause.split(":")[0].split()[0]
     return {"elif": ("if", "elif"), "else": ("if", "elif", "for", "while", "try", "except", "async"), "except": ("try", "except"), "finally": ("try", "except", "else")}[word]
@@ -300,13 +391,12 @@ def fold_postinserted_handler_body(source: str, error: SyntaxError | None) -> st
 
 
 def clause_to_if_true(source: str, error: SyntaxError | None) -> str | None:
-    """A dangling else, except or finally becomes an ``if True``."""
+    """Every dangling else, except or finally becomes an ``if True``."""
     lines = source.split("\n")
-    at = next((k for k in _dangling(lines) if not lines[k].strip().startswith("elif")), None)
-    if at is None:
-        return None
-    lines[at] = re.sub(r"^(\s*).*?:", r"\1if True:", lines[at], count=1)
-    return _join(lines, source)
+    found = [k for k in _dangling(lines) if not lines[k].strip().startswith("elif")]
+    for k in found:
+        lines[k] = re.sub(r"^(\s*).*?:", r"\1if True:", lines[k], count=1)
+    return _join(lines, source) if found else None
 
 
 def normalize_indentation(source: str, error: SyntaxError | None) -> str | None:
@@ -383,56 +473,124 @@ def truncate_partial_element(source: str, error: SyntaxError | None) -> str | No
 # Structural operators.
 
 
+def _each_line(source: str, change: Callable[[str], str | None]) -> str | None:
+    """The source with ``change`` made to every line that it knows, or None where it knows none."""
+    lines = source.split("\n")
+    made = [change(s) for s in lines]
+    return _join([s if m is None else m for s, m in zip(lines, made)], source) if any(m is not None for m in made) else None
+
+
 def strip_surplus_leading_delimiters(source: str, error: SyntaxError | None) -> str | None:
-    """Two or more brackets in front of a statement's keyword go."""
-    out = re.sub(r"(?m)^([ \t]*)[(\[{]{2,}(?=(?:if|for|while|with|try|def|class|return|raise|import|from)\b)", r"\1", source)
+    """Two or more brackets in front of a statement's keyword go, on every line."""
+    out = re.sub(rf"(?m)^([ \t]*)[(\[{{]{{2,}}(?=(?:{'|'.join(keyword.kwlist)})\b)(?!(?:None|True|False|not|and|or|in|is)\b)", r"\1", source)
     return out if out != source else None
 
 
 def normalize_leaked_generic_params(source: str, error: SyntaxError | None) -> str | None:
-    """The compiler's own names for generic parameters become identifiers."""
-    if "<generic parameters of" not in source:
-        return None
-    fix = lambda s: re.sub(r"<generic parameters of (\w+)>", r"_generic_\1", s).replace(".defaults", "_defaults") if "<generic parameters of" in s else s
-    return _join([fix(s) for s in source.split("\n")], source)
+    """The compiler's own names for generic parameters, and dotted parameters beside them, become identifiers."""
+    marked = re.compile(r"<generic parameters of ([A-Za-z_]\w*)>")
+    return _each_line(source, lambda s: re.sub(r"(?<=[(,\s])\.([A-Za-z_]\w*)", r"_\1", marked.sub(r"_generic_\1", s)) if marked.search(s) else None)
 
 
 def rejoin_split_comprehension(source: str, error: SyntaxError | None) -> str | None:
-    """A ``for`` clause with too many closers goes back to the open line above it."""
-    lines = source.split("\n")
-    for k in range(1, len(lines)):
-        if re.match(r"\s*for\b.*\bin\b.*[)\]}]\s*$", lines[k]) and _open_brackets(lines[k - 1]) and not _open_brackets(lines[k - 1] + " " + lines[k].strip()):
-            return _join(lines[: k - 1] + [lines[k - 1].rstrip() + " " + lines[k].strip()] + lines[k + 1 :], source)
-    return None
+    """A ``for`` clause that closes more than it opens, before a deeper line that opens more than it closes, goes behind that line."""
+    lines, out, k, changed = source.split("\n"), [], 0, False
+    balance = lambda s: (lambda t: sum(c in _OPEN for c in t) - sum(c in _CLOSE for c in t))(_bare(s))
+    while k < len(lines):
+        s, head = lines[k], lines[k + 1] if k + 1 < len(lines) else ""
+        if re.match(r"\s*for\s+\S", s) and balance(s) < 0 < balance(head) and len(indent_of(head)) > len(indent_of(s)):
+            out.append(f"{indent_of(s)}{head.strip()} {s.strip()}")
+            k, changed = k + 2, True
+        else:
+            out.append(s)
+            k += 1
+    return _join(out, source) if changed else None
+
+
+_DOUBLED = re.compile(r"([ \t]*)for\s+([\w, ]+?)\s+in\s+(.+?)\s+for\s+([\w, ]+?)\s+in\s+\[(.+?)\]\s*:\s*(?:#.*)?$")
+_FLATTENED = re.compile(r"([ \t]*)(\S.*?)\s+for\s+([\w, ]+?)\s+in\s+(.+?):\s*(?:#.*)?$")
 
 
 def reduce_doubled_for(source: str, error: SyntaxError | None) -> str | None:
-    """A loop header written twice on a line becomes the loop and its body."""
-    found = re.search(r"(?m)^([ \t]*)for (\w[\w, ]*) in (.+?):?[ \t]*for \2 in \3:[ \t]*(.*)$", source)
-    if not found:
-        return None
-    body = found[4] or "pass"
-    return source[: found.start()] + f"{found[1]}for {found[2]} in {found[3]}:\n{found[1]}    {body}" + source[found.end() :]
+    """``for V in IT for V in [EXPR]:`` becomes a loop with the expression as its body, on every line."""
+
+    def change(s: str) -> str | None:
+        found = _DOUBLED.match(s)
+        return f"{found[1]}for {found[2].strip()} in {found[3].strip()}:\n{found[1]}    {found[5].strip()}" if found and found[2].strip() == found[4].strip() else None
+
+    return _each_line(source, change)
 
 
 def renest_flattened_for(source: str, error: SyntaxError | None) -> str | None:
-    """``EXPR for V in IT:`` becomes a loop with the expression as its body."""
-    found = re.search(r"(?m)^([ \t]*)([^\s#(\[{][^#\n(\[{]*?) for (\w[\w, ]*) in ([^\n:]+):[ \t]*$", source)
-    if not found or _STATEMENT.match(found[2]):
-        return None
-    return source[: found.start()] + f"{found[1]}for {found[3]} in {found[4]}:\n{found[1]}    {found[2]}" + source[found.end() :]
+    """``EXPR for V in IT:`` becomes a loop with the expression as its body, on every line."""
+
+    def change(s: str) -> str | None:
+        found = None if _DOUBLED.match(s) else _FLATTENED.match(s)
+        body = found[2].strip() if found else ""
+        return f"{found[1]}for {found[3].strip()} in {found[4].strip()}:\n{found[1]}    {body}" if body and body[0] not in "([{" and body[-1] not in "([{," else None
+
+    return _each_line(source, change)
 
 
 def give_headerless_block_a_body(source: str, error: SyntaxError | None) -> str | None:
-    """A header that a clause or dedent follows gets a body that passes."""
-    if not _says(error, "expected an indented block"):
+    """Every header that a clause or a dedent follows gets a body that passes."""
+    lines, out, changed = source.split("\n"), [], False
+    for k, s in enumerate(lines):
+        out.append(s)
+        following = next((x for x in lines[k + 1 :] if x.strip()), None)
+        if re.match(r"\s*(?:if|elif|else|for|while|with|try|except|finally|def|class|async)\b.*:\s*(?:#.*)?$", s) and following is not None:
+            if re.match(r"\s*(?:else|elif|except|finally)\b", following) or len(indent_of(following)) <= len(indent_of(s)):
+                out.append(indent_of(s) + "    pass")
+                changed = True
+    return _join(out, source) if changed else None
+
+
+# Literals that ground truth knows in full.
+
+
+def is_cut_literal(line: str) -> bool:
+    """A long line with an odd number of quotes and more brackets opened than closed."""
+    return len(line) >= 80 and (line.count("'") + line.count('"')) % 2 == 1 and sum(c in _OPEN for c in line) > sum(c in _CLOSE for c in line)
+
+
+def recover_literal(line: str, sequences: list) -> str | None:
+    """A cut-off list, tuple or set with all elements of the one longest constant that goes on as the line begins."""
+    first = _STRING.search(line)
+    shown: list = [m[1] if m[1] is not None else m[2] for m in _STRING.finditer(line)] or [int(n) for n in re.findall(r"(?<![\w.])(\d+)(?![\w.])", line)]
+    if (line.count("'") + line.count('"')) % 2 == 0 or not shown or not first:
         return None
+
+    def going_on(begun: list) -> list[list]:
+        out = []
+        for sequence in sequences:
+            items = list(sequence)
+            if len(items) <= len(begun) or not all(isinstance(x, (str, int, bytes)) for x in items):
+                continue
+            if isinstance(sequence, (set, frozenset)):
+                if set(begun) <= set(items):
+                    out.append(begun + sorted((x for x in items if x not in begun), key=repr))
+            elif items[: len(begun)] == begun:
+                out.append(items)
+        return out
+
+    # The last element may itself be cut off.
+    found = going_on(shown) or ([x for x in going_on(shown[:-1]) if len(x) > len(shown)] if len(shown) > 1 else [])
+    longest = [x for x in found if len(x) == max(map(len, found))]
+    head = line[: first.start()]
+    left = _open_brackets(head)
+    if len(longest) != 1 or not left:
+        return None
+    return head + ", ".join(map(repr, longest[0])) + "".join(_OPEN[c] for c in reversed(left))
+
+
+def splice_truncated_literals(source: str, error: SyntaxError | None, sequences: list) -> str | None:
+    """The first cut-off literal, the error's line first, completed from constants of the ground truth."""
     lines = source.split("\n")
     at = _line(lines, error)
-    header = next((k for k in range(at if lines[at].rstrip().endswith(":") and at == len(lines) - 1 else at - 1, -1, -1) if lines[k].strip()), None)
-    if header is None or not lines[header].split("#")[0].rstrip().endswith(":"):
-        return None
-    return _join(lines[: header + 1] + [indent_of(lines[header]) + "    pass"] + lines[header + 1 :], source)
+    for k in [at, *(i for i in range(len(lines)) if i != at)]:
+        if is_cut_literal(lines[k]) and (full := recover_literal(lines[k], sequences)):
+            return _join([*lines[:k], full, *lines[k + 1 :]], source)
+    return None
 
 
 # Registries, in the order in which operators are tried.
@@ -450,10 +608,10 @@ CONTROL_FLOW_REWRITES = frozenset({"clause_to_if_true", "reduce_doubled_for", "r
 PREPASS_ROUNDS, STACK_ROUNDS = 24, 12
 
 
-def prepass(source: str, operators: tuple[Operator, ...] = PREPASS, rounds: int = PREPASS_ROUNDS) -> tuple[str, list[str]]:
+def prepass(source: str, operators: tuple[Operator, ...] = PREPASS, rounds: int = PREPASS_ROUNDS, gate: Gate = syntax_error) -> tuple[str, list[str]]:
     """Apply operators one at a time; a step stays if the source compiles then or its first error moves down."""
     done: list[str] = []
-    error = syntax_error(source)
+    error = gate(source)
     for _ in range(rounds):
         if error is None:
             break
@@ -461,7 +619,7 @@ def prepass(source: str, operators: tuple[Operator, ...] = PREPASS, rounds: int
             new = op(source, error)
             if new is None or new == source:
                 continue
-            after = syntax_error(new)
+            after = gate(new)
             if after is None or (after.lineno or 0) > (error.lineno or 0):
                 source, error = new, after
                 done.append(op.__name__)
@@ -471,13 +629,13 @@ def prepass(source: str, operators: tuple[Operator, ...] = PREPASS, rounds: int
     return source, done
 
 
-def stack(source: str, operators: tuple[Operator, ...], rounds: int = STACK_ROUNDS) -> tuple[str, list[str]]:
+def stack(source: str, operators: tuple[Operator, ...], rounds: int = STACK_ROUNDS, gate: Gate = syntax_error) -> tuple[str, list[str]]:
     """Apply every operator in turn to a fixpoint, without a gate in between; stops when the source compiles."""
     done: list[str] = []
     for _ in range(rounds):
         before = source
         for op in operators:
-            error = syntax_error(source)
+            error = gate(source)
             if error is None:
                 return source, done
             new = op(source, error)
@@ -489,28 +647,35 @@ def stack(source: str, operators: tuple[Operator, ...], rounds: int = STACK_ROUN
     return source, done
 
 
-def exhaustive(source: str, operators: tuple[Operator, ...] = PREPASS + PURE + SYNTHETIC, depth: int = 4, states: int = 250) -> tuple[str, list[str]] | None:
-    """Breadth-first search over operator sequences for the first text that compiles."""
-    seen, queue = {source}, deque([(source, [])])
-    while queue and len(seen) <= states:
-        text, done = queue.popleft()
-        error = syntax_error(text)
-        if error is None:
-            return text, done
-        if len(done) < depth:
+def exhaustive(source: str, operators: tuple[Operator, ...] = PREPASS + PURE + SYNTHETIC, depth: int = 4, states: int = 250, gate: Gate = syntax_error) -> tuple[str, list[str]] | None:
+    """Breadth-first search over operator sequences for a text that compiles; every text is compiled when it is made, ``states`` at most."""
+    error = gate(source)
+    if error is None:
+        return source, []
+    seen, level = {source}, [(source, [], error)]
+    for _ in range(depth):
+        below = []
+        for text, done, error in level:
             for op in operators:
                 new = op(text, error)
-                if new is not None and new not in seen:
-                    seen.add(new)
-                    queue.append((new, [*done, op.__name__]))
+                if new is None or new in seen:
+                    continue
+                if len(seen) > states:
+                    return None
+                seen.add(new)
+                after = gate(new)
+                if after is None:
+                    return new, [*done, op.__name__]
+                below.append((new, [*done, op.__name__], after))
+        level = below
     return None
 
 
-def delete_until_compilable(source: str, most: float = 0.95) -> tuple[str, int] | None:
+def delete_until_compilable(source: str, most: float = 0.95, gate: Gate = syntax_error) -> tuple[str, int] | None:
     """Delete the erroneous span, wider the more often an error stays; None if more than ``most`` of the lines would go."""
     lines, total, tries = source.split("\n"), max(1, len(source.split("\n"))), 0
     gone, last = 0, -1
-    while (error := syntax_error("\n".join(lines))) is not None:
+    while (error := gate("\n".join(lines))) is not None:
         at = _line(lines, error)
         tries = tries + 1 if at == last else 0
         last = at
@@ -522,53 +687,98 @@ def delete_until_compilable(source: str, most: float = 0.95) -> tuple[str, int]
     return "\n".join(lines), gone
 
 
-def neutralise(source: str) -> str:
-    """Top-level chunks that don't compile become string literals; the result always compiles."""
-    from .localise import top_level_objects
+#: Fixed value: the mark behind a chunk that was made a string.
+CHUNK_MARKER = "# pyllmpatch: unparsed-chunk"
+
 
-    parts = [t for _, t in top_level_objects(source)] or [source]
-    safe = [p if syntax_error(p) is None else repr(p) + "\n" for p in parts]
-    text = "".join(safe)
-    return text if syntax_error(text) is None else repr(source) + "\n"
+def top_level_chunks(lines: list[str]) -> list[tuple[int, int]]:
+    """(first line, line after the last) of what starts at the margin outside brackets, quotes and continued lines; all lines from the first non-blank on."""
+    starts, quote, depth, joined = [], "", 0, False
+    for k, s in enumerate(lines):
+        fresh = s.strip() and depth <= 0 and not joined and not quote and not s[:1].isspace()
+        if fresh or s.strip() and not starts:
+            starts.append(k)
+        quote, depth = scan(s, quote, max(depth, 0))
+        joined = _bare(s).rstrip().endswith("\\")
+    return list(zip(starts, [*starts[1:], len(lines)]))
+
+
+def neutralise(source: str, gate: Gate = syntax_error, fix: Callable[[str], str | None] | None = None) -> tuple[str, int]:
+    """Top-level chunks that don't compile, even after ``fix``, become marked string literals, lines kept; and how many lines did.
+
+    Where the chunks don't compile side by side, the whole source becomes one literal, so the result always compiles.
+    """
+    lines, gone = source.removesuffix("\n").split("\n"), 0
+    chunks = top_level_chunks(lines)
+    out = lines[: chunks[0][0]] if chunks else lines
+    for start, end in chunks:
+        part = lines[start:end]
+        text = "\n".join(part)
+        if gate(text) is None:
+            out += part
+        elif fix and (fixed := fix(text + "\n")) is not None and gate(fixed) is None:
+            made = fixed.rstrip("\n").split("\n")
+            out += made + [""] * max(0, len(part) - len(made))
+        else:
+            out += [f"{text!r}  {CHUNK_MARKER}", *[""] * (len(part) - 1)]
+            gone += len(part)
+    text = _join(out, source)
+    return (text, gone) if gate(text) is None else (f"{source!r}  {CHUNK_MARKER}\n", len(lines))
 
 
-def repair_source(source: str, deletion: bool = True, forced: bool = True) -> dict:
-    """The cascade: pre-pass, pure, synthetic and structural stacks, deletion, and neutralising; the first text that compiles."""
+def repair_source(source: str, deletion: bool = True, forced: bool = True, gate: Gate = syntax_error, sequences: list | None = None) -> dict:
+    """The cascade: pre-pass, pure, synthetic and structural stacks, search, deletion, and neutralising; the first text that compiles.
+
+    With ``sequences``, constants of the ground truth, cut-off literals are completed before anything is guessed.
+    """
     result = lambda text, stage, done, gone=0: {"repaired": text, "stage": stage, "operations": done, "lines_deleted": gone}
-    if syntax_error(source) is None:
+    if gate(source) is None:
         return result(source, "clean", [])
-    text, done = prepass(source)
-    if syntax_error(text) is None:
+    first: tuple[Operator, ...] = ()
+    if sequences:
+
+        def spliced(text: str, error: SyntaxError | None) -> str | None:
+            return splice_truncated_literals(text, error, sequences)
+
+        spliced.__name__ = "splice_truncated_literals"
+        first = (spliced,)
+    text, done = prepass(source, first + PREPASS, gate=gate)
+    if gate(text) is None:
         return result(text, "prepass", done)
     for stage, operators in (("pure", PURE), ("synthetic", PURE + SYNTHETIC), ("structural", PURE + SYNTHETIC + STRUCTURAL)):
-        new, more = stack(text, operators)
-        if syntax_error(new) is None:
+        new, more = stack(text, operators, gate=gate)
+        if gate(new) is None:
             return result(new, stage, done + more)
-    if (found := exhaustive(text)) is not None:
+    if (found := exhaustive(text, gate=gate)) is not None:
         return result(found[0], "exhaustive", done + found[1])
-    if deletion and (cut := delete_until_compilable(text)) is not None:
+    if deletion and (cut := delete_until_compilable(text, gate=gate)) is not None:
         return result(cut[0], "deleted", done, cut[1])
     if forced:
-        return result(neutralise(text), "neutralised", done)
+        made, gone = neutralise(text, gate, lambda chunk: stack(chunk, PURE + SYNTHETIC, gate=gate)[0])
+        return result(made, "neutralised", done, gone)
     return result(None, "failed", done)
 
 
 _RESULT = T.StructType([T.StructField("repaired", T.StringType()), T.StructField("stage", T.StringType()), T.StructField("operations", T.ArrayType(T.StringType())), T.StructField("lines_deleted", T.LongType())])
 
 
-def repair(rows: DataFrame, column: str, deletion: bool = True, forced: bool = True) -> DataFrame:
-    """``rows`` with repaired, stage, operations and lines_deleted; a null source stays null with stage NULL."""
-    from pyspark.sql.functions import pandas_udf
+def control_flow_rewrites(operations: Column) -> Column:
+    """Those of the operations that change control flow rather than spelling."""
+    return F.array_intersect(operations, F.array(*map(F.lit, sorted(CONTROL_FLOW_REWRITES))))
+
+
+def repair(rows: DataFrame, column: str, deletion: bool = True, forced: bool = True, gate: Gate = syntax_error) -> DataFrame:
+    """``rows`` with repaired, stage, operations, control_flow_rewrites and lines_deleted; a null source stays null with stage NULL."""
 
     def run(sources: pd.Series) -> pd.DataFrame:
         empty = {"repaired": None, "stage": None, "operations": None, "lines_deleted": None}
-        out = pd.DataFrame([empty if s is None else repair_source(s, deletion, forced) for s in sources], columns=list(empty))
+        out = pd.DataFrame([empty if s is None else repair_source(s, deletion, forced, gate) for s in sources], columns=list(empty))
         return out.astype({"lines_deleted": "Int64"})
 
     run.__annotations__ = {"sources": pd.Series, "return": pd.DataFrame}
-    fixed = pandas_udf(run, _RESULT)(rows[column])
+    fixed = F.pandas_udf(run, _RESULT)(rows[column])
     names = [c for c in rows.columns if c not in _RESULT.fieldNames()]
-    return rows.withColumn("_fixed", fixed).select(*names, "_fixed.*")
+    return rows.withColumn("_fixed", fixed).select(*names, "_fixed.*").withColumn("control_flow_rewrites", control_flow_rewrites(F.col("operations")))
 
 
 def apply_window(source: str, line: int, replacement: str, expansion: int = 0) -> str:

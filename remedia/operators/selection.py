@@ -111,10 +111,63 @@ def size_guard(texts: DataFrame, column: str, most: int) -> DataFrame:
     return texts.withColumn("skipped", F.coalesce(F.octet_length(column) > most, F.lit(False)))
 
 
-def keep_last(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """One row per key, the last by ``order`` (later duplicates win)."""
-    w = Window.partitionBy(*keys).orderBy(F.desc(order))
-    return rows.withColumn("_nth", F.row_number().over(w)).filter("_nth = 1").drop("_nth")
+def keep_last(rows: DataFrame, keys: list[str], *order: str, n: int = 1) -> DataFrame:
+    """The last ``n`` rows of each key by ``order`` (later duplicates win)."""
+    w = Window.partitionBy(*keys).orderBy(*(F.desc(o) for o in order))
+    return rows.withColumn("_nth", F.row_number().over(w)).filter(F.col("_nth") <= n).drop("_nth")
+
+
+def keep_sets(cases: DataFrame, source: str = "source", file_hash: str = "file_hash") -> DataFrame:
+    """The distinct non-blank hashes of each source, a row each, so that no source's set has to fit one task."""
+    rows = cases.select(F.lower(F.trim(F.col(source).cast("string"))).alias("source"), F.trim(F.col(file_hash).cast("string")).alias("file_hash"))
+    return rows.filter("source <> '' AND file_hash <> ''").distinct()
+
+
+def with_rejects(cases: DataFrame, *required: str) -> DataFrame:
+    """All rows, with ``reject_reason`` naming the required columns that are null or blank (NULL for none): what can't be processed is reported, not lost."""
+    missing = [F.when(F.coalesce(F.trim(F.col(c).cast("string")), F.lit("")) == "", c) for c in required]
+    said = F.concat_ws(", ", *missing)
+    return cases.withColumn("reject_reason", F.when(said != "", F.concat(F.lit("missing "), said)))
+
+
+def has_module_target(targets: Column) -> Column:
+    """Whether the module's own body is among the repair targets."""
+    return F.coalesce(F.array_contains(targets, "<module>"), F.lit(False))
+
+
+def union_targets(*lists: Column) -> Column:
+    """All targets of several lists once, sorted; a null list has none."""
+    out = F.array().cast("array<string>")
+    for targets in lists:
+        out = F.array_union(out, F.coalesce(targets, F.array().cast("array<string>")))
+    return F.array_sort(out)
+
+
+def failing_names(results: DataFrame, *order: str) -> DataFrame:
+    """file and the distinct names of its results without success, in order of first appearance."""
+    place = F.struct(*order)
+    failing = results.filter(~F.coalesce(F.col("success"), F.lit(False)) & (F.coalesce(F.col("names"), F.lit("")) != ""))
+    first = failing.groupBy("file", "names").agg(F.min(place).alias("at"))
+    return first.groupBy("file").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "names"))), lambda x: x["names"]).alias("failing"))
+
+
+def first_seen(candidates: Column) -> Column:
+    """Of an array of structs (text_hash, shape_hash, ...) those whose text and shape were both not kept before; a null hash is never seen.
+
+    One fold in order: a candidate that is dropped leaves no trace, so what only it resembles stays.
+    """
+    kept = F.filter(candidates, lambda c: F.lit(False))
+    none = F.array().cast("array<string>")
+    known = lambda seen, h: F.coalesce(F.array_contains(seen, h), F.lit(False))
+    grown = lambda seen, h: F.when(h.isNull(), seen).otherwise(F.array_append(seen, h))
+
+    def step(acc: Column, c: Column) -> Column:
+        repeated = known(acc["texts"], c["text_hash"]) | known(acc["shapes"], c["shape_hash"])
+        return F.when(repeated, acc).otherwise(
+            F.struct(F.array_append(acc["kept"], c).alias("kept"), grown(acc["texts"], c["text_hash"]).alias("texts"), grown(acc["shapes"], c["shape_hash"]).alias("shapes"))
+        )
+
+    return F.aggregate(candidates, F.struct(kept.alias("kept"), none.alias("texts"), none.alias("shapes")), step, lambda acc: acc["kept"])
 
 
 def prune_list(present: DataFrame, keep: DataFrame) -> DataFrame:

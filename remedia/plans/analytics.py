@@ -238,7 +238,14 @@ def substitution_cost(spark: SparkSession, d: str) -> DataFrame:
     return a.join(b, F.col("a.conv_id") == F.col("b.conv_id")).select("a.conv_id", F.col("a.turn").alias("i"), F.col("b.turn").alias("j"), cost.alias("cost"))
 
 
-@query()
+@query(sql="""WITH RECURSIVE x AS (SELECT conv_id, list({'op': role, 'arg': length(text) % 7, 't': turn % 2 = 0} ORDER BY turn) AS s FROM conversations GROUP BY 1),
+p AS (SELECT a.conv_id, a.s AS a, b.s AS b, len(a.s) AS n, len(b.s) AS m FROM x a JOIN x b ON b.conv_id = a.conv_id + 1),
+cell(conv_id, k, costs) AS (
+  SELECT conv_id, 0, []::BIGINT[] FROM p
+  UNION ALL
+  SELECT conv_id, k + 1, list_append(costs, CASE WHEN i = 0 THEN 2 * j WHEN j = 0 THEN 2 * i ELSE least(costs[k - m - 1] + CASE WHEN a[i].op = b[j].op AND a[i].arg = b[j].arg AND a[i].t = b[j].t THEN 0 WHEN (a[i].op = b[j].op) <> (a[i].arg = b[j].arg) THEN 1 ELSE 2 END,
+    costs[k - m] + 2, costs[k] + 2) END) FROM (SELECT c.*, a, b, m, k // (m + 1) AS i, k % (m + 1) AS j FROM cell c JOIN p USING (conv_id) WHERE k < (n + 1) * (m + 1)))
+SELECT conv_id, costs[-1] AS distance FROM cell JOIN p USING (conv_id) WHERE k = (n + 1) * (m + 1)""")
 def weighted_edit_distance(spark: SparkSession, d: str) -> DataFrame:
     """Edit distance of each conversation's steps and the next one's (tested against the textbook recursion)."""
     return _sequence_pairs(spark, d).select("conv_id", distance.edit_distance("steps", "other").alias("distance"))

@@ -24,7 +24,7 @@ def query(*ctes: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
-    from . import analytics, selection, texts  # noqa: F401  (their definitions register)
+    from . import analytics, repairs, selection, texts  # noqa: F401  (their definitions register)
 
     return dict(_QUERIES)
 

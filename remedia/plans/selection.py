@@ -202,7 +202,17 @@ def best_state(spark: SparkSession, d: str) -> DataFrame:
     return out.select("key", F.row_number().over(Window.partitionBy("key").orderBy("ts", "event_id")).cast("long").alias("n"), "distance", "best", "promoted")
 
 
-@query()
+@query(sql="""WITH RECURSIVE o AS (SELECT user_id AS key, row_number() OVER (PARTITION BY user_id ORDER BY epoch_ms(ts) // 1000, event_id) AS n, epoch_ms(ts) // 1000 AS tick, floor(value * 10)::BIGINT AS distance FROM events),
+run(key, n, start, deadline, best, first, mark, improved, status, seen) AS (
+  SELECT key, n, tick, tick + 14400, distance, distance, distance, tick, 'running', 1::BIGINT FROM o WHERE n = 1
+  UNION ALL
+  SELECT key, n, start, CASE WHEN s = 'extended' AND late THEN tick + 14400 ELSE deadline END, CASE WHEN s IN ('running', 'extended') AND distance < best THEN distance ELSE best END, first, CASE WHEN s = 'extended' AND late THEN best ELSE mark END,
+    CASE WHEN s IN ('running', 'extended') AND distance < best THEN tick ELSE improved END, s, seen + live::INT FROM (
+    SELECT r.key, o.n, o.tick, o.distance, start, deadline, best, first, mark, improved, seen, status IN ('running', 'extended') AS live, status IN ('running', 'extended') AND o.tick > deadline AS late,
+      CASE WHEN status NOT IN ('running', 'extended') THEN status WHEN o.tick - start > 172800 THEN CASE WHEN best < first THEN 'restored' ELSE 'failed' END WHEN o.tick - improved > 86400 AND best < first THEN 'stagnated'
+        WHEN o.tick > deadline THEN CASE WHEN best < mark THEN 'extended' ELSE 'failed' END ELSE status END AS s
+    FROM run r JOIN o ON o.key = r.key AND o.n = r.n + 1))
+SELECT key, status, seen AS n, best, first, deadline FROM run r WHERE n = (SELECT max(n) FROM o WHERE o.key = r.key)""")
 def checkpoint_fold(spark: SparkSession, d: str) -> DataFrame:
     """Soft deadlines, hard cap and tail stagnation folded over each user's events (tested against a plain loop)."""
     rows = v.table(spark, d, "events").select(F.col("user_id").alias("key"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("at"), F.floor(F.col("value") * 10).alias("distance"), "event_id")

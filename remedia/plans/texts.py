@@ -86,7 +86,7 @@ def version_norm(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(sql=r"""SELECT doc_id, sha256(array_to_string(list_transform(string_split(regexp_replace(text, '^\s+|\s+$', '', 'g'), chr(10)), lambda x: regexp_replace(x, '\s+$', '')), chr(10))) AS text_hash,
-  sha1('{"doc": ' || '"' || doc_id || '", "lang": "' || lang || '"}') AS case_id FROM documents""")
+  sha1('{"doc": ' || doc_id || ', "lang": ' || coalesce('"' || lang || '"', 'null') || '}') AS case_id FROM documents""")
 def text_hashes(spark: SparkSession, d: str) -> DataFrame:
     return v.table(spark, d, "documents").select("doc_id", scalars.replacement_hash(F.col("text")).alias("text_hash"), scalars.case_id({"lang": F.col("lang"), "doc": F.col("doc_id")}).alias("case_id"))
 
@@ -133,12 +133,23 @@ def fragment_features(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("p_partkey", "f.parsed", "f.call_count", "f.return_count", "f.compare_count", "f.subscript_count", F.array_join("f.statement_types", ",").alias("statement_types"))
 
 
+# Sources with one kind of damage each; the numbers make them differ.
+BROKEN = (
+    "x = (1 + 2\ny = 3\n", "12 = x\n", "try:\n    f()\nx = 1\n", "y = 1\n", "x = 'abc\n", "x = 1\n    y = 2\nz = 3\n", "x = 1 \\ 2\n", "a.b() = 1\nc() = 2\n", "x = f(1))\ny = 2\n", "x = [1, 2)\n",
+    "values = ['one', 'two', 'thr\nprint(1)\n", "try:\n    f()\n  except E:\n    g()\n", "if a:\n    b()\n  else:\n    c()\n", "else:\n    x = 1\nfinally:\n    y = 2\n", "def f():\n    x = 1\n      y = 2\n  return x\n",
+    "f()\nexcept E:\n    g()\n", "(((if a:\n    b()\n", "def <generic parameters of f>(.defaults):\n    pass\n", "x = 1\nfor k in y if k])\n    print([k + (1\n", "for k in y for k in [f(k)]:\nfor j in z for j in [g(j)]:\n",
+    "g(k) for k in y:\nh(j) for j in z:\n", "try:\nexcept E:\nelse:\n    f()\n", "if a:\nx = 1\n", "x = f(1, g(2, 3]\ny = 4\n", "x = [(1, 2), (3, 4, {5: 6\n", "class A:\ndef f(self):\n    return 1\n", "while x:\n    break\n   else\n    y = 1\n",
+    "x == 1 = 2\nreturn\n)(\nz = 3\n",
+)
+
+
 @query()
 def syntactic_repair(spark: SparkSession, d: str) -> DataFrame:
-    """The repair cascade on generated broken sources (tested operator by operator)."""
+    """The repair cascade on generated sources with 28 kinds of damage (tested operator by operator)."""
     from ..operators import rewrite
 
     k = F.col("p_partkey")
-    broken = F.when(k % 4 == 0, "x = (1 + 2\ny = 3\n").when(k % 4 == 1, "12 = x\n").when(k % 4 == 2, "try:\n    f()\nx = 1\n").otherwise("y = 1\n")
+    broken = F.concat(F.element_at(F.array(*map(F.lit, BROKEN)), (k % len(BROKEN) + 1).cast("int")), F.format_string("part_%d = %d\n", k, F.col("p_size")))
     rows = v.table(spark, d, "part").select("p_partkey", broken.alias("source"))
-    return rewrite.repair(rows, "source").select("p_partkey", "repaired", "stage", F.array_join("operations", ",").alias("operations"))
+    fixed = rewrite.repair(rows, "source")
+    return fixed.select("p_partkey", "repaired", "stage", F.array_join("operations", ",").alias("operations"), F.array_join("control_flow_rewrites", ",").alias("control_flow_rewrites"), "lines_deleted")

@@ -181,7 +181,7 @@ def test_single_operators():
     assert rewrite.renest_flattened_for("print_it for a in b:\n", None) == "for a in b:\n    print_it\n"
     assert rewrite.fix_numeric_literal("1_", None) is None
     assert rewrite.delete_until_compilable("x = 1\n)(\ny = 2")[0] == "x = 1\ny = 2"
-    assert rewrite.syntax_error(rewrite.neutralise("def f(:\n  x\ny = 1\n")) is None
+    assert rewrite.syntax_error(rewrite.neutralise("def f(:\n  x\ny = 1\n")[0]) is None
 
 
 def test_deadline_fold(spark):
