@@ -19,13 +19,11 @@ from heapq import heappop, heappush
 from itertools import islice
 from math import ceil, floor
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import broadcast_if_small, scratch_root, written
+from .common import BROADCAST_ROWS, broadcast_if_small, scratch_root, small_table, written
 
 #: Turns that the driver holds at once.
 CHUNK_TURNS = 250_000
@@ -76,15 +74,19 @@ def turns(blocks: list[int]) -> Iterator[tuple[int, int, int, int, int]]:
 
 
 def schedule(spark, blocks: list[int]) -> DataFrame:
-    """The turns as a written table, made and written CHUNK_TURNS at a time."""
-    kind = pa.schema([(n, pa.int64()) for n in ("slot", "stream", "nth", "release", "deadline")])
-    path = f"{scratch_root(spark)}/mix-schedule-{uuid.uuid4().hex}"
-    made = turns(blocks)
-    while rows := list(islice(made, CHUNK_TURNS)):
-        table = pa.Table.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], schema=kind)
-        spark.createDataFrame(table).write.mode("append").parquet(path)
+    """The turns as a table of text files in the shared folder, made and written CHUNK_TURNS at a time."""
     fields = "slot bigint, stream bigint, nth bigint, release bigint, deadline bigint"
-    return spark.read.schema(fields).parquet(path) if sum(blocks) else spark.createDataFrame([], fields)
+    folder = f"{scratch_root(spark)}/mix-schedule-{uuid.uuid4().hex}"
+    jvm = spark._jvm
+    store = jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    store.mkdirs(jvm.org.apache.hadoop.fs.Path(folder))
+    made, part = turns(blocks), 0
+    while rows := list(islice(made, CHUNK_TURNS)):
+        out = store.create(jvm.org.apache.hadoop.fs.Path(f"{folder}/part-{part:05d}.csv"))
+        out.write(bytearray("".join(f"{slot},{s},{i},{release},{deadline}\n" for slot, s, i, release, deadline in rows).encode()))
+        out.close()
+        part += 1
+    return spark.read.schema(fields).csv(folder)
 
 
 def block_rows(total: int, block: int = BLOCK) -> int:
@@ -111,19 +113,23 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = B
     sizes = written(rows.groupBy("source").agg(F.count("*").alias("n")), "mix-sizes")
     total = sizes.agg(F.sum("n")).first()[0] or 0
     if weights is None:
-        large = [(r["source"], r["n"]) for r in sizes.orderBy(F.desc("n"), "source").collect()]
-        counts = [n for _, n in large]
+        order = (F.desc("n"), F.col("source"))
+        counts = [r["n"] for r in sizes.orderBy(*order).select("n").collect()]
         quotas = counts if max_share is None else capped_quotas(counts, total, max_share)
+        named = sizes.select(F.col("source").alias("s"), (F.row_number().over(Window.orderBy(*order)) - 1).cast("long").alias("stream"), F.col("n").alias("quota"))
+        if quotas != counts:
+            caps = small_table(spark, [{"c": i, "q": q} for i, q in enumerate(quotas)], "c: bigint, q: bigint")
+            named = named.join(caps, F.col("stream") == F.col("c")).select("s", "stream", F.col("q").alias("quota"))
     else:
-        wanted = {s: w for s, w in weights.items() if w > 0}
+        wanted = {s: w for s, w in sorted(weights.items()) if w > 0}
         counted = {r["source"]: r["n"] for r in sizes.filter(F.col("source").isin(list(wanted))).collect()}
-        large = [(s, counted.get(s, 0)) for s in sorted(wanted)]
-        length = min((n / (wanted[s] / sum(wanted.values())) for s, n in large), default=0)
-        quotas = [min(n, floor(length * wanted[s] / sum(wanted.values()) + 1e-9)) for s, n in large]
+        share = {s: w / sum(wanted.values()) for s, w in wanted.items()}
+        length = min((counted.get(s, 0) / share[s] for s in wanted), default=0)
+        quotas = [min(counted.get(s, 0), floor(length * share[s] + 1e-9)) for s in wanted]
+        named = small_table(spark, [{"s": s, "stream": i, "quota": q} for i, (s, q) in enumerate(zip(wanted, quotas))], "s: string, stream: bigint, quota: bigint")
+        named = named.withColumn("s", F.col("s").cast(sizes.schema["source"].dataType))
     block = block_rows(sum(quotas), block)
-    streams = [(i, s, q) for i, ((s, _), q) in enumerate(zip(large, quotas))]
-    kind = T.StructType([T.StructField("stream", T.LongType()), T.StructField("s", sizes.schema["source"].dataType), T.StructField("quota", T.LongType())])
-    named = broadcast_if_small(written(spark.createDataFrame(streams, kind), "mix-streams"))
+    named = broadcast_if_small(written(named, "mix-streams"))
     dealt = rows.join(named, F.col("source").eqNullSafe(F.col("s")), "left").select(*rows.columns, F.coalesce("stream", F.lit(-1)).alias("stream"), F.coalesce("quota", F.lit(0)).alias("quota"))
     counts = dealt.groupBy("stream", "bucket").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("stream").orderBy("bucket")) - F.col("n")
@@ -132,8 +138,9 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = B
     ranked = dealt.withColumn("nth", nth).join(offsets, (F.col("stream") == F.col("_s")) & (F.col("bucket") == F.col("_b")))
     ranked = ranked.withColumn("rank", F.col("before") + F.col("nth") - 1).withColumn("block", F.floor(F.col("rank") / block))
     ranked = ranked.withColumn("selected", F.col("rank") < F.col("quota"))
-    at = schedule(spark, [-(-q // block) for q in quotas]).select(F.col("stream").alias("_t"), F.col("nth").alias("_n"), "release", "deadline", "slot")
-    placed = ranked.join(broadcast_if_small(at), F.col("selected") & (F.col("stream") == F.col("_t")) & (F.col("block") == F.col("_n")), "left")
+    blocks = [-(-q // block) for q in quotas]
+    at = schedule(spark, blocks).select(F.col("stream").alias("_t"), F.col("nth").alias("_n"), "release", "deadline", "slot")
+    placed = ranked.join(F.broadcast(at) if sum(blocks) <= BROADCAST_ROWS else at, F.col("selected") & (F.col("stream") == F.col("_t")) & (F.col("block") == F.col("_n")), "left")
     return placed.select(
         "doc_id", "text_hash", "source", "stream", "rank", "block", "release", "deadline", "slot", (F.col("slot") * block + F.col("rank") % block).alias("position"), "selected",
     )
