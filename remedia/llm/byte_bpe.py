@@ -33,6 +33,8 @@ from .common import small_batches
 #: Chunks that a worker remembers, and the longest one it does.
 REMEMBERED, REMEMBERED_CHARS = 200_000, 48
 SLICE_BYTES = 4 << 20
+#: ASCII letters: the byte table leaves them as they are, and a pattern that takes letters in runs (told by the probes) takes them whole.
+_WORD, _PROBES = re.compile(r"[A-Za-z]+"), ("a", "Z", "theQuickFOX", "s", "ll", "VEre", "q" * 200)
 _UNSAFE = re.compile(r" \s|\s ")
 _SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
 
@@ -61,17 +63,11 @@ class _Recent:
     def __init__(self, most: int) -> None:
         self.most, self.young, self.old = most, {}, {}
 
-    def get(self, key: str):
-        found = self.young.get(key)
-        if found is None and (found := self.old.get(key)) is not None:
-            self.put(key, found)
-        return found
-
-    def put(self, key: str, value: tuple[int, ...]) -> None:
-        if len(key) <= REMEMBERED_CHARS:
-            if len(self.young) >= self.most:
-                self.young, self.old = {}, self.young
-            self.young[key] = value
+    def turn(self) -> dict[str, tuple[int, ...]]:
+        """The younger generation, begun anew if it is full."""
+        if len(self.young) >= self.most:
+            self.young, self.old = {}, self.young
+        return self.young
 
 
 class Codec:
@@ -97,6 +93,8 @@ class Codec:
         self.pattern = regex.compile(pattern)
         self.exact = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.table = {b: c for b, c in table.items() if chr(b) != c}
+        self.space = table[ord(" ")]
+        self.takes_runs = all(self.pattern.findall(" " + w) == [" " + w] for w in _PROBES)
         back = {c: b for b, c in table.items()}
         size = max(ranks.values()) + 1
         self.bytes_of = [b""] * size
@@ -107,43 +105,60 @@ class Codec:
         self.whole = {shown[t]: (self.number[r],) for t, r in ranks.items()}
         self.chunks, self.pieces = _Recent(remembered), _Recent(remembered)
 
-    def _piece(self, piece: str) -> tuple[int, ...]:
-        """Ids of one match of the pattern."""
-        ids = self.pieces.get(piece)
+    def _ids(self, seen: str, piece: str) -> tuple[int, ...]:
+        """Ids of one match of the pattern, given also with each byte as its character."""
+        ids = self.whole.get(seen)
         if ids is None:
-            seen = piece.encode("utf-8", "replace").decode("latin-1").translate(self.table)  # each byte as its character
-            ids = self.whole.get(seen)
-            if ids is None:
-                if self.overlaps and next(self.overlaps.iter(seen), None):
-                    ids = self.exact.encode_ordinary(piece)
-                else:
-                    ids = [t.id for t in self.model.tokenize(seen)]
-                ids = tuple(map(self.number.__getitem__, ids))
-            self.pieces.put(piece, ids)
+            if self.overlaps and next(self.overlaps.iter(seen), None):
+                ids = self.exact.encode_ordinary(piece)
+            else:
+                ids = [t.id for t in self.model.tokenize(seen)]
+            ids = tuple(map(self.number.__getitem__, ids))
         return ids
 
     def _chunk(self, chunk: str) -> tuple[int, ...]:
-        return tuple(chain.from_iterable(map(self._piece, self.pattern.findall(chunk))))
-
-    def _found(self, cut: list[tuple[str, list[str]]]) -> dict[str, tuple[int, ...]]:
-        found: dict[str, tuple[int, ...]] = dict.fromkeys(chain.from_iterable(rest for _, rest in cut))
-        recent = self.chunks
-        for c in found:
-            ids = recent.get(c)
+        """Ids of a text without safe cuts inside; pieces are looked up before they are encoded."""
+        memo, old, out = self.pieces.young, self.pieces.old, []
+        for piece in self.pattern.findall(chunk):
+            ids = memo.get(piece)
+            if ids is None:
+                ids = old.get(piece)
+                if ids is None:
+                    ids = self._ids(piece.encode("utf-8", "replace").decode("latin-1").translate(self.table), piece)
+                if len(piece) <= REMEMBERED_CHARS:
+                    memo[piece] = ids
+            out.append(ids)
+        return out[0] if len(out) == 1 else tuple(chain.from_iterable(out))
+
+    def _learn(self, chunks: Iterable[str]) -> tuple[dict[str, tuple[int, ...]], list[str]]:
+        """Ids of all distinct chunks, each behind a space, and the long ones among them, to be forgotten after use."""
+        memo, old = self.chunks.turn(), self.chunks.old
+        self.pieces.turn()
+        long, space = [], self.space
+        for c in dict.fromkeys(chunks):
+            if c in memo:
+                continue
+            ids = old.get(c)
             if ids is None:
-                ids = self._chunk(" " + c)
-                recent.put(c, ids)
-            found[c] = ids
-        return found
+                if self.takes_runs and _WORD.fullmatch(c):  # one match of the pattern, whose bytes are characters of their own
+                    ids = self._ids(space + c, " " + c)
+                else:
+                    ids = self._chunk(" " + c)
+            memo[c] = ids
+            if len(c) > REMEMBERED_CHARS:
+                long.append(c)
+        return memo, long
 
     def encode(self, texts: list[str]) -> Iterator[list[int]]:
         """Ids of each text, no special tokens. Every distinct chunk of ``texts`` is looked up once."""
         cut = list(map(safe_chunks, texts))
-        found = self._found(cut)
+        memo, long = self._learn(chain.from_iterable(rest for _, rest in cut))
         for first, rest in cut:
-            ids = list(self._chunk(first))
-            ids.extend(chain.from_iterable(map(found.__getitem__, rest)))
+            ids = list(self._chunk(first)) if first else []
+            ids.extend(chain.from_iterable(map(memo.__getitem__, rest)))
             yield ids
+        for c in long:
+            memo.pop(c, None)
 
     def decode_bytes(self, ids: Iterable[int | None]) -> bytes:
         """Bytes of the ids; a null one has none, one outside the vocabulary is a ValueError."""
