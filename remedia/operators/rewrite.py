@@ -9,6 +9,7 @@ from __future__ import annotations
 import ast
 import keyword
 import re
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -767,12 +768,37 @@ def control_flow_rewrites(operations: Column) -> Column:
     return F.array_intersect(operations, F.array(*map(F.lit, sorted(CONTROL_FLOW_REWRITES))))
 
 
-def repair(rows: DataFrame, column: str, deletion: bool = True, forced: bool = True, gate: Gate = syntax_error) -> DataFrame:
-    """``rows`` with repaired, stage, operations, control_flow_rewrites and lines_deleted; a null source stays null with stage NULL."""
+class OutOfTime(Exception):
+    """A source took longer than its time."""
+
+
+def timed(gate: Gate, seconds: float) -> Gate:
+    """A gate that ends its source's repair when the time is over; every step of the cascade asks its gate."""
+    end = time.monotonic() + seconds
+
+    def ask(source: str) -> SyntaxError | None:
+        if time.monotonic() > end:
+            raise OutOfTime
+        return gate(source)
+
+    return ask
+
+
+def repair(rows: DataFrame, column: str, deletion: bool = True, forced: bool = True, gate: Gate = syntax_error, seconds: float | None = None) -> DataFrame:
+    """``rows`` with repaired, stage, operations, control_flow_rewrites and lines_deleted; a null source stays null with stage NULL.
+
+    With ``seconds`` a source that takes longer has stage timed_out and nothing repaired.
+    """
+
+    def one(source: str) -> dict:
+        try:
+            return repair_source(source, deletion, forced, timed(gate, seconds) if seconds is not None else gate)
+        except OutOfTime:
+            return {"repaired": None, "stage": "timed_out", "operations": [], "lines_deleted": 0}
 
     def run(sources: pd.Series) -> pd.DataFrame:
         empty = {"repaired": None, "stage": None, "operations": None, "lines_deleted": None}
-        out = pd.DataFrame([empty if s is None else repair_source(s, deletion, forced, gate) for s in sources], columns=list(empty))
+        out = pd.DataFrame([empty if s is None else one(s) for s in sources], columns=list(empty))
         return out.astype({"lines_deleted": "Int64"})
 
     run.__annotations__ = {"sources": pd.Series, "return": pd.DataFrame}

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars, summaries
-from ..operators import distance, localise, outcomes, reattach, selection, sourcemap, state, study
+from ..operators import distance, editors, localise, outcomes, reattach, selection, sourcemap, state, study
 from . import analytics
 from . import views as v
 from .catalogue import query
@@ -204,3 +204,41 @@ def graph_edit_study(spark: SparkSession, d: str) -> DataFrame:
     exact = study.graph_edit_distances(pairs.withColumnRenamed("a", "key")).withColumnRenamed("distance", "exact")
     rows = study.compared(flow.select("a", "heuristic", "equivalent").join(exact, F.col("a") == F.col("key")))
     return study.agreement(rows.withColumn("half", F.col("a") % 2), "half")
+
+
+# (opname wanted side, operand wanted, operand found, fragment, edited fragment)
+EDITS = (
+    ("BINARY_OP", "-", "+", "    return a + b * c", "    return a - b * c"), ("COMPARE_OP", ">=", "<", "if x < y:\n    f(x)", "if x >= y:\n    f(x)"), ("LOAD_CONST", "'new'", "'old'", "x = ['old', 1]", "x = ['new', 1]"),
+    ("LOAD_FAST", "beta", "alpha", "g(alpha, 1)", "g(beta, 1)"), ("LOAD_ATTR", "close", "open", "return h.open()", "return h.close()"), ("IS_OP", "is not", "is", "y = x is None", "y = x is not None"),
+    ("CONTAINS_OP", "in", "not in", "y = k not in d", "y = k in d"), ("FORMAT_VALUE", "!r", "", "s = f'a{x}b'", "s = f'a{x!r}b'"), ("LOAD_CONST", "3", "2", "x = 2\ny = x + 2", None),
+)
+
+
+_EDITED = " ".join(f"WHEN {i} THEN " + ("NULL" if e[4] is None else "'" + e[4].replace("'", "''").replace("\n", "' || chr(10) || '") + "'") for i, e in enumerate(EDITS))
+
+
+@query(sql=f"SELECT p_partkey, CASE p_partkey % {len(EDITS)} {_EDITED} END AS edited FROM part")
+def proposed_edits(spark: SparkSession, d: str) -> DataFrame:
+    """Fragments edited as the one differing operand of their instructions asks; the last kind has two places and a wrong ordinal, so it stays."""
+    at = lambda n: F.element_at(F.array(*(F.lit(e[n]) for e in EDITS)), (F.col("p_partkey") % len(EDITS) + 1).cast("int"))
+    step = lambda op, arg: F.struct(op.alias("opname"), arg.alias("argval"))
+    ends = lambda middle: F.array(step(F.lit("RESUME"), F.lit("0")), *middle, step(F.lit("RETURN_VALUE"), F.lit("")))
+    again = [step(F.lit("LOAD_CONST"), F.lit("2"))] * 2
+    before = F.when(at(4).isNull(), F.array(*again)).otherwise(F.array().cast("array<struct<opname:string,argval:string>>"))
+    side = lambda n: F.concat(before, ends([step(at(0), at(n))]))
+    rows = v.table(spark, d, "part").select(F.col("p_partkey").alias("key"), side(1).alias("gt"), side(2).alias("derived"), at(3).alias("fragment"))
+    return editors.proposals(rows).select(F.col("key").alias("p_partkey"), "edited")
+
+
+@query(sql="SELECT doc_id, sha1('{\"gt_target_identity\": null, \"iteration\": ' || doc_id % 4 || ', \"localized_line_number\": null, \"parent_target_identity\": null, \"qualname\": \"<module>.f' || doc_id || '\", \"repair_operation\": ' || coalesce('\"' || source || '\"', 'null') || ', \"source_col_offset\": null, \"source_end_col_offset\": null, \"source_end_lineno\": null, \"source_file_hash\": ' || doc_id || ', \"source_kind\": null, \"source_lineno\": null, \"step\": null, \"target_identity\": null}') AS case_id, doc_id % 2 AS success_count, CASE WHEN doc_id % 2 = 0 THEN 'f' ELSE '' END AS failed FROM documents WHERE doc_id % 3 <> 0")
+def telemetry_records(spark: SparkSession, d: str) -> DataFrame:
+    """Telemetry cases of accepted steps, a step a document; two in three are accepted."""
+    from ..operators import records
+
+    k = F.col("doc_id")
+    steps = v.table(spark, d, "documents").select(
+        k.alias("source_file_hash"), F.concat(F.lit("<module>.f"), k.cast("string")).alias("qualname"), F.col("source").alias("repair_operation"), (k % 4).alias("iteration"), (k % 3 != 0).alias("accepted"),
+        F.array(F.struct(F.lit("f").alias("names"), (k % 2 == 1).alias("success"))).alias("results"),
+    )
+    rows = records.telemetry_cases(steps)
+    return rows.select(F.col("source_file_hash").alias("doc_id"), "case_id", F.col("pylingual_after.success_count").cast("long").alias("success_count"), F.array_join("pylingual_after.failed_targets", ",").alias("failed"))

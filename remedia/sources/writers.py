@@ -55,6 +55,33 @@ def not_done(rows: DataFrame, done_path: str, *keys: str) -> DataFrame:
     return rows.join(spark.read.parquet(done_path).select(*keys).distinct(), list(keys), "left_anti")
 
 
+def resumed(rows: DataFrame, results_path: str, *keys: str) -> tuple[DataFrame, DataFrame | None]:
+    """(rows still to do, finished results) of an interrupted run: a result counts if it has a final_summary."""
+    spark = rows.sparkSession
+    if not exists(spark, results_path):
+        return rows, None
+    finished = spark.read.json(results_path)
+    if "final_summary" not in finished.columns:
+        return rows, None
+    finished = finished.filter("final_summary IS NOT NULL")
+    return rows.join(finished.select(*keys).distinct(), list(keys), "left_anti"), finished
+
+
+#: Columns of the mapping table, in order.
+MAPPING_COLUMNS = (
+    "row_type", "source_qualname", "source_kind", "source_lineno", "source_end_lineno", "source_col_offset", "source_end_col_offset", "source_occurrence_index", "source_sibling_ordinal", "source_ordinal_path",
+    "source_immediate_child_count", "source_collision_size", "source_context", "pyc_qualname", "pyc_firstlineno", "pyc_occurrence_index", "pyc_sibling_ordinal", "pyc_ordinal_path", "pyc_immediate_child_count",
+    "pyc_collision_size", "match_reason", "matched",
+)
+
+
+def write_mapping(rows: DataFrame, path: str) -> None:
+    """The source mapping as CSV with its fixed columns; ordinal paths are joined by dots."""
+    dotted = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ".").alias(c)
+    plain = rows.select(*(dotted(f.name) if isinstance(f.dataType, T.ArrayType) else F.col(f"`{f.name}`") for f in rows.schema))
+    write_csv(plain, path, list(MAPPING_COLUMNS))
+
+
 def write_workbook(patterns: DataFrame, path: str) -> None:
     """The three tables of a mining report: rows, summary by action, lowest deltas (one folder each)."""
     from ..operators import mining

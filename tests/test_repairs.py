@@ -7,9 +7,11 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from remedia import cli
 from remedia.functions import scalars, summaries
-from remedia.operators import localise, outcomes, reattach, rewrite, selection, sourcemap, study
+from remedia.operators import editors, localise, outcomes, reattach, records, rewrite, selection, sourcemap, study
 from remedia.plans import repairs, texts
+from remedia.sources import writers
 
 
 @pytest.mark.parametrize(
@@ -219,3 +221,66 @@ def test_candidates_of_users(spark):
                 seen.add(text)
                 shapes |= {shape} - {None}
         assert got[user] == kept
+
+
+def test_edits_of_operands():
+    for op, wanted, found, fragment, edited in repairs.EDITS[:-1]:
+        made = editors.operand_edit(fragment, op, wanted, found)
+        assert made.text == edited and made.confidence == "unique"
+    two = "x = a + b\ny = c + d"
+    assert editors.operand_edit(two, "BINARY_OP", "*", "+", 1).text == "x = a + b\ny = c * d" and editors.operand_edit(two, "BINARY_OP", "*", "+", 5) is None
+    assert editors.operand_edit("[k + 1 for k in a + b]", "BINARY_OP", "*", "+", 1) is None  # evaluation isn't tree order there
+    assert editors.operand_edit("x = True == 1", "LOAD_CONST", "2", "1").text == "x = True == 2" and editors.operand_edit("f(-5, 5)", "LOAD_CONST", "7", "-5").text == "f(7, 5)"
+    assert editors.operand_edit("s = 'é' + name", "LOAD_NAME", "other", "name").text == "s = 'é' + other" and editors.operand_edit("x = (", "LOAD_NAME", "a", "b") is None
+    assert editors.operand_edit("f(a)", "CALL", "2", "1") is None and editors.operand_edit("x = 1", "LOAD_CONST", "<code>", "1") is None
+    assert editors.unary_edit("  return a + b", "UNARY_NEGATIVE", None, "b").text == "  return a + (-b)" and editors.unary_edit("f(a)", "TO_BOOL", None, "a").text == "f(bool(a))"
+    assert editors.unary_edit("x = not y", None, "UNARY_NOT").text == "x = y" and editors.unary_edit("x = -y", "UNARY_INVERT", "UNARY_NEGATIVE").text == "x = (~y)"
+    assert editors.unary_edit("a + a", "UNARY_NOT", None, "a") is None and editors.unary_edit("x = y", None, "UNARY_NOT") is None
+    load = ("LOAD_FAST", "x")
+    assert editors.proposed([load, ("UNARY_NOT", ""), ("RETURN_VALUE", "")], [load, ("RETURN_VALUE", "")], "return x").text == "return (not x)"
+    assert editors.proposed([load], [load], "x") is None and editors.proposed([load, load], [("LOAD_FAST", "y"), ("LOAD_GLOBAL", "z")], "y(z)") is None
+    assert editors.proposed([("LOAD_FAST_BORROW", "x")], [("LOAD_FAST", "y")], "return y").text == "return x"
+
+
+def test_no_proposal_for_empty_rows(spark):
+    kind = "array<struct<opname:string,argval:string>>"
+    rows = spark.createDataFrame([(1, None, None, None), (2, [], [("NOP", None)], "x")], f"key int, gt {kind}, derived {kind}, fragment string")
+    assert [tuple(r)[1:] for r in editors.proposals(rows).collect()] == [(None, None, None)] * 2
+
+
+def test_time_runs_out(spark):
+    rows = spark.createDataFrame([(1, "x = (1\n"), (2, None)], "k int, source string")
+    assert {r["k"]: r["stage"] for r in rewrite.repair(rows, "source", seconds=-1.0).collect()} == {1: "timed_out", 2: None}
+    assert {r["k"]: r["stage"] for r in rewrite.repair(rows, "source", seconds=60.0).collect()} == {1: "prepass", 2: None}
+
+
+def test_records_of_accepted_steps(spark):
+    steps = spark.createDataFrame([("h", "q", True, "a", "b", [("f", True), ("g", None)]), ("h", "r", False, "a", "b", None), ("h", "s", True, None, None, None)], "source_file_hash string, qualname string, accepted boolean, extracted_before string, replacement_text string, results array<struct<names:string,success:boolean>>")
+    got = {r["qualname"]: r for r in records.telemetry_cases(steps).collect()}
+    assert set(got) == {"q", "s"} and tuple(got["q"]["pylingual_after"]) == (False, 1, ["g"]) and tuple(got["s"]["pylingual_after"]) == (None, None, [])
+    import hashlib
+
+    want = {n: None for n in records.FINGERPRINT} | {"source_file_hash": "h", "qualname": "q"}
+    assert got["q"]["case_id"] == hashlib.sha1(json.dumps(want, sort_keys=True).encode()).hexdigest() and got["q"]["after_fragment"] == "b"
+    assert {r["qualname"]: r["replacement_text"] for r in records.accepted_objects(steps).collect()} == {"q": "b", "s": None}
+
+
+def test_resume_and_mapping_files(spark, tmp_path):
+    rows = spark.createDataFrame([(1,), (2,), (3,)], "k long")
+    todo, done = writers.resumed(rows, f"{tmp_path}/none", "k")
+    assert todo.count() == 3 and done is None
+    spark.createDataFrame([(1, "ok"), (2, None)], "k long, final_summary string").write.json(f"{tmp_path}/done")
+    todo, done = writers.resumed(rows, f"{tmp_path}/done", "k")
+    assert sorted(r["k"] for r in todo.collect()) == [2, 3] and [r["k"] for r in done.collect()] == [1]
+    writers.write_mapping(spark.createDataFrame([("mapped", [0, 1], 5)], "row_type string, source_ordinal_path array<int>, extra int"), f"{tmp_path}/m")
+    back = spark.read.csv(f"{tmp_path}/m", header=True)
+    assert back.columns == list(writers.MAPPING_COLUMNS) and back.first()["source_ordinal_path"] == "0.1"
+
+
+def test_command_line(spark, tmp_path, capsys):
+    assert cli.main(["queries"]) == 0 and "outcome_rollup" in capsys.readouterr().out
+    assert cli.main(["run", "no_such", "x"], spark) == 2
+    assert cli.main(["run", "run_counters", "/root/testdata/sf0.001", "--out", f"{tmp_path}/o"], spark) == 0 and spark.read.parquet(f"{tmp_path}/o").count() == 5
+    spark.createDataFrame([(1, "x = (1\n")], "k int, source string").write.parquet(f"{tmp_path}/in")
+    assert cli.main(["repair", f"{tmp_path}/in", f"{tmp_path}/out", "--seconds", "30"], spark) == 0
+    assert spark.read.parquet(f"{tmp_path}/out").first()["repaired"] == "x = (1)\n"
