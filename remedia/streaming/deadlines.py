@@ -69,24 +69,40 @@ def fold(rows: DataFrame, soft: int, hard: int, tail: int) -> DataFrame:
 _STATE = "start long, deadline long, best long, first long, mark long, improved_at long, status string, n long"
 
 
-def stream(rows: DataFrame, soft: int, hard: int, tail: int) -> DataFrame:
-    """The same fold over a stream of (key, at, distance): one row a key and micro-batch with its state so far.
+_NAMES = [f.split()[0] for f in _STATE.split(", ")]
+#: How long a sample that has ended is remembered, so that late observations don't begin it anew.
+REMEMBERED_MS = 3_600_000
 
-    State is a few numbers a running sample and is dropped an hour after its last observation once it has ended.
-    """
-    names = [f.split()[0] for f in _STATE.split(", ")]
 
-    def run(key: tuple, frames: Iterable[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+def observed(key: tuple, frames: Iterable[pd.DataFrame], state, soft: int, hard: int, tail: int) -> Iterator[pd.DataFrame]:
+    """One key's turn in a stream: new observations, or the time at which its deadline passed without any."""
+    now = dict(zip(_NAMES, state.get)) if state.exists else None
+    if state.hasTimedOut:
+        if now["status"] not in ("running", "extended"):
             state.remove()
             return
-        now = dict(zip(names, state.get)) if state.exists else None
+        # The deadline itself is what is observed: better than at the last mark extends, anything else ends the sample.
+        now = {**step(now, now["deadline"] + 1, now["best"], soft, hard, tail), "n": now["n"]}
+        at = now["deadline"] - soft
+    else:
         frame = pd.concat(list(frames)).sort_values("at", kind="stable")
         for at, distance in zip(frame["at"].tolist(), frame["distance"].tolist()):
             now = step(now, at, distance, soft, hard, tail)
-        state.update(tuple(now[n] for n in names))
-        state.setTimeoutDuration(3_600_000)
-        yield pd.DataFrame([(*key, now["status"], now["n"], now["best"], now["first"], now["deadline"])], columns=["key", "status", "n", "best", "first", "deadline"])
+    state.update(tuple(now[n] for n in _NAMES))
+    running = now["status"] in ("running", "extended")
+    state.setTimeoutDuration(max(1, now["deadline"] - at + 1) * 1000 if running else REMEMBERED_MS)
+    yield pd.DataFrame([(*key, now["status"], now["n"], now["best"], now["first"], now["deadline"])], columns=["key", "status", "n", "best", "first", "deadline"])
+
+
+def stream(rows: DataFrame, soft: int, hard: int, tail: int) -> DataFrame:
+    """The same fold over a stream of (key, at, distance; seconds): one row a key and micro-batch with its state so far.
+
+    A sample whose deadline passes without an observation is ended (or extended) by the clock. State is a few numbers
+    a sample and is dropped an hour after it has ended.
+    """
+
+    def run(key: tuple, frames: Iterable[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        return observed(key, frames, state, soft, hard, tail)
 
     kind = rows.schema["key"].dataType.simpleString()
     return rows.groupBy("key").applyInPandasWithState(run, f"key {kind}, {_RESULT}", _STATE, "update", "ProcessingTimeTimeout")

@@ -12,6 +12,7 @@ from remedia.functions import scalars, summaries
 from remedia.operators import editors, localise, outcomes, reattach, records, rewrite, selection, sourcemap, study
 from remedia.plans import repairs, texts
 from remedia.sources import writers
+from remedia.streaming import deadlines
 
 
 @pytest.mark.parametrize(
@@ -284,3 +285,35 @@ def test_command_line(spark, tmp_path, capsys):
     spark.createDataFrame([(1, "x = (1\n")], "k int, source string").write.parquet(f"{tmp_path}/in")
     assert cli.main(["repair", f"{tmp_path}/in", f"{tmp_path}/out", "--seconds", "30"], spark) == 0
     assert spark.read.parquet(f"{tmp_path}/out").first()["repaired"] == "x = (1)\n"
+
+
+class Kept:
+    """A key's state as a stream keeps it."""
+
+    def __init__(self):
+        self.get, self.hasTimedOut, self.wait = None, False, None
+
+    exists = property(lambda self: self.get is not None)
+
+    def update(self, value):
+        self.get = value
+
+    def remove(self):
+        self.get = None
+
+    def setTimeoutDuration(self, ms):  # noqa: N802
+        self.wait = ms
+
+
+def test_deadlines_pass_without_observations():
+    import pandas as pd
+
+    turn = lambda state, *seen: [tuple(r) for f in deadlines.observed(("k",), [pd.DataFrame(seen, columns=["at", "distance"])] if seen else [], state, 10, 100, 50) for r in f.itertuples(index=False)]
+    state = Kept()
+    assert turn(state, (0, 9), (2, 5)) == [("k", "running", 2, 5, 9, 10)] and state.wait == 9000
+    state.hasTimedOut = True
+    assert turn(state) == [("k", "extended", 2, 5, 9, 21)] and state.wait == 11_000
+    assert turn(state) == [("k", "failed", 2, 5, 9, 21)] and state.wait == deadlines.REMEMBERED_MS
+    assert turn(state) == [] and not state.exists
+    state.hasTimedOut = False
+    assert turn(state, (7, 3)) == [("k", "running", 1, 3, 3, 17)]
