@@ -21,9 +21,13 @@ SORRY_LINE = r"^\s*Sorry:\s*(\w+(?:Error|Exception))\s*:\s*(.*?)\s*\(([^,]+),\s*
 FILE_LINE = r'^\s*File "([^"]+)", line (\d+)'
 
 
+#: ASCII white space: what a pattern's white space class means.
+SPACE = " \t\n\x0b\f\r"
+
+
 def stripped(text: Column) -> Column:
     """The text without white space at either end."""
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.btrim(text, F.lit(SPACE))
 
 
 def null_if_blank(text: Column) -> Column:
@@ -118,7 +122,7 @@ def chunk_tokens(text: Column) -> Column:
 
 def replacement_hash(text: Column) -> Column:
     """SHA-256 of the text without white space around it and at line ends."""
-    lines = F.transform(F.split(stripped(text), "\n"), lambda s: F.regexp_replace(s, r"\s+$", ""))
+    lines = F.transform(F.split(stripped(text), "\n"), lambda s: F.rtrim(s, F.lit(SPACE)))
     return F.sha2(F.array_join(lines, "\n"), 256)
 
 
