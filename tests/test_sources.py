@@ -1,6 +1,7 @@
 """Readers, writers and the stream on small files."""
 
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -75,8 +76,11 @@ def test_stream_equals_fold(spark, tmp_path):
     batch = deadlines.fold(spark.read.schema(kind).json(str(folder)), 1000, 5000, 5000)
     want = {r["key"]: r["best"] for r in batch.collect()}
     out = deadlines.stream(spark.readStream.schema(kind).json(str(folder)), 1000, 5000, 5000)
-    run = out.writeStream.format("memory").queryName("states").outputMode("update").option("checkpointLocation", f"{tmp_path}/ck").start()
-    run.processAllAvailable()  # timeouts by the clock keep a query running for as long as it is let
+    run = out.writeStream.format("memory").queryName("states").outputMode("update").option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start()
+    end = time.monotonic() + 60
+    # Timeouts by the clock keep a query running for as long as it is let, so it is stopped when its data are through.
+    while sum(p["numInputRows"] for p in run.recentProgress) < len(rows) and time.monotonic() < end:
+        time.sleep(0.3)
     run.stop()
     got = {r["key"]: r["best"] for r in spark.sql("SELECT key, min(best) AS best FROM states GROUP BY key").collect()}
     assert got == want
