@@ -215,5 +215,5 @@ run(key, n, start, deadline, best, first, mark, improved, status, seen) AS (
 SELECT key, status, seen AS n, best, first, deadline FROM run r WHERE n = (SELECT max(n) FROM o WHERE o.key = r.key)""")
 def checkpoint_fold(spark: SparkSession, d: str) -> DataFrame:
     """Soft deadlines, hard cap and tail stagnation folded over each user's events (tested against a plain loop)."""
-    rows = v.table(spark, d, "events").select(F.col("user_id").alias("key"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("at"), F.floor(F.col("value") * 10).alias("distance"), "event_id")
+    rows = v.table(spark, d, "events").select(F.col("user_id").alias("key"), F.call_function("div", v.epoch_ms(F.col("ts")), F.lit(1000)).alias("at"), F.floor(F.col("value") * 10).alias("distance"), "event_id")
     return deadlines.fold(rows, soft=4 * 3600, hard=48 * 3600, tail=24 * 3600)

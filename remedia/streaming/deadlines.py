@@ -62,7 +62,7 @@ def fold(rows: DataFrame, soft: int, hard: int, tail: int) -> DataFrame:
             yield pd.DataFrame([(key, state["status"], state["n"], state["best"], state["first"], state["deadline"])], columns=["key", "status", "n", "best", "first", "deadline"])
 
     kind = rows.schema["key"].dataType.simpleString()
-    ordered = rows.filter("key IS NOT NULL").repartition("key").sortWithinPartitions("key", "at", "event_id").select("key", "at", "distance")
+    ordered = rows.filter("key IS NOT NULL").repartition("key").sortWithinPartitions("key", F.col("at").asc_nulls_last(), F.col("event_id").asc_nulls_last()).select("key", "at", "distance")
     return ordered.mapInPandas(run, f"key {kind}, {_RESULT}")
 
 

@@ -50,6 +50,26 @@ def test_query(spark, duck, name):
     assert sorted(tuple(plain(r[i]) for i in places) for r in out.fetchall()) == got
 
 
+def as_sql(spark, name, folder, **tables):
+    """Rows of a query over hand-made tables and those of its SQL."""
+    con = duckdb.connect()
+    for table, select in tables.items():
+        con.execute(f"COPY ({select}) TO '{folder}/{table}.parquet' (FORMAT parquet)")
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet'")
+    out = con.execute(catalogue.oracle_sql()[name])
+    names = [c[0] for c in out.description]
+    got = catalogue.queries()[name](spark, str(folder)).select(*names).collect()
+    return sorted(tuple(plain(x) for x in r) for r in got), sorted(tuple(plain(x) for x in r) for r in out.fetchall())
+
+
+def test_deadlines_round_microseconds(spark, tmp_path):
+    """Last half millisecond of a second: in SQL it is the next second, before 1970 too."""
+    events = """SELECT i AS event_id, make_timestamp(us) AS ts, 1 + (us < 0)::BIGINT AS user_id, 'view' AS event_type, v AS value
+      FROM (VALUES (1, 1999600, 5.0), (2, 14401999400, 4.0), (3, 14402000000, 3.0), (4, -1999600, 9.0), (5, -999600, 8.0), (6, -400, 7.0)) t(i, us, v)"""
+    got, want = as_sql(spark, "checkpoint_fold", tmp_path, events=events)
+    assert got == want and {r[-1] for r in want} == {"14402.000000", "14398.000000"}
+
+
 @pytest.mark.parametrize("gone", [["remedia/llm", "tests/llm"], ["remedia/llm", "tests/llm", "corpus_pipeline.py"], ["corpus_pipeline.py"]])
 def test_entry_in_a_copy_without_parts(tmp_path, gone):
     root = Path(__file__).resolve().parent.parent
