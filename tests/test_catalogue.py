@@ -5,11 +5,13 @@ import os
 import shutil
 import subprocess
 import sys
+import time
 from pathlib import Path
 
 import duckdb
 import pytest
 
+from remedia.functions import scoring
 from remedia.operators import divergence
 from remedia.plans import catalogue
 
@@ -83,6 +85,25 @@ def test_nearest_line_rounds_and_joins_equal_ids(spark, tmp_path, events):
     assert got == want and want
 
 
+PARTS = """SELECT k::BIGINT AS p_partkey, 'w' || (k % 90) || ' w' || (k % 7 + 60) || CASE WHEN k % 5 = 0 THEN ' w' || (k % 7 + 60) ELSE '' END AS p_name, 'Brand#' || (k % 4) AS p_brand, 'T' || (k % 2) AS p_type,
+  (k % 50)::INT AS p_size, 1.5 AS p_retailprice FROM range(400) t(k)"""
+
+
+@pytest.mark.parametrize("known", [512, 20])
+def test_pair_scores_of_many_words(spark, tmp_path, monkeypatch, known):
+    """Sets of more than 64 different words as masks, and as arrays where there are too many for masks."""
+    monkeypatch.setattr(scoring, "KNOWN", known)
+    got, want = as_sql(spark, "pattern_scores", tmp_path, part=PARTS)
+    assert got == want and want
+
+
+def test_pair_scores_take_seconds(spark):
+    """6 million pairs at sf0.1 (minutes when a pair's expression is too large for the JVM to compile)."""
+    began = time.perf_counter()
+    assert catalogue.queries()["pattern_scores"](spark, "/root/testdata/sf0.1").count() > 6_000_000
+    assert time.perf_counter() - began < 60
+
+
 @pytest.mark.parametrize("gone", [["remedia/llm", "tests/llm"], ["remedia/llm", "tests/llm", "corpus_pipeline.py"], ["corpus_pipeline.py"]])
 def test_entry_in_a_copy_without_parts(tmp_path, gone):
     root = Path(__file__).resolve().parent.parent
