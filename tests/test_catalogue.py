@@ -12,8 +12,8 @@ import duckdb
 import pytest
 
 from remedia.functions import scoring
-from remedia.operators import divergence
-from remedia.plans import catalogue
+from remedia.operators import divergence, retrieval
+from remedia.plans import catalogue, views
 
 D = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -97,6 +97,22 @@ def test_pair_scores_of_many_words(spark, tmp_path, monkeypatch, known):
     assert got == want and want
 
 
+@pytest.mark.parametrize("name", ["pattern_scores_runtime"])
+def test_retrieval_of_equal_ids(spark, tmp_path, name):
+    """Rows that agree in all that is scored, and rows with one id that don't: those are no pairs."""
+    got, want = as_sql(spark, name, tmp_path, part=f"WITH t AS ({PARTS}) SELECT * REPLACE (p_partkey % 390 AS p_partkey) FROM t")
+    assert got == want and want
+
+
+def test_equal_rows_meet_once(spark, tmp_path):
+    """The plan of counts has one row a class, so 200 copies of a pattern cost no more than one."""
+    duckdb.connect().execute(f"COPY (SELECT p_partkey * 308, 'a b' AS p_name, 'B' AS p_brand, 'T' AS p_type, 1::INT AS p_size, 1.5 AS p_retailprice FROM ({PARTS})) TO '{tmp_path}/part.parquet' (FORMAT parquet)".replace("p_partkey * 308", "p_partkey * 308 + 1 AS p_partkey"))
+    rows = views.patterns(spark, str(tmp_path))
+    both = retrieval.Packed(rows, rows, True)
+    assert rows.count() == 400 and retrieval.classes(both.p, "p").count() == 1
+    assert [r["n_pairs"] for r in retrieval.score_counts(rows, runtime=True).collect()] == [400 * 399]
+
+
 def test_pair_scores_take_seconds(spark):
     """6 million pairs at sf0.1 (minutes when a pair's expression is too large for the JVM to compile)."""
     began = time.perf_counter()
