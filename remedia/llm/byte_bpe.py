@@ -234,10 +234,10 @@ def decode(tokens: DataFrame, path: str, pattern: str) -> DataFrame:
     return rows.mapInArrow(lean(run), T.StructType([rows.schema["doc_id"], T.StructField("decoded", T.BinaryType())]))
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str, remembered: int = REMEMBERED) -> DataFrame:
-    """Encode and decode in one pass: doc_id, n_tokens, ids_sha256 (of decimal ids joined by commas), decoded_sha256."""
+def round_trip(docs: DataFrame, path: str, pattern: str, remembered: int = REMEMBERED, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Encode and decode in one pass: doc_id, n_tokens, ids_sha256 (of decimal ids joined by commas), decoded_sha256, and columns of ``docs`` to ``keep``."""
     small_batches(docs.sparkSession)
-    rows = _rows(docs)
+    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, sha = codec(path, pattern, remembered), hashlib.sha256
@@ -248,8 +248,8 @@ def round_trip(docs: DataFrame, path: str, pattern: str, remembered: int = REMEM
                     counts.append(len(ids))
                     marks.append(sha(",".join(map(own.decimal.__getitem__, ids)).encode()).hexdigest())
                     back.append(sha(b"".join(map(own.bytes_of.__getitem__, ids))).hexdigest())
-                columns = [part.column(0), pa.array(counts, pa.int64()), pa.array(marks, pa.string()), pa.array(back, pa.string())]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                columns = [part.column(0), pa.array(counts, pa.int64()), pa.array(marks, pa.string()), pa.array(back, pa.string()), *part.columns[2:]]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *keep])
 
-    schema = T.StructType([rows.schema["doc_id"], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
+    schema = T.StructType([rows.schema["doc_id"], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType()), *(rows.schema[c] for c in keep)])
     return rows.mapInArrow(lean(run), schema)

@@ -146,11 +146,11 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = B
     )
 
 
-def mixture(docs: DataFrame, weights: dict[str, float] | None = None, max_share: float | None = None) -> DataFrame:
+def mixture(docs: DataFrame, weights: dict[str, float] | None = None, max_share: float | None = None, position: str | None = None) -> DataFrame:
     """The selected rows of ``docs``, all columns kept, range-partitioned and sorted into the mixture's order.
 
     Rows that repeat both id and text stand together at the first of their positions; where only some of them are
-    selected, as many stay (which of them can't be told apart by id, source and text).
+    selected, as many stay (which of them can't be told apart by id, source and text). ``position`` names a column for the position, if wanted.
     """
     places = mix(docs, weights, max_share=max_share).groupBy(F.col("doc_id").alias("_rk_id"), F.col("source").alias("_rk_source"), F.col("text_hash").alias("_rk_digest"))
     places = places.agg(F.min("position").alias("_rk_position"), F.count_if("selected").alias("_rk_taken"), F.count("*").alias("_rk_rows"))
@@ -169,4 +169,5 @@ def mixture(docs: DataFrame, weights: dict[str, float] | None = None, max_share:
         some = found(partly).withColumn("_rk_nth", nth).filter("_rk_nth <= _rk_taken")
         kept = kept.unionByName(some.select(*(F.col(f"`{c}`") for c in names), "_rk_position"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return kept.repartitionByRange(parts, "_rk_position").sortWithinPartitions("_rk_position").drop("_rk_position")
+    out = kept.repartitionByRange(parts, "_rk_position").sortWithinPartitions("_rk_position")
+    return out.withColumnRenamed("_rk_position", position) if position else out.drop("_rk_position")
