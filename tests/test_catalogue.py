@@ -9,10 +9,11 @@ import time
 from pathlib import Path
 
 import duckdb
+import pyarrow as pa
 import pytest
 
 from remedia.functions import scoring
-from remedia.operators import divergence, retrieval
+from remedia.operators import divergence, ranking, retrieval
 from remedia.plans import catalogue, views
 
 D = "/root/testdata/sf0.001"
@@ -104,6 +105,54 @@ def test_retrieval_of_equal_ids(spark, tmp_path, name):
     assert got == want and want
 
 
+REPEATED = f"WITH t AS ({PARTS}) SELECT * REPLACE (p_partkey % 390 AS p_partkey) FROM t UNION ALL SELECT * FROM t WHERE p_partkey IN (3, 14, 25)"
+
+
+@pytest.mark.parametrize("name", ["leave_one_out"])
+def test_best_actions_of_equal_ids(spark, tmp_path, monkeypatch, name):
+    """Ids of several rows (of one action, of two, with and without a label), in blocks of a few rows."""
+    monkeypatch.setattr(ranking, "UNITS", 40)
+    monkeypatch.setattr(ranking, "PATTERNS", 50)
+    got, want = as_sql(spark, name, tmp_path, part=REPEATED)
+    assert got == want and want
+
+
+@pytest.mark.parametrize("runtime", [False, True])
+def test_best_actions_are_those_of_all_pairs(spark, tmp_path, runtime):
+    """Absent and empty kinds, and rows without an operation, which meet one another."""
+    mixed = f"SELECT * REPLACE (CASE WHEN p_size % 9 > 0 THEN p_brand ELSE '' END AS p_brand, CASE WHEN p_size % 31 > 0 THEN p_type END AS p_type) FROM ({REPEATED})"
+    duckdb.connect().execute(f"COPY ({mixed}) TO '{tmp_path}/part.parquet' (FORMAT parquet)")
+    rows = views.patterns(spark, str(tmp_path))
+    got, want = retrieval.retrieve_topk(rows, rows, 9, 4, runtime), retrieval.ranked(retrieval.pair_scores(rows, rows, 9, runtime), 9, 4)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() > 1000
+
+
+def test_blocks_in_small_steps(spark, tmp_path, monkeypatch):
+    """A block whose evidence is scored in several steps gives the same, and no unit is in it twice."""
+    duckdb.connect().execute(f"COPY ({PARTS}) TO '{tmp_path}/part.parquet' (FORMAT parquet)")
+    rows = retrieval.signature(views.patterns(spark, str(tmp_path)))
+    q, p = ranking.sides(rows, rows, False)
+    left, right = ranking.units(q)[0].filter("op = '=T0'").toArrow(), p.filter("op = '=T0'").toArrow()
+    whole = pa.concat_tables(ranking.answers(left, right, 5, 12, False)).sort_by([("unit", "ascending"), ("action_type", "ascending")])
+    monkeypatch.setattr(ranking, "EVIDENCE", 900)
+    monkeypatch.setattr(ranking, "AT_ONCE", 7)
+    parts = list(ranking.answers(left, right, 5, 12, False))
+    assert len(parts) > 3 and pa.concat_tables(parts).sort_by([("unit", "ascending"), ("action_type", "ascending")]).combine_chunks().equals(whole.combine_chunks())
+
+
+def larger_parts(folder, times):
+    """Parts of sf0.1, repeated with shifted keys."""
+    duckdb.connect().execute(f"COPY (SELECT p.* REPLACE (p_partkey + 20000 * i AS p_partkey) FROM '/root/testdata/sf0.1/part.parquet' p, range({times}) t(i)) TO '{folder}/part.parquet' (FORMAT parquet)")
+    return str(folder)
+
+
+def test_leave_one_out_takes_seconds(spark, tmp_path):
+    """Six times sf0.1: 563 million pairs pass the gates, over two minutes when they are made and sorted."""
+    began = time.perf_counter()
+    assert sum(r["evaluated"] for r in catalogue.queries()["leave_one_out"](spark, larger_parts(tmp_path, 6)).collect()) > 109_000
+    assert time.perf_counter() - began < 90
+
+
 def test_equal_rows_meet_once(spark, tmp_path):
     """The plan of counts has one row a class, so 200 copies of a pattern cost no more than one."""
     duckdb.connect().execute(f"COPY (SELECT p_partkey * 308, 'a b' AS p_name, 'B' AS p_brand, 'T' AS p_type, 1::INT AS p_size, 1.5 AS p_retailprice FROM ({PARTS})) TO '{tmp_path}/part.parquet' (FORMAT parquet)".replace("p_partkey * 308", "p_partkey * 308 + 1 AS p_partkey"))
