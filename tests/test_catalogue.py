@@ -108,7 +108,7 @@ def test_retrieval_of_equal_ids(spark, tmp_path, name):
 REPEATED = f"WITH t AS ({PARTS}) SELECT * REPLACE (p_partkey % 390 AS p_partkey) FROM t UNION ALL SELECT * FROM t WHERE p_partkey IN (3, 14, 25)"
 
 
-@pytest.mark.parametrize("name", ["leave_one_out"])
+@pytest.mark.parametrize("name", ["leave_one_out", "retrieve_topk"])
 def test_best_actions_of_equal_ids(spark, tmp_path, monkeypatch, name):
     """Ids of several rows (of one action, of two, with and without a label), in blocks of a few rows."""
     monkeypatch.setattr(ranking, "UNITS", 40)
@@ -117,6 +117,18 @@ def test_best_actions_of_equal_ids(spark, tmp_path, monkeypatch, name):
     assert got == want and want
 
 
+def test_retrieve_topk_takes_seconds(spark, tmp_path):
+    """Six times sf0.1, every query with its best three actions; the first ids against SQL."""
+    began, folder = time.perf_counter(), larger_parts(tmp_path, 6)
+    got = catalogue.queries()["retrieve_topk"](spark, folder).toArrow()
+    assert got.num_rows == 360_000 and time.perf_counter() - began < 90
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW part AS SELECT * FROM '{folder}/part.parquet'")
+    sql = catalogue.oracle_sql()["retrieve_topk"].replace("FROM patterns q JOIN", "FROM (SELECT * FROM patterns WHERE row_idx < 200) q JOIN")
+    assert con.execute(f"SELECT count(*) FROM ({sql})").fetchone() == (600,)
+    assert con.execute(f"(SELECT q_idx, action_type, best_idx, best, adjusted, nth FROM got WHERE q_idx < 200) EXCEPT ({sql})").fetchall() == []
+
+
 @pytest.mark.parametrize("runtime", [False, True])
 def test_best_actions_are_those_of_all_pairs(spark, tmp_path, runtime):
     """Absent and empty kinds, and rows without an operation, which meet one another."""
