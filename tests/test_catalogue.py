@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 
 from remedia.functions import scoring
-from remedia.operators import divergence, ranking, retrieval
+from remedia.operators import divergence, pairing, ranking, retrieval
 from remedia.plans import catalogue, views
 
 D = "/root/testdata/sf0.001"
@@ -165,6 +165,38 @@ def test_leave_one_out_takes_seconds(spark, tmp_path):
     assert time.perf_counter() - began < 90
 
 
+@pytest.mark.parametrize("name", ["pattern_scores", "pattern_scores_runtime"])
+def test_pairs_of_small_blocks(spark, tmp_path, monkeypatch, name):
+    """Ids of several rows, and operations and equal rows cut into many blocks."""
+    for limit, value in (("FEWEST", 900), ("QUERIES", 40), ("EQUAL", 2), ("PATTERNS", 50)):
+        monkeypatch.setattr(pairing, limit, value)
+    got, want = as_sql(spark, name, tmp_path, part=REPEATED)
+    assert got == want and want
+
+
+def test_pairs_of_a_block_in_small_steps(spark, tmp_path, monkeypatch):
+    """A block whose evidence is scored, counted and given back in several steps gives the same pairs; they leave it as fewer lists."""
+    duckdb.connect().execute(f"COPY ({PARTS.replace('k % 90', 'k % 3').replace('range(400)', 'range(2000)')}) TO '{tmp_path}/part.parquet' (FORMAT parquet)")
+    rows = retrieval.signature(views.patterns(spark, str(tmp_path)))
+    q, p = (x.withColumnRenamed(f"{s}_idx", "n") for x, s in zip(ranking.sides(rows, rows, False), "qp", strict=True))
+    block = pairing.dealt(q, p).filter("block LIKE '%\"=T0\",\"key\":\"*\"%'").toArrow().drop_columns(["block"])
+
+    def pairs():
+        lists = pa.Table.from_batches(pairing.listed(block, 12, False)).to_pylist()
+        return len(lists), sorted((a, b, x["action_type"], x["score"]) for x in lists for a in x["q_ids"] for b in x["p_ids"])
+
+    def counts():
+        out = {}
+        for x in pa.Table.from_batches(pairing.counted(block, 12, False)).to_pylist():
+            out[x["action_type"], x["score"]] = out.get((x["action_type"], x["score"]), 0) + x["n"]
+        return out
+
+    (lists, whole), numbers = pairs(), counts()
+    for limit, value in (("EVIDENCE", 900), ("AT_ONCE", 700), ("LISTED", 50)):
+        monkeypatch.setattr(pairing, limit, value)
+    assert pairs() == (lists, whole) and counts() == numbers and lists < len(whole) / 2
+
+
 def test_equal_rows_meet_once(spark, tmp_path):
     """The plan of counts has one row a class, so 200 copies of a pattern cost no more than one."""
     duckdb.connect().execute(f"COPY (SELECT p_partkey * 308, 'a b' AS p_name, 'B' AS p_brand, 'T' AS p_type, 1::INT AS p_size, 1.5 AS p_retailprice FROM ({PARTS})) TO '{tmp_path}/part.parquet' (FORMAT parquet)".replace("p_partkey * 308", "p_partkey * 308 + 1 AS p_partkey"))
